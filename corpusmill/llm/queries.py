@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from corpusmill.sources import read_table as t
 
-from . import canonical, leaks, lines, listmatch, splitting
+from . import canonical, incremental, leaks, lines, listmatch, splitting
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -27,6 +27,10 @@ def p2_split(spark: SparkSession, d: str) -> DataFrame:
     return splitting.split(t(spark, d, "document_chunks", "chunk_id", "pdf_id", "page_number", "chunk_index", "text"))
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return incremental.pairs(t(spark, d, "pdf_files", "pdf_id", "sha256", "paper_id", "batch_no"), t(spark, d, "parsed_pages", "pdf_id", "text"), t(spark, d, "papers", "paper_id", "doi"))
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return listmatch.found(t(spark, d, "fact_hits", "fact_id", "material", "material_family"), t(spark, d, "material_reference"))
 
