@@ -37,7 +37,7 @@ from .components import roots
 
 DIM = 256
 CELLS = 64
-SAMPLE = 20_000
+SAMPLE = 8_192
 MIN_WORDS = 30
 COSINE = 0.62
 LENGTH_SCALE = 4.0

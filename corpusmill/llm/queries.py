@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from corpusmill.sources import read_table as t
 
-from . import canonical, incremental, leaks, lines, listmatch, splitting
+from . import canonical, incremental, leaks, lines, listmatch, scans, splitting, toxicity
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -27,6 +27,18 @@ def p2_split(spark: SparkSession, d: str) -> DataFrame:
     return splitting.split(t(spark, d, "document_chunks", "chunk_id", "pdf_id", "page_number", "chunk_index", "text"))
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return scans.found(*_scan_tables(spark, d))
+
+
+def p3_clean(spark: SparkSession, d: str) -> DataFrame:
+    return scans.repaired(*_scan_tables(spark, d)).select("page_id", "text")
+
+
+def _scan_tables(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    return t(spark, d, "parsed_pages", "page_id", "pdf_id", "paper_id", "text"), t(spark, d, "pdf_files", "pdf_id", "ocr_needed"), t(spark, d, "papers", "paper_id", "title", "authors", "publisher", "journal")
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return incremental.pairs(t(spark, d, "pdf_files", "pdf_id", "sha256", "paper_id", "batch_no"), t(spark, d, "parsed_pages", "pdf_id", "text"), t(spark, d, "papers", "paper_id", "doi"))
 
@@ -56,5 +68,13 @@ def p8_spans(spark: SparkSession, d: str) -> DataFrame:
     return leaks.leaks(t(spark, d, "documents", "doc_id", "text"), t(spark, d, "eval_items"))
 
 
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return toxicity.found(t(spark, d, "documents", "doc_id", "source", "text"), t(spark, d, "content_labels"))
+
+
+def p10_rates(spark: SparkSession, d: str) -> DataFrame:
+    return toxicity.rates(t(spark, d, "documents", "doc_id", "source", "text"), t(spark, d, "content_labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k[0] == "p" and k[1:2].isdigit() and callable(f)}
