@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from corpusmill.sources import read_table as t
 
-from . import canonical, incremental, leaks, lines, listmatch, scans, splitting, toxicity
+from . import canonical, incremental, leaks, lines, listmatch, mixing, scans, splitting, toxicity
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -68,6 +68,14 @@ def p8_spans(spark: SparkSession, d: str) -> DataFrame:
     return leaks.leaks(t(spark, d, "documents", "doc_id", "text"), t(spark, d, "eval_items"))
 
 
+def p9_mix(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mixed(t(spark, d, "documents", "doc_id", "text", "source", "lang", "doc_type"), t(spark, d, "mix_targets"))
+
+
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.shares(t(spark, d, "documents", "doc_id", "text", "source", "lang", "doc_type"), t(spark, d, "mix_targets"))
+
+
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return toxicity.found(t(spark, d, "documents", "doc_id", "source", "text"), t(spark, d, "content_labels"))
 
