@@ -29,6 +29,7 @@ MAX_PER_KIND, MAX_CLEAN = 900, 2_600
 VOCAB, BUCKETS, GRAMS = 4_000, 1_024, 18
 D_WORD, D_CHAR, HIDDEN, ATT = 24, 16, 24, 16
 THRESHOLD = 0.5
+OTHER_KINDS = 0.5
 
 # Signs that stand for letters.
 LOOKALIKE = str.maketrans({"@": "a", "0": "o", "1": "i", "3": "e", "$": "s", "4": "a", "5": "s", "7": "t", "!": "i"})
@@ -260,7 +261,6 @@ def train(texts: list[str], labels: list[str], seed: int = 1, rounds: int = 3, e
     net = Net(seed)
     score = prior
     wk = kind[doc]
-    by_doc = {i: np.flatnonzero(doc == i) for i in np.flatnonzero(~clean)} if False else None
     starts = np.searchsorted(doc, np.arange(len(ids)))
     ends = np.searchsorted(doc, np.arange(len(ids)), side="right")
     for r in range(rounds):
@@ -286,7 +286,7 @@ def train(texts: list[str], labels: list[str], seed: int = 1, rounds: int = 3, e
             y = np.zeros((len(idx), len(KINDS)), np.float32)
             y[np.arange(len(pos)), target] = 1
             w = np.ones_like(y)
-            w[: len(pos)] = 0
+            w[: len(pos)] = OTHER_KINDS  # a window seldom holds two kinds
             w[np.arange(len(pos)), target] = 1.5
             order = rng.permutation(len(idx))
             for s in range(0, len(order), 192):
