@@ -6,25 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusmill.operators import convert
-from corpusmill.sources import read_table as t
+from . import text_queries
 
 Query = Callable[[SparkSession, str], DataFrame]
-
-
-def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    return convert.converted(t(spark, d, "fact_hits"), t(spark, d, "property_units"))
-
-
-def p5_values(spark: SparkSession, d: str) -> DataFrame:
-    """Every fact's value in the common unit, with where its unit was found."""
-    f = t(spark, d, "fact_hits", "fact_id", "property_name", "value", "unit", "evidence_text")
-    return convert.with_units(f, t(spark, d, "property_units")).select("fact_id", "property_name", "value", "unit_used", "unit_from", "common_unit", "common_number")
+MODULES = [text_queries]
 
 
 def queries() -> dict[str, Query]:
-    return {"p5_found": p5_found, "p5_values": p5_values}
+    return {k: f for m in MODULES for k, f in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {k: f for m in MODULES for k, f in m.SQL.items()}
