@@ -22,7 +22,7 @@ import zlib
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusmill.session import through_table
@@ -90,15 +90,17 @@ def _prepared(docs: DataFrame, targets: list[tuple[str, float, int]], tokenizer:
     extra = [c for c in ("lang", "doc_type") if c in docs.columns]
     known = {s: i for i, (s, _, _) in enumerate(targets)}
     d = docs.select("doc_id", source_name(F.col("source")).alias("source"), "text", *extra)
-    sample = d.where(F.col("source").isin(list(known)) & F.col("text").isNotNull()) if known else d.limit(0)
-    parts = [sample.where(F.col("source") == s).orderBy(F.xxhash64("doc_id"), "doc_id").limit(PER_SOURCE) for s in known]
     rows = []
-    if parts:
-        ids = parts[0].select("doc_id", "source")
-        for p in parts[1:]:
-            ids = ids.unionByName(p.select("doc_id", "source"))
-        got = d.select("doc_id", F.substring("text", 1, 20_000).alias("text"), *extra).join(F.broadcast(ids), "doc_id").orderBy("doc_id").toPandas()
-        rows = [(r["text"], tuple(r[c] for c in extra), known[r["source"]]) for _, r in got.iterrows()]
+    if known:
+        of_known = d.where(F.col("source").isin(list(known)) & F.col("text").isNotNull())
+        sizes = {s: n for s, n in of_known.groupBy("source").agg(F.count(F.lit(1))).collect()}  # one row per target source
+        share = F.create_map(*[F.lit(x) for s, n in sizes.items() for x in (s, int(min(1.0, 3 * PER_SOURCE / n) * 1_000_000) + 1)]) if sizes else None
+        if sizes:
+            # one pass: a hash keeps about three times the bound of each source, a window over these few takes the first by hash
+            few = of_known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share[F.col("source")])
+            first = few.withColumn("__r", F.row_number().over(Window.partitionBy("source").orderBy(F.xxhash64("doc_id"), "doc_id"))).where(F.col("__r") <= PER_SOURCE)
+            got = first.select("doc_id", "source", F.substring("text", 1, 20_000).alias("text"), *extra).orderBy("doc_id").toPandas()
+            rows = [(r["text"], tuple(r[c] for c in extra), known[r["source"]]) for _, r in got.iterrows()]
     k = len(targets)
     w = fit_sources(rows, k) if rows else np.zeros((FEATURES + 1, max(1, k)), np.float32)
     caps = np.array([c for _, _, c in targets], np.float64)
@@ -115,8 +117,8 @@ def _prepared(docs: DataFrame, targets: list[tuple[str, float, int]], tokenizer:
                     z = v @ w[at] + w[-1]
                     p = np.exp(z - z.max())
                     member[i] = p / p.sum()
-            cap = np.floor(member @ caps) if k else np.zeros(len(b))
             top = np.where(member.sum(1) > 0, member.argmax(1), -1) if k else np.full(len(b), -1)
+            cap = np.where(top >= 0, caps[np.maximum(top, 0)], 0.0) if k else np.zeros(len(b))
             yield pd.DataFrame({"doc_id": b["doc_id"].to_numpy(), "source": [s for s in b["source"]], "tokens": [count(t) for t in b["text"]], "member": list(member), "cap": cap, "top": top.astype(np.int32)})
 
     return d.mapInPandas(run, "doc_id long, source string, tokens long, member array<float>, cap double, top int")
