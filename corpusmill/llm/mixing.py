@@ -32,7 +32,7 @@ from .lines import tidy_name
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: the public byte-level BPE's split pattern.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-PER_SOURCE, FEATURES, ROUNDS, TOLERANCE, CUTS = 150, 4_096, 30, 1e-4, 4_096
+PER_SOURCE, FEATURES, ROUNDS, TOLERANCE, GAIN, CUTS = 150, 4_096, 30, 1e-4, 0.01, 4_096
 
 
 def source_name(c: Column) -> Column:
@@ -129,7 +129,7 @@ def fit_rates(table: DataFrame, shares: np.ndarray, total: float) -> np.ndarray:
     k = len(shares)
     want = shares * total
     steps = np.zeros((0, k))
-    size = None
+    size, last = None, np.inf
     for _ in range(ROUNDS):
 
         def add(batches, steps=steps):
@@ -145,9 +145,11 @@ def fit_rates(table: DataFrame, shares: np.ndarray, total: float) -> np.ndarray:
 
         got = table.select("member", "tokens", "cap").mapInPandas(add, "s int, e double, a double").groupBy("s").agg(F.sum("e").alias("e"), F.sum("a").alias("a")).toPandas().set_index("s").reindex(range(k)).fillna(0)
         e, size = got["e"].to_numpy(), np.maximum(got["a"].to_numpy(), 1.0)
+        loss = float((((want - e) / max(total, 1)) ** 2).sum())
+        if loss > last * (1 - GAIN) or np.abs(want - e).max() < TOLERANCE * max(total, 1):
+            break  # no further gain worth a pass over all documents
+        last = loss
         step = (want - e) / size  # least squares in the metric of the sources' sizes
-        if len(steps) and np.abs(step - steps[-1]).max() < TOLERANCE or np.abs(want - e).max() < TOLERANCE * max(total, 1):
-            break
         steps = np.vstack([steps, step])
     return steps
 
