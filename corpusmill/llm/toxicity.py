@@ -28,8 +28,8 @@ WINDOW, STRIDE = 20, 10
 MAX_PER_KIND, MAX_CLEAN = 900, 2_600
 VOCAB, BUCKETS, GRAMS = 4_000, 1_024, 18
 D_WORD, D_CHAR, HIDDEN, ATT = 24, 16, 24, 16
-THRESHOLD = 0.5
-OTHER_KINDS = 0.5
+THRESHOLD = 0.6
+OTHER_KINDS, HARD, STRONG = 0.7, 1.5, 0.7
 
 # Signs that stand for letters.
 LOOKALIKE = str.maketrans({"@": "a", "0": "o", "1": "i", "3": "e", "$": "s", "4": "a", "5": "s", "7": "t", "!": "i"})
@@ -232,7 +232,7 @@ def cut(ids: list[int]) -> np.ndarray:
     return w
 
 
-def train(texts: list[str], labels: list[str], seed: int = 1, rounds: int = 3, epochs: int = 4) -> tuple[Net, dict[str, int]]:
+def train(texts: list[str], labels: list[str], seed: int = 1, rounds: int = 6, epochs: int = 3) -> tuple[Net, dict[str, int]]:
     """The network and its vocabulary, from texts with one label each."""
     rng = np.random.default_rng(seed)
     toks = [tokens(t) for t in texts]
@@ -257,37 +257,48 @@ def train(texts: list[str], labels: list[str], seed: int = 1, rounds: int = 3, e
     rate = (has + 0.5) / (np.array(total) + 1)
     odds = np.log(rate[:, : len(KINDS)] / rate[:, -1:])
     odds[0] = 0
+    odds[has[:, : len(KINDS)] < min(3, 1 + len(texts) // 400)] = 0  # a word of one or two documents says nothing about a kind
     prior = np.stack([np.where(win >= 0, np.maximum(odds[np.maximum(win, 0), k], 0), 0).sum(1) for k in range(len(KINDS))], axis=1)
     net = Net(seed)
     score = prior
     wk = kind[doc]
     starts = np.searchsorted(doc, np.arange(len(ids)))
     ends = np.searchsorted(doc, np.arange(len(ids)), side="right")
+    # what the worst windows of clean documents reach by word odds: a labelled document that stays below is taken for a wrong label
+    worst = np.array([prior[starts[i] : ends[i]].max(0) for i in np.flatnonzero(clean) if ends[i] > starts[i]])
+    floor = np.quantile(worst, 0.98, axis=0) if len(worst) else np.zeros(len(KINDS))
     for r in range(rounds):
-        pos, target = [], []
+        pos, target, own_weight = [], [], []
         for i in np.flatnonzero(~clean):
             s, e = starts[i], ends[i]
             if e > s:
                 own = score[s:e, kind[i]]
                 best = own.max()
-                pick = np.flatnonzero(own >= (best - 1e-6 if r == 0 else max(0.5, best - 0.05)))
-                if r and not len(pick):
-                    continue  # no window looks like its label: a wrong label
-                for j in pick[:4]:
+                if best <= (floor[kind[i]] if r == 0 else 0.5):
+                    continue  # no window looks like its label
+                pick = np.flatnonzero(own >= (best - 1e-6 if r == 0 else best - 0.05))
+                beside = {j + d for j in pick[:4] for d in (-1, 1) if 0 <= j + d < e - s} - set(pick.tolist())
+                for j, weight in [(j, 1.5) for j in pick[:4]] + [(j, 0.0) for j in sorted(beside)]:  # neighbours tell of the other kinds only
                     pos.append(s + j)
                     target.append(kind[i])
+                    own_weight.append(weight)
+        picked = [np.array([p for p, k, o in zip(pos, target, own_weight) if k == x and o > 0], int) for x in range(len(KINDS))]
+        strong = np.array([STRONG * np.median(prior[p, x]) if len(p) else np.inf for x, p in enumerate(picked)])
+        base = sum(o > 0 for o in own_weight)
         cw = np.flatnonzero(wk == -1)
         if not len(pos) or not len(cw):
             break
-        hard = cw[np.argsort(-score[cw].max(1), kind="stable")[: len(pos)]]
+        hard = cw[np.argsort(-(score[cw] / (1 if r else np.maximum(floor, 1e-6))).max(1), kind="stable")[: 3 * base // 2]]
         for _ in range(epochs):
-            neg = np.concatenate([rng.choice(cw, min(len(cw), 3 * len(pos)), replace=False), hard])
+            neg = np.concatenate([rng.choice(cw, min(len(cw), 2 * base), replace=False), hard])
             idx = np.concatenate([pos, neg])
             y = np.zeros((len(idx), len(KINDS)), np.float32)
-            y[np.arange(len(pos)), target] = 1
+            at = np.arange(len(pos))
+            y[at, target] = np.array(own_weight) > 0
             w = np.ones_like(y)
-            w[: len(pos)] = OTHER_KINDS  # a window seldom holds two kinds
-            w[np.arange(len(pos)), target] = 1.5
+            w[len(pos) + len(neg) - len(hard) :] = HARD
+            w[: len(pos)] = np.where(prior[pos] <= strong, OTHER_KINDS, 0)  # a window seldom holds two kinds, unless its words say so
+            w[at, target] = own_weight
             order = rng.permutation(len(idx))
             for s in range(0, len(order), 192):
                 o = order[s : s + 192]
