@@ -1,3 +1,4 @@
-from .tables import read_table
+from .sinks import flat, markdown, write_csv, write_jsonl, write_parquet
+from .tables import read_csv, read_jsonl, read_lines, read_table
 
-__all__ = ["read_table"]
+__all__ = ["flat", "markdown", "read_csv", "read_jsonl", "read_lines", "read_table", "write_csv", "write_jsonl", "write_parquet"]

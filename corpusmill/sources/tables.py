@@ -1,11 +1,26 @@
-"""Parquet tables of a data folder."""
+"""Parquet, CSV, JSON and text tables of a data folder."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 
 def read_table(spark: SparkSession, folder: str, name: str, *columns: str) -> DataFrame:
     """The table, pruned to the columns if any are given, so that the scan reads no more than these."""
     df = spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
     return df.select(*columns) if columns else df
+
+
+def read_csv(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
+    """CSV with a header under a given schema (nothing is inferred)."""
+    return spark.read.schema(schema).option("header", "true").option("multiLine", "true").option("escape", '"').csv(path)
+
+
+def read_jsonl(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
+    """JSON lines under a given schema; a line that can't be read comes out with nulls."""
+    return spark.read.schema(schema).json(path)
+
+
+def read_lines(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.text(path)
