@@ -58,7 +58,7 @@ def hash_key(c: Column) -> Column:
 def doi_key(c: Column) -> Column:
     """Letters and digits of a DOI; null for placeholders, which don't begin as a DOI does."""
     k = alnum_key(c)
-    return F.when(k.rlike(r"^10\d{4}") & (F.length(k) >= 8), k)
+    return F.when(k.rlike(r"^10\d{4}") & (F.length(k) > 6), k)
 
 
 _WORD = re.compile(r"[a-z0-9]+")

@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -265,7 +266,7 @@ def _shards(reference: DataFrame, most: int) -> list[list[tuple]]:
 
 
 def _per_shard(entries: list[tuple]):
-    def answer(batches):
+    def answer(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         m = Matcher(entries)
         for values, families in batches:
             yield pd.DataFrame([m.match(v, f) for v, f in zip(values, families)], columns=["material_id", "distance"])
@@ -279,7 +280,7 @@ def mapped(facts: DataFrame, reference: DataFrame, most: int = SHARD_SPELLINGS)
     shards = _shards(reference, most)
     cols = []
     for i, entries in enumerate(shards):
-        answer = F.pandas_udf(_per_shard(entries), "material_id int, distance int", F.PandasUDFType.SCALAR_ITER)
+        answer = F.pandas_udf(_per_shard(entries), "material_id int, distance int")
         cols.append(answer("material", "material_family").alias(f"__s{i}"))
     won = rows.select("*", *cols)
     best = F.array_min(F.array(*[F.struct(F.when(F.col(f"__s{i}.material_id") == 0, 1).otherwise(0).alias("miss"), F.col(f"__s{i}.distance").alias("distance"), F.col(f"__s{i}.material_id").alias("material_id")) for i in range(len(shards))]))

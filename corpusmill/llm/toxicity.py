@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 KINDS = ("abusive", "hateful", "sexual")
 WINDOW, STRIDE = 20, 10
 MAX_PER_KIND, MAX_CLEAN = 900, 2_600
+MIN_STEPS = 60
 VOCAB, BUCKETS, GRAMS = 4_000, 1_024, 18
 D_WORD, D_CHAR, HIDDEN, ATT = 24, 16, 24, 16
 THRESHOLD = 0.6
@@ -59,7 +60,7 @@ def tokens(text: str) -> list[str]:
             continue
         if single:
             flush()
-        if any(c in "@$" for c in t) or (t[0].isalpha() and re.search(r"[a-z][013457]+[a-z]", t)) or re.match(r"[013457][a-z]{2}[a-z013457]*[a-z]$", t):
+        if any(c in "@$" for c in t) or re.fullmatch(r"[a-z013457'-]*[a-z][013457]+[a-z][a-z013457'-]*", t) or re.fullmatch(r"[013457][a-z]{2}[a-z013457]*[a-z]", t):
             t = t.translate(LOOKALIKE)
         else:
             t = re.sub(r"\d+", "#", t)
@@ -235,6 +236,11 @@ def cut(ids: list[int]) -> np.ndarray:
 def train(texts: list[str], labels: list[str], seed: int = 1, rounds: int = 6, epochs: int = 3) -> tuple[Net, dict[str, int]]:
     """The network and its vocabulary, from texts with one label each."""
     rng = np.random.default_rng(seed)
+    if not texts or not set(labels) & set(KINDS):
+        net = Net(seed)
+        net.p["wo"][:] = 0
+        net.p["bo"][:] = -20
+        return net, {}
     toks = [tokens(t) for t in texts]
     df = Counter(w for t in toks for w in set(t))
     vocab = {w: i + 2 for i, (w, _) in enumerate(sorted(((w, n) for w, n in df.items() if n > 1), key=lambda x: (-x[1], x[0]))[:VOCAB])}
@@ -289,7 +295,8 @@ def train(texts: list[str], labels: list[str], seed: int = 1, rounds: int = 6, e
         if not len(pos) or not len(cw):
             break
         hard = cw[np.argsort(-(score[cw] / (1 if r else np.maximum(floor, 1e-6))).max(1), kind="stable")[: 3 * base // 2]]
-        for _ in range(epochs):
+        enough = -(-MIN_STEPS * 192 // max(1, len(pos) + 3 * base + base // 2))  # few labels take more epochs
+        for _ in range(max(epochs, enough)):
             neg = np.concatenate([rng.choice(cw, min(len(cw), 2 * base), replace=False), hard])
             idx = np.concatenate([pos, neg])
             y = np.zeros((len(idx), len(KINDS)), np.float32)
