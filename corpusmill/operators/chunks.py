@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.functions import text as T
 from corpusmill.functions import vocab as V
+from corpusmill.session import spread
 
 MIN_CHARS, MAX_CHARS, OVERLAP = 900, 1800, 260
 
@@ -43,7 +44,7 @@ def chunk_pages(pages: DataFrame, least: int = MIN_CHARS, most: int = MAX_CHARS,
 
     The index is the page's offset (a running sum over per-page counts, one row a page) plus the place in the page, so the texts themselves
     are never shuffled for numbering other than by the join on page_id."""
-    cut = pages.select("page_id", "paper_id", "pdf_id", "page_number", F.filter(split_text(F.col("text"), least, most, overlap), lambda c: T.section(c) != "references").alias("parts"))
+    cut = spread(pages).select("page_id", "paper_id", "pdf_id", "page_number", F.filter(split_text(F.col("text"), least, most, overlap), lambda c: T.section(c) != "references").alias("parts"))
     w = Window.partitionBy("pdf_id").orderBy("page_number", "page_id").rowsBetween(Window.unboundedPreceding, -1)
     offsets = cut.select("page_id", "pdf_id", "page_number", F.size("parts").alias("n")).withColumn("offset", F.coalesce(F.sum("n").over(w), F.lit(0))).select("page_id", "offset")
     flat = cut.join(offsets, "page_id").select("paper_id", "pdf_id", "page_number", "offset", F.posexplode("parts").alias("pos", "text"))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.functions import text as T
 from corpusmill.functions import vocab as V
+from corpusmill.session import spread
 
 
 def lit_map(d: dict[str, str]) -> Column:
@@ -247,7 +248,7 @@ def mentions(texts: DataFrame, id_col: str, text_col: str) -> DataFrame:
             rows = [(i, k, n, m.start(), _sentence(t, m.start(), m.end())) for i, t in zip(b[id_col], b[text_col]) if t for k, n, rx in kinds for m in rx.finditer(t)]
             yield pd.DataFrame(rows, columns=[id_col, "kind", "name", "place", "evidence"])
 
-    return texts.select(id_col, text_col).mapInPandas(run, f"{id_col} string, kind string, name string, place int, evidence string")
+    return spread(texts.select(id_col, text_col)).mapInPandas(run, f"{id_col} string, kind string, name string, place int, evidence string")
 
 
 def with_model(chunks: DataFrame, call, batch: int = 32) -> DataFrame:

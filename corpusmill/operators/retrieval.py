@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.functions import text as T
 from corpusmill.functions import vocab as V
+from corpusmill.session import spread
 
 from .facts import unit_fits
 
@@ -14,18 +15,23 @@ WORD = r"(?U)[\w./-]+"
 MAX_TERMS = 50_000
 
 
-def terms(text: Column) -> Column:
-    """Lower-case words and word pairs, as often as they occur."""
-    w = F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0))
-    pairs = F.when(F.size(w) > 1, F.zip_with(F.slice(w, 1, F.size(w) - 1), F.slice(w, 2, F.size(w)), lambda a, b: F.concat(a, F.lit(" "), b))).otherwise(F.array().cast("array<string>"))
-    return F.concat(w, pairs)
+def terms(words: Column) -> Column:
+    """Words and word pairs, as often as they occur; `words` should be a column, so that the text is taken apart once."""
+    pairs = F.when(F.size(words) > 1, F.zip_with(F.slice(words, 1, F.size(words) - 1), F.slice(words, 2, F.size(words)), lambda a, b: F.concat(a, F.lit(" "), b))).otherwise(F.array().cast("array<string>"))
+    return F.concat(words, pairs)
+
+
+def exploded_terms(df: DataFrame, id_col: str, text_col: str, id_name: str) -> DataFrame:
+    """id, term: lower-case words and pairs of each text, one row an occurrence."""
+    w = spread(df.select(id_col, text_col)).select(F.col(id_col).alias(id_name), F.regexp_extract_all(F.lower(F.col(text_col)), F.lit(WORD), F.lit(0)).alias("__w"))
+    return w.select(id_name, F.explode(terms(F.col("__w"))).alias("term"))
 
 
 def index(docs: DataFrame, id_col: str, text_col: str, most: int = MAX_TERMS) -> DataFrame:
     """id, term, weight: the `most` terms of highest total count (ties by term), idf = ln((1 + N) / (1 + df)) + 1, rows of length 1.
 
     Texts are exploded once into counts per document and term; document frequency and total come from the same counts."""
-    tf = docs.select(F.col(id_col).alias("id"), F.explode(terms(F.col(text_col))).alias("term")).groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf"))
+    tf = exploded_terms(docs, id_col, text_col, "id").groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf"))
     n = F.lit(float(docs.count()))  # one number
     vocab = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("total")).orderBy(F.desc("total"), "term").limit(most)
     idf = vocab.select("term", (F.log((n + 1) / (F.col("df") + 1)) + 1).alias("idf"))
@@ -38,7 +44,7 @@ def search(idx: DataFrame, docs: DataFrame, queries: DataFrame, id_col: str, k:
     """query_id, rank, id, score: cosine of each query with the documents that share a term; the k best with a score over 0 (ties by id).
 
     queries: query_id, query. Only postings of the queries' terms take part; the index is joined, never scanned per query."""
-    q = queries.select("query_id", F.explode(terms(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
+    q = exploded_terms(queries, "query_id", "query", "query_id").groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
     n = F.lit(float(docs.count()))
     df = idx.join(q.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     qw = q.join(df, "term").select("query_id", "term", (F.col("qtf") * (F.log((n + 1) / (F.col("df") + 1)) + 1)).alias("qw"))

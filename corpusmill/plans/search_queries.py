@@ -34,7 +34,7 @@ def tfidf_search(s, d):
 def keyword_index(s, d):
     """Postings of high-value chunks: term, chunks, occurrences."""
     c = t(s, d, "document_chunks", "chunk_id", "text", "is_high_value").where("is_high_value")
-    return c.select("chunk_id", F.explode(retrieval.terms(F.col("text"))).alias("term")).groupBy("term").agg(F.countDistinct("chunk_id").alias("chunks"), F.count(F.lit(1)).alias("occurrences"))
+    return retrieval.exploded_terms(c, "chunk_id", "text", "chunk_id").groupBy("term").agg(F.countDistinct("chunk_id").alias("chunks"), F.count(F.lit(1)).alias("occurrences"))
 
 
 def tokenize(s, d):
@@ -82,11 +82,12 @@ def _people(c):
 
 def _raw_openalex(s, d):
     c = t(s, d, "literature_candidates", "candidate_id", "title", "doi", "authors", "journal", "publisher", "year", "abstract", "oa_status", "oa_url", "pdf_url", "source", "query").where("source = 'openalex'")
-    words = F.filter(F.split("abstract", r"\s+"), lambda w: w != "")
-    places = F.transform(F.array_distinct(words), lambda w: F.struct(w.alias("key"), F.filter(F.transform(words, lambda x, i: F.when(x == w, i)), lambda x: x.isNotNull()).alias("value")))
+    words = c.select("candidate_id", F.posexplode(F.filter(F.split("abstract", r"\s+"), lambda w: w != "")).alias("p", "w"))
+    places = words.groupBy("candidate_id", "w").agg(F.collect_list("p").alias("p")).groupBy("candidate_id").agg(F.map_from_entries(F.collect_list(F.struct("w", "p"))).alias("places"))
+    c = c.join(places, "candidate_id", "left")
     j = F.struct(
         F.col("candidate_id").alias("id"), F.col("doi"), F.col("title"), F.col("year").alias("publication_year"), F.transform(_people(F.col("authors")), lambda a: F.struct(a.alias("raw_author_name"))).alias("authorships"),
-        F.struct(F.struct(F.col("journal").alias("display_name"), F.col("publisher")).alias("source"), F.col("pdf_url")).alias("primary_location"), F.struct("oa_status", "oa_url").alias("open_access"), F.map_from_entries(places).alias("abstract_inverted_index"),
+        F.struct(F.struct(F.col("journal").alias("display_name"), F.col("publisher")).alias("source"), F.col("pdf_url")).alias("primary_location"), F.struct("oa_status", "oa_url").alias("open_access"), F.col("places").alias("abstract_inverted_index"),
     )
     return c.select("query", F.to_json(j).alias("json"))
 

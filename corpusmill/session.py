@@ -78,3 +78,11 @@ def broadcast_if_small(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYT
 
 def partitions_for(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """The frame over all cores if its scan has fewer than half as many partitions: a small input (one file, one row group) before costly work.
+
+    A large input has more partitions than that and is returned as it is, without a shuffle."""
+    want = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(want) if df.rdd.getNumPartitions() * 2 <= want else df
