@@ -80,9 +80,13 @@ def partitions_for(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
-def spread(df: DataFrame) -> DataFrame:
+def few_partitions(scan: DataFrame) -> bool:
+    """Whether a scan has fewer than half as many partitions as there are cores. For frames without a shuffle only: adaptive plans run to answer this."""
+    return scan.rdd.getNumPartitions() * 2 <= scan.sparkSession.sparkContext.defaultParallelism
+
+
+def spread(df: DataFrame, scan: DataFrame | None = None) -> DataFrame:
     """The frame over all cores if its scan has fewer than half as many partitions: a small input (one file, one row group) before costly work.
 
-    A large input has more partitions than that and is returned as it is, without a shuffle."""
-    want = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(want) if df.rdd.getNumPartitions() * 2 <= want else df
+    A large input has more partitions than that and is returned as it is, without a shuffle. `scan` is what to ask for frames that shuffle."""
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if few_partitions(df if scan is None else scan) else df
