@@ -30,7 +30,7 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.session import scratch
+from corpusmill.session import scratch, spread
 
 from .canonical import alnum_key
 from .components import roots
@@ -100,7 +100,7 @@ def _page_vectors(batches):
 def file_vectors(files: DataFrame, pages: DataFrame) -> DataFrame:
     """pdf_id, batch_no, vec, words: page vectors are summed per file with partial aggregation, so a file may have any number of pages."""
     p = pages.select("pdf_id", "text").where("text is not null").join(files.select("pdf_id", "batch_no"), "pdf_id")
-    v = p.mapInPandas(_page_vectors, "pdf_id string, batch_no int, vec array<float>, words long")
+    v = spread(p, pages).mapInPandas(_page_vectors, "pdf_id string, batch_no int, vec array<float>, words long")
     s = v.groupBy("pdf_id", "batch_no").agg(Summarizer.sum(array_to_vector("vec")).alias("vec"), F.sum("words").alias("words"))
     return s.select("pdf_id", "batch_no", vector_to_array("vec", "float32").alias("vec"), "words").where(F.col("words") >= MIN_WORDS)
 

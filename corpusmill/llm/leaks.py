@@ -19,6 +19,8 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from corpusmill.session import spread
+
 MIN_WORDS = 20
 MIN_ANSWER_WORDS = 8
 MAX_PATTERN_CHARS = 30_000_000
@@ -114,6 +116,6 @@ def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
     out = None
     schema = "doc_id long, item_id long, start int, end int, hits int"
     for table in blocks(rows):
-        part = docs.select(id_col, text_col).mapInPandas(_scanner(table, id_col, text_col), schema)
+        part = spread(docs.select(id_col, text_col)).mapInPandas(_scanner(table, id_col, text_col), schema)
         out = part if out is None else out.unionByName(part)
     return out if out is not None else docs.sparkSession.createDataFrame([], schema)

@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusmill.session import through_table
+from corpusmill.session import spread, through_table
 
 from .lines import tidy_name
 
@@ -121,7 +121,7 @@ def _prepared(docs: DataFrame, targets: list[tuple[str, float, int]], tokenizer:
             cap = np.where(top >= 0, caps[np.maximum(top, 0)], 0.0) if k else np.zeros(len(b))
             yield pd.DataFrame({"doc_id": b["doc_id"].to_numpy(), "source": [s for s in b["source"]], "tokens": [count(t) for t in b["text"]], "member": list(member), "cap": cap, "top": top.astype(np.int32)})
 
-    return d.mapInPandas(run, "doc_id long, source string, tokens long, member array<float>, cap double, top int")
+    return spread(d).mapInPandas(run, "doc_id long, source string, tokens long, member array<float>, cap double, top int")
 
 
 def fit_rates(table: DataFrame, shares: np.ndarray, total: float) -> np.ndarray:

@@ -23,6 +23,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusmill.session import spread
+
 KINDS = ("abusive", "hateful", "sexual")
 WINDOW, STRIDE = 20, 10
 MAX_PER_KIND, MAX_CLEAN = 900, 2_600
@@ -361,7 +363,7 @@ def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
                     at += n
                 yield pd.DataFrame({"doc_id": part["doc_id"].to_numpy(), "source": part["source"].to_numpy(), **{k: out[:, j] for j, k in enumerate(KINDS)}})
 
-    return docs.select("doc_id", "source", "text").mapInPandas(run, "doc_id long, source string, abusive float, hateful float, sexual float")
+    return spread(docs.select("doc_id", "source", "text")).mapInPandas(run, "doc_id long, source string, abusive float, hateful float, sexual float")
 
 
 def found(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
