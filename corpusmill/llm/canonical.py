@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusmill.session import broadcast_if_small
+from corpusmill.session import broadcast_if_small, through_table
 
 #: Rows of one key from which the key counts as hot.
 HOT_ROWS = 10_000
@@ -52,7 +52,8 @@ def _guard(df: DataFrame) -> None:
 def _split(df: DataFrame, id_col: str, fields: list[str], threshold: int, extra: list[str] = ()) -> tuple[DataFrame, DataFrame]:
     """Narrow rows (key, identifier), with whether their key is hot."""
     _guard(df)
-    keyed = df.select(canonical_key(*[F.col(f"`{c}`").cast("string") for c in fields]).alias(f"{_P}key"), F.col(f"`{id_col}`").alias(f"{_P}id"))
+    # the expressions are costly and the rows narrow, so keys are made once and kept as 32 bytes beside the identifier
+    keyed = through_table(df.select(F.unhex(canonical_key(*[F.col(f"`{c}`").cast("string") for c in fields])).alias(f"{_P}key"), F.col(f"`{id_col}`").alias(f"{_P}id")), "canon")
     hot = broadcast_if_small(hot_keys(keyed, f"{_P}key", threshold), row_bytes=96)
     return keyed, hot
 
@@ -66,7 +67,7 @@ def collapse(df: DataFrame, id_col: str = "candidate_id", fields: tuple[str, ...
     first = marked.where(F.col(f"{_P}hot")).groupBy(k, salt.alias(f"{_P}salt")).agg(F.min(i).alias(i), F.count(F.lit(1)).alias("copies"))
     two = first.groupBy(k).agg(F.min(i).alias("kept_id"), F.sum("copies").alias("copies"))
     one = marked.where(F.col(f"{_P}hot").isNull()).groupBy(k).agg(F.min(i).alias("kept_id"), F.count(F.lit(1)).alias("copies"))
-    return one.unionByName(two).withColumnRenamed(k, "record_key")
+    return one.unionByName(two).select(F.hex(k).alias("record_key"), "kept_id", "copies")
 
 
 def members(df: DataFrame, id_col: str = "candidate_id", fields: tuple[str, ...] = ("title", "doi"), threshold: int = HOT_ROWS, salts: int = SALTS) -> DataFrame:
