@@ -189,7 +189,6 @@ def shares(docs: DataFrame, targets: DataFrame, tokenizer: str = TOKENIZER) -> D
     """source, target_share, max_repeats, docs, tokens, used_tokens, reached_share, most_used."""
     m = mixed(docs, targets, tokenizer)
     s = m.groupBy("source").agg(F.count(F.lit(1)).alias("docs"), F.sum("tokens").alias("tokens"), F.sum(F.col("tokens") * F.col("times_used")).alias("used_tokens"), F.max("times_used").alias("most_used"))
-    all_ = s.agg(F.sum("used_tokens").alias("all_used"))
     goal = targets.groupBy(source_name(F.col("source")).alias("source")).agg(F.sum("target_share").alias("target_share"), F.max("max_repeats").alias("max_repeats"))
-    j = goal.join(s, "source", "full").join(F.broadcast(all_))  # one row
+    j = goal.join(s, "source", "full").withColumn("all_used", F.sum("used_tokens").over(Window.partitionBy(F.lit(1))))  # one row a source
     return j.select("source", "target_share", "max_repeats", "docs", "tokens", "used_tokens", (F.col("used_tokens") / F.nullif(F.col("all_used"), F.lit(0))).alias("reached_share"), "most_used")
