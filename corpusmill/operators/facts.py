@@ -144,8 +144,8 @@ def sample(text: Column) -> Column:
 
 def evidence(text: Column, pattern: str) -> Column:
     """The sentence around the first match: up to the full stops or newlines beside it; a window of 160 and 220 characters if that is shorter than 40; at most 700 characters."""
-    at = F.regexp_instr(text, F.lit(pattern)) - 1
-    m = F.regexp_extract(text, pattern, 0)
+    m = F.nullif(F.regexp_extract(text, pattern, 0), F.lit(""))
+    at = F.position(m, text) - 1
     before, after = F.substring(text, F.lit(1), at), F.substring(text, at + F.char_length(m) + 1, F.char_length(text))
     stop = F.regexp_extract(after, r"^[^.\n]*[.\n]", 0)
     right = F.when(stop != "", stop).otherwise(F.substring(after, 1, 220))

@@ -316,6 +316,7 @@ SQL = {
     "extract_devices": " UNION ALL ".join(f"SELECT chunk_id, {q(x)} AS device_type FROM document_chunks WHERE regexp_matches(text, {q(rf'(?i){chr(92)}b{x}{chr(92)}b')})" for x in V.DEVICES),
     "extract_samples": f"WITH {_F}, {_SAMPLE} SELECT fact_id, film_thickness_nm, deposition_method, annealing_temperature_c, top_electrode, bottom_electrode, substrate, device_stack, sample_form FROM ctx WHERE has_sample",
     "extract_stats": f"WITH {_F}, {_props_sql()}, {_materials_sql().replace('x AS', 'y AS', 1)}, n AS (SELECT f.fact_id, (SELECT count(*) FROM x WHERE x.fact_id = f.fact_id) AS p, (SELECT count(*) FROM y WHERE y.fact_id = f.fact_id) AS m FROM f) SELECT count(*) AS texts, CAST(sum(p) AS BIGINT) AS properties, CAST(sum(m) AS BIGINT) AS materials, count(*) FILTER (p = 0 AND m = 0) AS empty FROM n",
+    "evidence_window": f"WITH m AS (SELECT chunk_id, text, regexp_extract(text, '(?i)remanent polarization', 0) AS m FROM document_chunks), p AS (SELECT *, substr(text, 1, strpos(text, m) - 1) AS b, substr(text, strpos(text, m) + length(m)) AS a FROM m WHERE m <> ''), s AS (SELECT *, regexp_extract(a, '^[^.\\n]*[.\\n]', 0) AS stop FROM p), w AS (SELECT chunk_id, trim(regexp_replace(regexp_extract(b, '[^.\\n]*$', 0) || m || CASE WHEN stop <> '' THEN stop ELSE substr(a, 1, 220) END, '\\s+', ' ', 'g'), {WS}) AS sent, trim(regexp_replace(right(b, 160) || m || substr(a, 1, 220), '\\s+', ' ', 'g'), {WS}) AS wide FROM s) SELECT chunk_id, substr(CASE WHEN length(sent) < 40 THEN wide ELSE sent END, 1, 700) AS evidence FROM w",
     "credible_stack": f"WITH {_F}, {_SAMPLE} SELECT fact_id, device_stack, stack FROM ctx WHERE device_stack IS NOT NULL",
     "measurement_state": f"WITH {_F} SELECT fact_id, CASE WHEN {any_sql('lower(' + _EV + ')', ['wake-up', 'wake up', 'wakeup'])} THEN 'wake-up mentioned' WHEN {any_sql('lower(' + _EV + ')', ['pristine', 'fresh', 'initial'])} THEN 'pristine/initial mentioned' ELSE 'not specified' END AS wake_up_state, CASE WHEN property_name = 'endurance_cycles' THEN 'endurance metric' WHEN {any_sql('lower(' + _EV + ')', ['endurance', 'fatigue', 'cycle', 'cycling'])} THEN 'cycling/endurance mentioned' ELSE 'not specified' END AS endurance_state FROM f",
     "ontology_context": f"WITH {_F}, {_SAMPLE} SELECT fact_id, score, {_QUALITY} AS quality, score >= 0.75 AS comparison_ready, array_to_string(list_filter([{', '.join(f'CASE WHEN NOT checks[{i + 1}] THEN {q(k)} END' for i, k in enumerate(facts.CHECKS))}], lambda x: x IS NOT NULL), ',') AS missing, process_summary FROM ctx",

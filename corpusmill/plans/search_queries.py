@@ -229,6 +229,9 @@ SQL = {
     "lit_upsert": "WITH o AS (SELECT * FROM literature_candidates WHERE created_at < TIMESTAMP '2024-06-01'), n AS (SELECT candidate_id, upper(title) AS title, year FROM literature_candidates WHERE created_at >= TIMESTAMP '2024-01-01') SELECT coalesce(o.candidate_id, n.candidate_id) AS candidate_id, CASE WHEN n.candidate_id IS NULL THEN o.title ELSE n.title END AS title, CASE WHEN n.candidate_id IS NULL THEN o.year ELSE n.year END AS year, CASE WHEN n.candidate_id IS NULL THEN o.status ELSE 'seen' END AS status, CASE WHEN o.candidate_id IS NULL THEN 'not_downloaded' ELSE o.download_status END AS download_status FROM o FULL JOIN n ON o.candidate_id = n.candidate_id",
     "abstract_rebuild": f"WITH {_OA} SELECT candidate_id, abstract FROM oa WHERE abstract IS NOT NULL",
     "download_dedup": "WITH f AS (SELECT pdf_id, regexp_replace(lower(trim(sha256)), '^sha256:', '') AS h, batch_no FROM pdf_files) SELECT pdf_id, h IS NOT NULL AND (h IN (SELECT h FROM f WHERE batch_no <= 15 AND h IS NOT NULL) OR row_number() OVER (PARTITION BY h ORDER BY batch_no, pdf_id) > 1) AS duplicate FROM f WHERE batch_no > 15",
+    "ontology_nodes": "SELECT * FROM (VALUES " + ", ".join(f"({q(k)}, {q(v)})" for k, v in ontology.NODES.items()) + ") t(node_class, key_field)",
+    "ontology_relations": "SELECT * FROM (VALUES " + ", ".join(f"({q(a)}, {q(b)}, {q(c)})" for a, b, c in ontology.RELATIONS) + ") t(relation, source, target)",
+    "ontology_validate": "WITH r(relation, source, target) AS (VALUES " + ", ".join(f"({q(a)}, {q(b)}, {q(c)})" for a, b, c in ontology.RELATIONS) + "), e AS (SELECT relation, unnest([source, target]) AS node_class FROM r) SELECT * FROM e WHERE node_class NOT IN (" + ", ".join(q(k) for k in ontology.NODES) + ")",
     "recent_events": "SELECT event_id, event_type, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events ORDER BY ts DESC, event_id DESC LIMIT 50",
     "progress_log": "WITH l AS (SELECT max(event_id) AS processed FROM events), x AS (SELECT event_id AS processed, user_id AS candidates, event_id % 7 AS empty, event_id % 3 AS errors FROM events WHERE event_id = (SELECT processed FROM l)) SELECT processed, candidates, empty, errors, CAST(20000 - processed AS BIGINT) AS remaining, round(processed / 20000.0 * 100, 1)::DOUBLE AS percent FROM x",
 }
