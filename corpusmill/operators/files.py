@@ -84,3 +84,16 @@ def write_snapshot(df: DataFrame, path: str, name: str) -> str:
     out = f"{path.rstrip('/')}/{name}"
     df.write.mode("errorifexists").parquet(out)
     return out
+
+
+def layout_titles(spans: DataFrame, slack: float = 1.2, gap: float = 48.0, least: float = 12.0) -> DataFrame:
+    """page_id, title, y: spans (page_id, y, x, size, text) of the largest type joined into lines that follow each other; the topmost group wins.
+
+    Islands by a running count of gaps within a page; a page's spans are few. Blank spans take no part; a page without type of the least size has no title."""
+    s = spans.where(F.trim("text") != "")
+    top = Window.partitionBy("page_id")
+    big = s.withColumn("__max", F.max("size").over(top)).where((F.col("size") >= F.greatest(F.lit(least), F.col("__max") - slack)))
+    order = Window.partitionBy("page_id").orderBy("y", "x", "text")
+    big = big.withColumn("__new", F.when(F.col("y") - F.lag("y").over(order) > gap, 1).otherwise(0)).withColumn("__g", F.sum("__new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    lines = big.groupBy("page_id", "__g").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("y", "x", "text"))), lambda r: T.strip(r["text"])), " ").alias("title"), F.min("y").alias("y"))
+    return lines.groupBy("page_id").agg(F.min_by(F.struct("title", "y"), "__g").alias("r")).select("page_id", "r.title", "r.y")
