@@ -54,7 +54,7 @@ def _split(df: DataFrame, id_col: str, fields: list[str], threshold: int, extra:
     _guard(df)
     # the expressions are costly and the rows narrow, so keys are made once and kept as 32 bytes beside the identifier
     keyed = through_table(df.select(F.unhex(canonical_key(*[F.col(f"`{c}`").cast("string") for c in fields])).alias(f"{_P}key"), F.col(f"`{id_col}`").alias(f"{_P}id")), "canon")
-    hot = broadcast_if_small(hot_keys(keyed, f"{_P}key", threshold), row_bytes=96)
+    hot = broadcast_if_small(through_table(hot_keys(keyed, f"{_P}key", threshold), "hot"), row_bytes=96)
     return keyed, hot
 
 
@@ -84,6 +84,6 @@ def members(df: DataFrame, id_col: str = "candidate_id", fields: tuple[str, ...]
     warm = keyed.join(hot, k, "left_semi")
     salted = warm.groupBy(k, F.pmod(F.xxhash64(i), F.lit(salts)).alias(f"{_P}salt")).agg(F.min(i).alias("m"))
     reps = salted.groupBy(k).agg(F.min("m").alias("kept_id"))
-    b = warm.join(broadcast_if_small(reps, row_bytes=160), k)
+    b = warm.join(broadcast_if_small(through_table(reps, "reps"), row_bytes=160), k)
     both = a.select(i, "kept_id").unionByName(b.select(i, "kept_id"))
     return both.where(F.col(i) != F.col("kept_id")).select("kept_id", F.col(i).alias(id_col))
