@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.session import broadcast_if_small
+from corpusmill.session import broadcast_if_small, through_table
 
 MIN_LETTERS, MIN_DOCS, MIN_SHARE = 25, 4, 0.08
 
@@ -53,7 +53,7 @@ def repeated(pages: DataFrame, papers: DataFrame) -> DataFrame:
     """page_id, line_no of every occurrence of a repeated line in its source's pages."""
     p = with_source(pages.select("page_id", "pdf_id", "paper_id", "text"), papers)
     lines = page_lines(p)
-    often = broadcast_if_small(frequent_lines(lines, p).select("source", "h", "h2"), row_bytes=96)
+    often = broadcast_if_small(through_table(frequent_lines(lines, p).select("source", "h", "h2"), "often"), row_bytes=96)
     return lines.join(often, ["source", "h", "h2"]).select("page_id", "line_no")
 
 
@@ -64,7 +64,7 @@ def cleaned_pages(pages: DataFrame, papers: DataFrame) -> DataFrame:
     (a source has at most its mean number of lines per document divided by the share), and are joined by source.
     """
     p = with_source(pages.select("page_id", "pdf_id", "paper_id", "text"), papers)
-    often = frequent_lines(page_lines(p), p).groupBy("source").agg(F.collect_set(F.struct("h", "h2")).alias("often"))
+    often = through_table(frequent_lines(page_lines(p), p).groupBy("source").agg(F.collect_set(F.struct("h", "h2")).alias("often")), "often")
     j = p.join(broadcast_if_small(often, row_bytes=64 * 1024), "source", "left")
     letters = lambda x: F.regexp_replace(F.lower(x), "[^a-z]+", "")
     is_often = lambda x: F.coalesce(F.array_contains("often", F.struct(F.xxhash64(letters(x)).alias("h"), F.crc32(F.encode(letters(x), "UTF-8")).alias("h2"))), F.lit(False)) & (F.length(letters(x)) >= MIN_LETTERS)
