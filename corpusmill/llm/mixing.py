@@ -32,6 +32,8 @@ from .lines import tidy_name
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: the public byte-level BPE's split pattern.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: Texts longer than this aren't drawn into the classifier's sample, whose texts are whole and go to the driver.
+SAMPLE_CHARS = 20_000
 PER_SOURCE, FEATURES, ROUNDS, TOLERANCE, GAIN, CUTS = 150, 4_096, 30, 1e-4, 0.01, 4_096
 
 
@@ -92,14 +94,14 @@ def _prepared(docs: DataFrame, targets: list[tuple[str, float, int]], tokenizer:
     d = docs.select("doc_id", source_name(F.col("source")).alias("source"), "text", *extra)
     rows = []
     if known:
-        of_known = d.where(F.col("source").isin(list(known)) & F.col("text").isNotNull())
+        of_known = d.where(F.col("source").isin(list(known)) & (F.char_length("text") <= SAMPLE_CHARS))
         sizes = {s: n for s, n in of_known.groupBy("source").agg(F.count(F.lit(1))).collect()}  # one row per target source
         share = F.create_map(*[F.lit(x) for s, n in sizes.items() for x in (s, int(min(1.0, 3 * PER_SOURCE / n) * 1_000_000) + 1)]) if sizes else None
         if sizes:
             # one pass: a hash keeps about three times the bound of each source, a window over these few takes the first by hash
             few = of_known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share[F.col("source")])
             first = few.withColumn("__r", F.row_number().over(Window.partitionBy("source").orderBy(F.xxhash64("doc_id"), "doc_id"))).where(F.col("__r") <= PER_SOURCE)
-            got = first.select("doc_id", "source", F.substring("text", 1, 20_000).alias("text"), *extra).orderBy("doc_id").toPandas()
+            got = first.select("doc_id", "source", "text", *extra).orderBy("doc_id").toPandas()
             rows = [(r["text"], tuple(r[c] for c in extra), known[r["source"]]) for _, r in got.iterrows()]
     k = len(targets)
     w = fit_sources(rows, k) if rows else np.zeros((FEATURES + 1, max(1, k)), np.float32)

@@ -29,6 +29,8 @@ KINDS = ("abusive", "hateful", "sexual")
 WINDOW, STRIDE = 20, 10
 MAX_PER_KIND, MAX_CLEAN = 900, 2_600
 MIN_STEPS = 60
+#: Labelled texts longer than this aren't drawn into the training sample, whose texts are whole and go to the driver.
+SAMPLE_CHARS = 20_000
 VOCAB, BUCKETS, GRAMS = 4_000, 1_024, 18
 D_WORD, D_CHAR, HIDDEN, ATT = 24, 16, 24, 16
 THRESHOLD = 0.6
@@ -328,7 +330,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, per_kind: int = MAX_PER_
     chosen = parts[0]
     for p in parts[1:]:
         chosen = chosen.unionByName(p)
-    rows = docs.select("doc_id", F.substring("text", 1, 20_000).alias("text")).where("text is not null").join(F.broadcast(chosen), "doc_id").orderBy("doc_id", "label").collect()
+    rows = docs.select("doc_id", "text").where(F.char_length("text") <= SAMPLE_CHARS).join(F.broadcast(chosen), "doc_id").orderBy("doc_id", "label").collect()
     return [r["text"] for r in rows], [r["label"] for r in rows]
 
 
