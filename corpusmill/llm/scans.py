@@ -89,11 +89,13 @@ class Lexicon:
         self.cache: dict[str, list[str]] = {}
 
     def candidates(self, token: str) -> list[str]:
-        """Known words with the token's skeleton that occur far more often than the token."""
+        """Known words with the token's skeleton that occur far more often than the token and aren't rare against one another: counts only matter by ratio."""
         c = self.cache.get(token)
         if c is None:
             own = self.counts.get(token, 0)
             c = [w for w in self.by.get(skeleton(token), ()) if w != token and self.counts[w] >= RATIO * max(own, 1) and self.counts[w] >= MIN_COUNT + 2]
+            most = max((self.counts[w] for w in c), default=0)
+            c = [w for w in c if self.counts[w] * RATIO > most]  # a misreading that recurs is no right form
             if len(self.cache) > 300_000:
                 self.cache.clear()
             self.cache[token] = c
@@ -233,7 +235,7 @@ def repair(text: str, title: str | None, authors: str | None, often: set[int] |
         low = [t.lower().strip(_STRIP) for t in toks]
         ids = [lex.vocab.get(t, -1) for t in low]
         for i, t in enumerate(low):
-            if len(t) < 3 or (lex.counts.get(t, 0) > 100 and t in lex.vocab) or t in cut_words:
+            if len(t) < 3 or t in cut_words:
                 continue
             if not re.search(r"[a-z]", t) or re.search(r"[\[\]{}/\\^=<>#%&+_~:.]", t):
                 continue
