@@ -4,7 +4,8 @@ Each file's pages become one vector: signed hashed counts of word triples (DIM v
 logarithm of its length as one more coordinate. Vectors are appended to cells around centroids, which are fitted once
 on a bounded sample (SAMPLE rows); every file is indexed. A new batch probes a cell only if the triangle inequality allows a match in
 it: distance to the centroid less the cell's radius must be within RADIUS. Within a cell the same bound drops single
-vectors, and the rest is reranked by the exact distance. Probing a batch reads the accepted vectors of the probed cells and no text of the history.
+vectors, and the rest is reranked by the exact distance. The bounds are those that SIMILARITY below allows, so many files come near that
+aren't repeats; sketches of their shingles (PLACES least hashes) sort these out, SLACK deviations below SIMILARITY. Probing a batch reads the accepted vectors of the probed cells and no text of the history.
 
 A near match is then checked on word shingles (five words): TESTDATA's repeats differ by scattered edits and scan noise in both copies, which
 lowers the Jaccard similarity of true repeats to 0.35, while different files stay under 0.1; SIMILARITY = 0.22 stands between.
@@ -39,13 +40,17 @@ DIM = 256
 CELLS = 64
 SAMPLE = 8_192
 MIN_WORDS = 30
-COSINE = 0.62
+SIMILARITY = 0.22
+#: Files of Jaccard similarity J have vectors of cosine 2 J / (1 + J) = 0.36 at least, but for repeated words and the noise of hashing (deviation 1 / 16).
+COSINE = 0.27
 LENGTH_SCALE = 4.0
-#: Most that the logarithms of two repeats' lengths differ (surrounding lines in short files).
-LENGTH_RATIO = 0.35
+#: Most that the logarithms of two repeats' lengths differ: at Jaccard similarity J, one has J times the other's shingles at least.
+LENGTH_RATIO = float(-np.log(SIMILARITY)) + 0.1
 BLOCK = 4_000
 QUERY_BLOCK = 20_000
-SIMILARITY = 0.22
+#: Places of a file's sketch, and by how many deviations a pair's sketches may be less alike than SIMILARITY.
+PLACES, SLACK = 128, 4.0
+_EMPTY = float(1 << 33)
 RADIUS = float(np.sqrt(2 - 2 * COSINE + (LENGTH_SCALE * LENGTH_RATIO) ** 2))
 
 
@@ -90,19 +95,43 @@ def page_vector(text: str, cache: dict[str, int]) -> tuple[np.ndarray, int]:
     return v, len(ids)
 
 
+def page_sketch(text: str, cache: dict[str, int]) -> np.ndarray:
+    """Least hash of the five-word shingles that fall to each of PLACES places."""
+    ids = _word_ids(text, cache)
+    s = np.full(PLACES, _EMPTY)
+    if (n := len(ids) - 4) > 0:
+        h = np.zeros(n, np.uint64)
+        with np.errstate(over="ignore"):
+            for k in range(5):
+                h = (h ^ ids[k : k + n]) * np.uint64(0x9E3779B97F4A7C15)
+                h ^= h >> np.uint64(29)
+            h *= np.uint64(0xBF58476D1CE4E5B9)
+            h ^= h >> np.uint64(32)
+        np.minimum.at(s, (h % np.uint64(PLACES)).astype(np.int64), (h >> np.uint64(32)).astype(np.float64) + 1)
+    return s
+
+
+def alike(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether the sketches in the rows of a and b allow SIMILARITY: equal places among those that either fills, SLACK deviations below it at most."""
+    filled = ((a > 0) | (b > 0)).sum(1)
+    same = ((a == b) & (a > 0)).sum(1)
+    return same >= SIMILARITY * filled - SLACK * np.sqrt(SIMILARITY * (1 - SIMILARITY) * filled)
+
+
 def _page_vectors(batches):
     cache: dict[str, int] = {}
     for b in batches:
         got = [page_vector(t, cache) for t in b["text"]]
-        yield pd.DataFrame({"pdf_id": b["pdf_id"], "batch_no": b["batch_no"], "vec": [v for v, _ in got], "words": [n for _, n in got]})
+        yield pd.DataFrame({"pdf_id": b["pdf_id"], "batch_no": b["batch_no"], "vec": [v for v, _ in got], "low": [page_sketch(t, cache) for t in b["text"]], "words": [n for _, n in got]})
 
 
 def file_vectors(files: DataFrame, pages: DataFrame) -> DataFrame:
-    """pdf_id, batch_no, vec, words: page vectors are summed per file with partial aggregation, so a file may have any number of pages."""
+    """pdf_id, batch_no, vec, sketch, words: page vectors are summed, least hashes taken, per file with partial aggregation, so a file may have any number of pages."""
     p = pages.select("pdf_id", "text").where("text is not null").join(files.select("pdf_id", "batch_no"), "pdf_id")
-    v = spread(p, pages).mapInPandas(_page_vectors, "pdf_id string, batch_no int, vec array<float>, words long")
-    s = v.groupBy("pdf_id", "batch_no").agg(Summarizer.sum(array_to_vector("vec")).alias("vec"), F.sum("words").alias("words"))
-    return s.select("pdf_id", "batch_no", vector_to_array("vec", "float32").alias("vec"), "words").where(F.col("words") >= MIN_WORDS)
+    v = spread(p, pages).mapInPandas(_page_vectors, "pdf_id string, batch_no int, vec array<float>, low array<double>, words long")
+    s = v.groupBy("pdf_id", "batch_no").agg(Summarizer.sum(array_to_vector("vec")).alias("vec"), Summarizer.min(array_to_vector("low")).alias("low"), F.sum("words").alias("words"))
+    sketch = F.transform(vector_to_array("low"), lambda x: F.when(x < _EMPTY, F.pmod(x.cast("long"), F.lit(255)) + 1).otherwise(0).cast("short"))
+    return s.select("pdf_id", "batch_no", vector_to_array("vec", "float32").alias("vec"), sketch.alias("sketch"), "words").where(F.col("words") >= MIN_WORDS)
 
 
 def embed(vecs: np.ndarray, words: np.ndarray) -> np.ndarray:
@@ -149,7 +178,7 @@ class Store:
             d = distances(embed(np.stack(vec.to_numpy()), words.to_numpy()), cent)
             return pd.DataFrame({"cell": d.argmin(1).astype(np.int32), "dist": d.min(1).astype(np.float32)})
 
-        return vectors.withColumn("__c", place("vec", "words")).select("pdf_id", "batch_no", "vec", "words", "__c.cell", "__c.dist")
+        return vectors.withColumn("__c", place("vec", "words")).select("pdf_id", "batch_no", "vec", "sketch", "words", "__c.cell", "__c.dist")
 
     def prepare(self, vectors: DataFrame) -> None:
         """Fit the centroids on a bounded sample of vectors (a written table), if none are given."""
@@ -174,7 +203,7 @@ class Store:
         return out
 
     def vectors(self) -> DataFrame:
-        return self.spark.read.schema("pdf_id string, vec array<float>, words long, cell int, dist float, batch_no int").parquet(f"{self.folder}/vectors")
+        return self.spark.read.schema("pdf_id string, vec array<float>, sketch array<short>, words long, cell int, dist float, batch_no int").parquet(f"{self.folder}/vectors")
 
     def keys(self) -> DataFrame:
         return self.spark.read.schema("pdf_id string, kind string, key string, batch_no int").parquet(f"{self.folder}/keys")
@@ -203,9 +232,9 @@ class Store:
             return pd.Series(out, dtype=object)
 
         v = self.vectors()
-        q = v.where(F.col("batch_no") == batch).withColumn("__t", F.explode(reach("vec", "words"))).select("pdf_id", "batch_no", "vec", "words", "__t.cell", "__t.block", F.pmod(F.xxhash64("pdf_id"), F.lit(qblocks)).cast("int").alias("qblock"))
+        q = v.where(F.col("batch_no") == batch).withColumn("__t", F.explode(reach("vec", "words"))).select("pdf_id", "batch_no", "vec", "sketch", "words", "__t.cell", "__t.block", F.pmod(F.xxhash64("pdf_id"), F.lit(qblocks)).cast("int").alias("qblock"))
         nb = F.element_at(F.array(*[F.lit(int(x)) for x in blocks]), F.col("cell") + 1)
-        x = self.vectors().where(F.col("batch_no") <= batch).withColumn("block", F.pmod(F.xxhash64("pdf_id"), nb).cast("int")).withColumn("qblock", F.explode(F.sequence(F.lit(0), F.lit(qblocks - 1)))).select("pdf_id", "batch_no", "vec", "words", "dist", "cell", "block", "qblock")
+        x = self.vectors().where(F.col("batch_no") <= batch).withColumn("block", F.pmod(F.xxhash64("pdf_id"), nb).cast("int")).withColumn("qblock", F.explode(F.sequence(F.lit(0), F.lit(qblocks - 1)))).select("pdf_id", "batch_no", "vec", "sketch", "words", "dist", "cell", "block", "qblock")
 
         def match(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
             found = []
@@ -213,6 +242,7 @@ class Store:
                 c = cent[int(key[0])][None, :]
                 b = embed(np.stack(right["vec"].to_numpy()), right["words"].to_numpy())
                 db = right["dist"].to_numpy()
+                sa, sb = np.stack(left["sketch"].to_numpy()), np.stack(right["sketch"].to_numpy())
                 ids_b, bat_b = right["pdf_id"].to_numpy(), right["batch_no"].to_numpy()
                 ids_a, bat_a = left["pdf_id"].to_numpy(), left["batch_no"].to_numpy()
                 for s in range(0, len(left), 1024):
@@ -225,7 +255,9 @@ class Store:
                     at = np.flatnonzero(keep)
                     cos = a[:, :-1] @ b[at, :-1].T
                     near = (cos >= COSINE) & (np.abs(a[:, -1:] - b[at, -1][None, :]) <= LENGTH_SCALE * LENGTH_RATIO)
-                    for i, j in zip(*np.nonzero(near)):
+                    near_a, near_b = np.nonzero(near)
+                    keep = np.concatenate([alike(sa[s + near_a[k : k + 20_000]], sb[at[near_b[k : k + 20_000]]]) for k in range(0, len(near_a), 20_000)] or [np.zeros(0, bool)])
+                    for i, j in zip(near_a[keep], near_b[keep]):
                         old, new = (bat_b[at[j]], ids_b[at[j]]), (bat_a[s + i], ids_a[s + i])
                         if old < new:
                             found.append((old[1], old[0], new[1], new[0]))
@@ -282,7 +314,7 @@ def works(files: DataFrame, pages: DataFrame, papers: DataFrame) -> DataFrame:
     store = Store(spark, scratch(spark, "ivf"))
     raw = f"{store.folder}/raw"
     file_vectors(files, pages).write.parquet(raw)
-    vectors = spark.read.schema("pdf_id string, batch_no int, vec array<float>, words long").parquet(raw)
+    vectors = spark.read.schema("pdf_id string, batch_no int, vec array<float>, sketch array<short>, words long").parquet(raw)
     store.prepare(vectors)
     store.append(vectors, file_keys(files, papers))
     stats = store.stats()

@@ -77,6 +77,18 @@ def test_probing_loses_nothing_against_all_pairs(spark, tmp_path):
     assert got == want and len(want) >= 50
 
 
+def test_near_text_is_found_down_to_the_documented_similarity(spark):
+    """Against brute force over shingles: copies with pages missing and with edits, of lengths far apart."""
+    base = [text(s, 500) for s in range(500, 530)]
+    docs = {f"a{i:02}": w for i, w in enumerate(base)} | {f"b{i:02}": noisy(w[: 130 + 12 * i], i, 0.02) for i, w in enumerate(base)}
+    files = spark.createDataFrame([(k, None, f"p_{k}", 1 + (k[0] == "b")) for k in docs], "pdf_id string, sha256 string, paper_id string, batch_no int")
+    pages = spark.createDataFrame([(k, " ".join(w)) for k, w in docs.items()], "pdf_id string, text string")
+    papers = spark.createDataFrame([], "paper_id string, doi string")
+    sh = {k: {tuple(w[i : i + 5]) for i in range(len(w) - 4)} for k, w in docs.items()}
+    want = {(a, b) for a in sh for b in sh if a < b and len(sh[a] & sh[b]) >= incremental.SIMILARITY * len(sh[a] | sh[b])}
+    assert len(want) >= 25 and {tuple(r) for r in incremental.pairs(files, pages, papers).collect()} == want
+
+
 def test_components_of_chains_and_stars(spark):
     edges = [(f"n{i:03}", f"n{i + 1:03}") for i in range(40)] + [("s0", f"s{i}") for i in range(1, 300)] + [("q", "q"), (None, "q"), ("n000", "n001")]
     r = {x.u: x.root for x in components.roots(spark.createDataFrame(edges, "u string, v string")).collect()}
