@@ -89,18 +89,23 @@ def unit_fits(prop: Column, unit: Column) -> Column:
 # extraction by built-in expressions
 
 
-def properties(text: Column) -> Column:
-    """Array of (property_name, raw_name, value, unit), in the order of the patterns, then of the text. A Pr that belongs to a 2Pr is left out."""
+def properties(text: Column, with_sentence: bool = False) -> Column:
+    """Array of (property_name, raw_name, value, unit), in the order of the patterns, then of the text. A Pr that belongs to a 2Pr is left out.
+
+    with_sentence adds evidence: the whole sentence around each match, or a window if that is short."""
     groups = []
     for name, pattern, raw, unit in V.PROPERTIES:
         if name == "remanent_polarization_Pr":
             pattern = pattern.replace(r"(?i)\b", r"(?i)(?<!2\s{0,3}\.?\s{0,3})\b", 1)
         whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+        if with_sentence:
+            whole = _with_sentences(text, whole, pattern)
+        text_of = (lambda m: m["m"]) if with_sentence else (lambda m: m)
         if name == "remanent_polarization_Pr":
-            whole = F.filter(whole, lambda m: ~m.rlike(V.TWO_PR))
+            whole = F.filter(whole, lambda m: ~text_of(m).rlike(V.TWO_PR))
         value = (lambda p: lambda m: F.pow(F.lit(10.0), F.regexp_extract(m, p, 1).cast("double")))(pattern) if name == "endurance_cycles" else (lambda p: lambda m: F.regexp_extract(m, p.replace(r"(?<!2\s{0,3}\.?\s{0,3})", ""), 1).cast("double"))(pattern)
         units = (lambda p, u: lambda m: F.when(F.regexp_extract(m, p, 2) != "", F.concat(F.regexp_extract(m, p, 2), F.lit("V/cm"))).otherwise(F.lit(u)))(pattern, unit) if name == "coercive_field_Ec" else (lambda u: lambda m: F.lit(u))(unit)
-        groups.append(F.transform(whole, (lambda n, r, v, u: lambda m: F.struct(F.lit(n).alias("property_name"), F.lit(r).alias("raw_name"), v(m).alias("value"), u(m).alias("unit")))(name, raw, value, units)))
+        groups.append(F.transform(whole, (lambda n, r, v, u, t: lambda m: F.struct(F.lit(n).alias("property_name"), F.lit(r).alias("raw_name"), v(t(m)).alias("value"), u(t(m)).alias("unit"), *([m["s"].alias("evidence")] if with_sentence else [])))(name, raw, value, units, text_of)))
     return F.concat(*groups)
 
 
@@ -142,17 +147,33 @@ def sample(text: Column) -> Column:
     )
 
 
-def evidence(text: Column, pattern: str) -> Column:
-    """The sentence around the first match: up to the full stops or newlines beside it; a window of 160 and 220 characters if that is shorter than 40; at most 700 characters."""
-    m = F.nullif(F.regexp_extract(text, pattern, 0), F.lit(""))
-    at = F.position(m, text) - 1
-    before, after = F.substring(text, F.lit(1), at), F.substring(text, at + F.char_length(m) + 1, F.char_length(text))
+def _around(before: Column, m: Column, after: Column) -> Column:
     stop = F.regexp_extract(after, r"^[^.\n]*[.\n]", 0)
     right = F.when(stop != "", stop).otherwise(F.substring(after, 1, 220))
     tidy = lambda c: T.strip(F.regexp_replace(c, r"\s+", " "))
     sent = tidy(F.concat(F.regexp_extract(before, r"[^.\n]*$", 0), m, right))
     wide = tidy(F.concat(F.substring(before, -160, 160), m, F.substring(after, 1, 220)))
-    return F.when(at >= 0, F.substring(F.when(F.char_length(sent) < 40, wide).otherwise(sent), 1, 700))
+    return F.when(F.char_length(sent) < 40, wide).otherwise(sent)
+
+
+def _with_sentences(text: Column, whole: Column, pattern: str) -> Column:
+    """Array of (m, s): each match with its sentence. A match's place follows from the lengths of the matches before it and of the pieces between."""
+    pieces = F.split(text, pattern, -1)
+    length = lambda xs: F.aggregate(xs, F.lit(0), lambda n, x: n + F.char_length(x))
+
+    def one(m, i):
+        at = length(F.slice(pieces, F.lit(1), i + 1)) + length(F.slice(whole, F.lit(1), i))
+        return F.struct(m.alias("m"), _around(F.substring(text, F.lit(1), at), m, F.substring(text, at + F.char_length(m) + 1, F.char_length(text))).alias("s"))
+
+    return F.transform(whole, one)
+
+
+def evidence(text: Column, pattern: str) -> Column:
+    """The sentence around the first match: up to the full stops or newlines beside it; a window of 160 and 220 characters if that is shorter than 40; at most 700 characters."""
+    m = F.nullif(F.regexp_extract(text, pattern, 0), F.lit(""))
+    at = F.position(m, text) - 1
+    before, after = F.substring(text, F.lit(1), at), F.substring(text, at + F.char_length(m) + 1, F.char_length(text))
+    return F.when(at >= 0, F.substring(_around(before, m, after), 1, 700))
 
 
 def credible_stack(stack: Column) -> Column:

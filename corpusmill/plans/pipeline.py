@@ -21,10 +21,10 @@ def build(spark: SparkSession, folder: str, out: str, incremental: bool = False)
         counts[name] = spark.read.parquet(f"{out}/{name}").count()
     c = spark.read.parquet(f"{out}/chunks")
     high = c.where("is_high_value")
-    f = high.select("paper_id", "pdf_id", "chunk_id", "page_number", "text", F.posexplode(facts.properties(F.col("text"))).alias("place", "p"), facts.materials(F.col("text")).alias("m"))
+    f = high.select("paper_id", "pdf_id", "chunk_id", "page_number", "text", F.posexplode(facts.properties(F.col("text"), with_sentence=True)).alias("place", "p"), facts.materials(F.col("text")).alias("m"))
     name = F.coalesce(F.get("m", F.lit(0))["canonical_name"], F.lit("HfO2"))
-    fact = f.select(F.concat(F.lit("fact_"), F.substring(F.sha1(F.concat_ws(":", "chunk_id", F.col("place").cast("string"))), 1, 16)).alias("fact_id"), "paper_id", F.lit(None).cast("string").alias("title"), "page_number", name.alias("material"), "p.property_name", "p.value", "p.unit", F.substring("text", 1, 700).alias("evidence_text"))
-    write_parquet(facts.with_context(fact), f"{out}/facts")
+    fact = f.select(F.concat(F.lit("fact_"), F.substring(F.sha1(F.concat_ws(":", "chunk_id", F.col("place").cast("string"))), 1, 16)).alias("fact_id"), "paper_id", F.lit(None).cast("string").alias("title"), "page_number", name.alias("material"), "p.property_name", "p.value", "p.unit", F.col("p.evidence").alias("evidence_text"), "text")
+    write_parquet(facts.with_context(fact, "text").drop("text"), f"{out}/facts")
     ctx = spark.read.parquet(f"{out}/facts")
     for name_, df in (("nodes", graph.nodes(ctx)), ("edges", graph.edges(ctx)), ("index", retrieval.index(high, "chunk_id", "text"))):
         write_parquet(df, f"{out}/{name_}")

@@ -41,3 +41,16 @@ def test_pipeline_builds_all_stages(spark, sf, tmp_path):
     n = pipeline.build(spark, sf, str(tmp_path / "build"))
     assert n["chunks"] > 0 and n["quality"] > 0 and set(n) >= {"facts", "nodes", "edges", "index"}
     assert "ranges" in pipeline.report(spark, sf)
+
+
+def test_pipeline_facts_carry_their_own_sentence(spark, tmp_path):
+    """Facts past the chunk's first 700 characters, with context elsewhere in the chunk; the Pr reads like a part of the 2Pr before it."""
+    fill = "Filler words without any meaning stand here to move the rest on. " * 13
+    text = f"A 2Pr of 12 μC/cm2 was seen first in this long sentence. {fill}The HZO film with Pr of 12 μC/cm2 was deposited by ALD on TiN. The memory window of 1.5 V was reached on the FeFET device. It was annealed at 500 °C."
+    src = str(tmp_path / "in")
+    spark.createDataFrame([("g1", "a1", "f1", 1, text)], "page_id string, paper_id string, pdf_id string, page_number int, text string").write.parquet(f"{src}/parsed_pages.parquet")
+    pipeline.build(spark, src, str(tmp_path / "out"))
+    got = {r.property_name: r for r in spark.read.parquet(str(tmp_path / "out/facts")).collect()}
+    assert got["memory_window"].evidence_text == "The memory window of 1.5 V was reached on the FeFET device."
+    assert got["remanent_polarization_Pr"].evidence_text == "The HZO film with Pr of 12 μC/cm2 was deposited by ALD on TiN."
+    assert got["remanent_polarization_Pr"].devices == ["FeFET"] and got["memory_window"].sample.deposition_method == "ALD"
