@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A side is broadcast only when its optimised plan, or its counted rows, are below this many bytes.
@@ -66,12 +66,14 @@ def through_table(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def broadcast_if_small(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> DataFrame:
-    """Broadcast hint only if the counted rows times a row's upper size stay under the limit.
+def broadcast_if_small(df: DataFrame, row_bytes: int | Column, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """Broadcast hint only if the frame stays under the limit: counted rows times a row's upper size, or, for rows that hold arrays, the sum of a column of sizes.
 
     The frame should be a table already written or a small aggregate, as it's counted once. Beyond the limit
     the frame comes back without a hint, so that the join shuffles and adaptive execution splits skewed keys.
     """
+    if isinstance(row_bytes, Column):
+        return F.broadcast(df) if (df.agg(F.sum(row_bytes)).first()[0] or 0) <= limit else df
     most = limit // max(1, row_bytes)
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
