@@ -32,7 +32,7 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_clean(spark: SparkSession, d: str) -> DataFrame:
-    return scans.repaired(*_scan_tables(spark, d)).select("page_id", "text")
+    return scans.repaired(*_scan_tables(spark, d), fresh=False).select("page_id", "text")
 
 
 def _scan_tables(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:

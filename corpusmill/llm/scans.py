@@ -2,12 +2,15 @@
 
 1. Words are counted over all pages. A skeleton maps characters that scanners confuse to the same string (m and rn, d and cl, e and c ...), so that two
    words with one skeleton differ by plausible glyph edits only.
-2. Skip-gram vectors are learned for the frequent words from co-occurrences over all pages.
+2. Skip-gram vectors are learned for the frequent words from co-occurrences over all pages; words that have a far more frequent word of
+   the same skeleton get none, as a misreading that recurs would fit its own contexts best.
 3. On each scanned page, furniture (a source's repeated lines, headers naming the paper, page numbers) is set aside; rare words are linked to
-   frequent words of the same skeleton, and the candidate that fits the surrounding words best by its vectors replaces them; words cut at line ends are
+   frequent words of the same skeleton, and the candidate of the highest score (logarithm of the ratio of counts, plus how well its vector fits the surrounding
+   words) replaces them if that score reaches the logarithm of RATIO; words cut at line ends are
    joined if the whole word is known better than the compound; lines flow together into paragraphs.
 
-The lexicon that goes to the tasks is bounded (LEXICON most frequent words, counted over everything); words beyond it count as rare.
+Counts decide by their ratios only, so the result doesn't depend on the corpus's size. The lexicon that goes to the tasks is bounded (LEXICON most frequent words,
+counted over everything); a word beyond it is taken to be as frequent as the last word in it, so that nothing known less well than that is overruled.
 
 Defined cases: null text comes out null with no cases; a blank page as ''; a page without a paper has no header; a page whose text is
 all furniture comes out ''; very long texts are processed whole, in linear time.
@@ -26,11 +29,16 @@ from corpusmill.session import broadcast_if_small, spread, through_table
 
 from . import skipgram
 from .lines import with_source
+from .models import fitted
 
 LEXICON = 200_000
 #: A word is rare against another if that occurs this many times as often.
 RATIO = 10
+#: Most that the surrounding words may add to a candidate's log ratio of counts, or take from it.
+CONTEXT = 2.0
 MIN_COUNT = 3
+#: Lines at a page's ends that may be furniture whatever stands beyond them; further ones only outside the running text.
+MARGIN = 4
 MIN_LINE_SKELETON, MIN_DOCS, MIN_SHARE = 25, 4, 0.04
 
 # Characters that scanners confuse, each with the string that stands for it.
@@ -57,6 +65,7 @@ def line_skeleton(c: Column) -> Column:
 _WORD = re.compile(r"\S+")
 _STRIP = ".,;:?()[]{}\"'“”‘’«»*…"
 _RIGHT = re.compile(r"[a-z]+(?:-[a-z]+)*")
+_LOWER = re.compile(r"(?<!\S)[a-z]{2,}(?!\S)")
 
 
 def words(text: str) -> list[str]:
@@ -65,10 +74,10 @@ def words(text: str) -> list[str]:
 
 
 def word_counts(pages: DataFrame) -> DataFrame:
-    """word, n over all pages, for words that hold a letter."""
+    """word, n over all pages, for words that hold a letter. Marks are taken off after a first count, once for each distinct form."""
     marks = r"[.,;:?()\[\]{}\"'“”‘’«»*…]+"
-    raw = pages.where("text is not null").select(F.explode(F.split(F.lower("text"), r"\s+")).alias("word"))
-    return raw.select(F.regexp_replace(F.regexp_replace("word", "^" + marks, ""), marks + "$", "").alias("word")).where(F.col("word").rlike("[a-z]")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    raw = pages.where("text is not null").select(F.explode(F.split(F.lower("text"), r"\s+")).alias("form")).groupBy("form").agg(F.count(F.lit(1)).alias("n"))
+    return raw.select(F.regexp_replace(F.regexp_replace("form", "^" + marks, ""), marks + "$", "").alias("word"), "n").where(F.col("word").rlike("[a-z]")).groupBy("word").agg(F.sum("n").alias("n"))
 
 
 _NUM = r"[0-9lIiOoSB|]{1,5}"
@@ -77,23 +86,26 @@ _ROMAN = re.compile(r"^(?:[-\[(]\s*)?(?=[ivxl])x{0,3}(?:ix|iv|v?i{0,3})(?:\s*[-\
 
 
 class Lexicon:
-    """Counts, skeletons and vectors of the frequent words."""
+    """Counts, skeletons and vectors of the frequent words. `beyond` is the count of words that the lexicon doesn't hold."""
 
-    def __init__(self, counts: dict[str, int], vectors: tuple[np.ndarray, np.ndarray] | None = None, vocab: dict[str, int] | None = None):
-        self.counts, self.vocab = counts, vocab or {}
+    def __init__(self, counts: dict[str, int], vectors: tuple[np.ndarray, np.ndarray] | None = None, vocab: dict[str, int] | None = None, beyond: int = 1):
+        self.counts, self.vocab, self.beyond = counts, vocab or {}, max(1, beyond)
         self.x, self.y = vectors if vectors else (np.zeros((0, 1), np.float32),) * 2
         self.by: dict[str, list[str]] = {}
-        for w, n in counts.items():
-            if n >= MIN_COUNT and len(w) >= 3 and len(set(w)) > 1 and _RIGHT.fullmatch(w) and not _ROMAN.match(w):
+        for w in counts:
+            if len(w) >= 3 and len(set(w)) > 1 and _RIGHT.fullmatch(w) and not _ROMAN.match(w):
                 self.by.setdefault(skeleton(w), []).append(w)
         self.cache: dict[str, list[str]] = {}
 
+    def own(self, token: str) -> int:
+        return max(1, self.counts.get(token, self.beyond))
+
     def candidates(self, token: str) -> list[str]:
-        """Known words with the token's skeleton that occur far more often than the token and aren't rare against one another: counts only matter by ratio."""
+        """Known words with the token's skeleton that occur at least RATIO times as often and aren't rare against one another."""
         c = self.cache.get(token)
         if c is None:
-            own = self.counts.get(token, 0)
-            c = [w for w in self.by.get(skeleton(token), ()) if w != token and self.counts[w] >= RATIO * max(own, 1) and self.counts[w] >= MIN_COUNT + 2]
+            own = self.own(token)
+            c = [w for w in self.by.get(skeleton(token), ()) if w != token and self.counts[w] >= RATIO * own]
             most = max((self.counts[w] for w in c), default=0)
             c = [w for w in c if self.counts[w] * RATIO > most]  # a misreading that recurs is no right form
             if len(self.cache) > 300_000:
@@ -102,28 +114,20 @@ class Lexicon:
         return c
 
     def fit(self, word: str, around: list[int]) -> float:
-        """Mean log probability that the words around occur with the word; the prior for words without a vector."""
+        """Mean pointwise mutual information of the word with the words around by its vectors, within CONTEXT; 0 for words without a vector."""
         i = self.vocab.get(word)
         if i is None or not around:
-            return -1.0
-        s = self.y[around] @ self.x[i]
-        return float(-np.logaddexp(0, -s).mean())
+            return 0.0
+        return float(np.clip((self.y[around] @ self.x[i]).mean() + np.log(skipgram.NEGATIVE), -CONTEXT, CONTEXT))
 
     def right(self, token: str, around: list[int]) -> str | None:
         """The right form of a misread token, or null if it stands."""
-        best = None
         for form in dict.fromkeys((token, token.strip("!†@|$"))):
             c = self.candidates(form) if len(form) >= 3 else []
             if c:
-                best = (form, c)
-                break
-        if best is None:
-            return None
-        form, c = best
-        win = max(c, key=lambda w: (self.fit(w, around), self.counts[w], w)) if len(c) > 1 else c[0]
-        if form in self.vocab and self.fit(form, around) >= self.fit(win, around):
-            return None
-        return win
+                score, win = max((float(np.log(self.counts[w] / self.own(form))) + self.fit(w, around), w) for w in c)
+                return win if score >= np.log(RATIO) else None
+        return None
 
 
 def is_page_no(s: str) -> bool:
@@ -170,6 +174,16 @@ class Headers:
         return many and len(s) >= 8 and self.title.startswith(s) and (s != self.title or not raw.endswith(".") or edge)
 
 
+def outside(lines: list[str]) -> set[int]:
+    """Places of the lines at a page's ends: MARGIN lines on either side, and all beyond them before the first or after the last line of running text.
+
+    A page without running text has its margins only."""
+    full = [k for k, x in enumerate(lines) if x.strip()]
+    run = [k for k in full if len(_LOWER.findall(lines[k])) >= 6]
+    ends = {*full[:MARGIN], *full[-MARGIN:]}
+    return ends | {k for k in full if k < run[0] or k > run[-1]} if run else ends
+
+
 def parts_of(line: str) -> list[str]:
     return [p for p in re.split(r"\s{3,}|\t+|\s+\|\s+", line.strip()) if p.strip()]
 
@@ -180,17 +194,17 @@ def repair(text: str, title: str | None, authors: str | None, often: set[int] |
     head = Headers(title, authors)
     cases: list[tuple[str, str]] = []
     body: list[str | None] = []  # None ends a paragraph
-    full = [k for k, x in enumerate(lines) if x.strip()]
-    first, last = set(full[:4]), set(full[-4:])
+    known = [bool(often) and line_keys is not None and line_keys[k] in often for k in range(len(lines))]
+    ends = outside(["" if f else x for f, x in zip(known, lines)]) | outside(lines)
     for k, raw in enumerate(lines):
         line = raw.strip()
         if not line:
             if body and body[-1] is not None:
                 body.append(None)
             continue
-        if often and line_keys is not None and line_keys[k] in often:
+        if known[k]:
             continue
-        edge = k in first or k in last
+        edge = k in ends
         parts = parts_of(raw)
         marks = ["page_no" if edge and is_page_no(p) else "header" if head.names(p, edge) else "" for p in parts]
         if any(marks):
@@ -246,8 +260,7 @@ def repair(text: str, title: str | None, authors: str | None, often: set[int] |
                 toks[i] = _replace(toks[i], t, r)
         clean.append(" ".join(toks))
     for w, shown in cut:
-        c = w if lex.counts.get(w, 0) >= MIN_COUNT else (lex.right(w, []) or w)
-        cases.append(("hyphen", c))
+        cases.append(("hyphen", lex.right(w, []) or w))
     return "\n\n".join(clean), list(dict.fromkeys(cases))
 
 
@@ -275,10 +288,10 @@ def _join(left: str, right: str, lex: Lexicon) -> tuple[str, str | None]:
     return left[:-1] + right, None if own else whole
 
 
-def frequent_keys(pages: DataFrame) -> DataFrame:
-    """source, keys: keys of the lines that return in the source's files, by skeleton so that misread copies count too."""
-    lines = pages.select("source", "pdf_id", F.explode(F.split("text", "\n")).alias("line")).select("source", "pdf_id", line_skeleton(F.col("line")).alias("s")).where(F.length("s") >= MIN_LINE_SKELETON).select("source", "pdf_id", F.xxhash64("s").alias("h")).distinct()
-    totals = pages.select("source", "pdf_id").distinct().groupBy("source").agg(F.count(F.lit(1)).alias("total"))
+def frequent_keys(keyed: DataFrame) -> DataFrame:
+    """source, often: keys of the lines that return in the source's files, by skeleton so that misread copies count too. keyed: source, pdf_id, line_keys."""
+    lines = keyed.select("source", "pdf_id", F.explode("line_keys").alias("h")).where("h <> 0").distinct()
+    totals = keyed.select("source", "pdf_id").distinct().groupBy("source").agg(F.count(F.lit(1)).alias("total"))
     n = lines.groupBy("source", "h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= MIN_DOCS)
     return n.join(totals, "source").where(F.col("n") >= MIN_SHARE * F.col("total")).groupBy("source").agg(F.collect_set("h").alias("often"))
 
@@ -287,39 +300,44 @@ def learn(pages: DataFrame) -> Lexicon:
     """Lexicon and vectors from all pages; the bounded lexicon is what reaches the driver."""
     top = word_counts(pages).where(F.col("n") >= 2).orderBy(F.desc("n"), "word").limit(LEXICON)
     counts = {w: n for w, n in top.toPandas().itertuples(index=False)}
-    vocab = {w: i for i, w in enumerate([w for w in counts if _RIGHT.fullmatch(w)][: skipgram.VECTORS])}
+    beyond = min(counts.values()) if len(counts) == LEXICON else 1
+    alone = Lexicon(counts, beyond=beyond)
+    vocab = {w: i for i, w in enumerate([w for w in counts if _RIGHT.fullmatch(w) and not alone.candidates(w)][: skipgram.VECTORS])}
     if not vocab:
-        return Lexicon(counts)
+        return alone
     pairs = skipgram.pair_counts(pages, "text", vocab, words).toPandas()
-    return Lexicon(counts, skipgram.fit(pairs, len(vocab)), vocab)
+    return Lexicon(counts, skipgram.fit(pairs, len(vocab)), vocab, beyond)
+
 
+def repaired(pages: DataFrame, files: DataFrame, papers: DataFrame, fresh: bool = True) -> DataFrame:
+    """page_id, text (clean), cases: array of (kind, word), for pages of files that need it (ocr_needed true or null).
 
-def repaired(pages: DataFrame, files: DataFrame, papers: DataFrame) -> DataFrame:
-    """page_id, text (clean), cases: array of (kind, word), for pages of files that need it (ocr_needed true or null)."""
-    lex = learn(spread(pages.select("text")))
+    Lines are keyed once for all pages and written with the texts to be repaired; the lines that return and the repair both read that table."""
+    texts = pages.select("text")
+    lex = fitted("scans", [texts], lambda: learn(spread(texts)), fresh=fresh)
     sourced = with_source(pages.select("page_id", "pdf_id", "paper_id", "text"), papers.select("paper_id", "publisher", "journal"))
-    often = through_table(frequent_keys(sourced), "often")  # counted before it is broadcast, so made once
-    ocr = files.where(F.coalesce("ocr_needed", F.lit(True))).select("pdf_id").distinct()
-    todo = sourced.join(ocr, "pdf_id", "left_semi").join(papers.select("paper_id", "title", "authors").dropDuplicates(["paper_id"]), "paper_id", "left")
-    todo = todo.join(broadcast_if_small(often, row_bytes=64 * 1024), "source", "left")
-    keys = F.transform(F.split("text", "\n"), lambda x: F.xxhash64(line_skeleton(x)))
-    mine = F.array_intersect(keys, "often")
-    todo = todo.select("page_id", "title", "authors", "text", keys.alias("line_keys"), mine.alias("often"))
-    counts, vocab, x, y = lex.counts, lex.vocab, lex.x, lex.y
+    ocr = files.where(F.coalesce("ocr_needed", F.lit(True))).select("pdf_id").distinct().withColumn("__ocr", F.lit(True))
+    keys = F.transform(F.transform(F.split("text", "\n"), line_skeleton), lambda s: F.when(F.length(s) >= MIN_LINE_SKELETON, F.xxhash64(s)).otherwise(0))  # 0, not null: nulls would turn the keys into floats in pandas
+    todo = sourced.join(ocr, "pdf_id", "left").join(papers.select("paper_id", "title", "authors").dropDuplicates(["paper_id"]), "paper_id", "left")
+    todo = through_table(todo.select("page_id", "pdf_id", "source", "title", "authors", F.coalesce("__ocr", F.lit(False)).alias("ocr"), F.when(F.col("__ocr"), F.col("text")).alias("text"), keys.alias("line_keys")), "lines")
+    often = through_table(frequent_keys(todo.select("source", "pdf_id", "line_keys")), "often")  # counted before it is broadcast, so made once
+    todo = todo.where("ocr").join(broadcast_if_small(often, F.size("often") * 16 + 64), "source", "left")
+    todo = todo.select("page_id", "title", "authors", "text", "line_keys", F.array_intersect("line_keys", "often").alias("often"))
+    counts, vocab, x, y, beyond = lex.counts, lex.vocab, lex.x, lex.y, lex.beyond
 
     def run(batches):
-        lx = Lexicon(counts, (x, y), vocab)
+        lx = Lexicon(counts, (x, y), vocab, beyond)
         for b in batches:
-            texts, cases = [], []
+            out, cases = [], []
             for t, title, authors, k, o in zip(b["text"], b["title"], b["authors"], b["line_keys"], b["often"]):
                 if t is None:
-                    texts.append(None)
+                    out.append(None)
                     cases.append([])
                     continue
                 c, got = repair(t, title, authors, set(o) if o is not None else None, lx, list(k))
-                texts.append(c)
+                out.append(c)
                 cases.append([{"kind": kind, "word": w} for kind, w in got])
-            yield pd.DataFrame({"page_id": b["page_id"].to_numpy(), "text": texts, "cases": cases})
+            yield pd.DataFrame({"page_id": b["page_id"].to_numpy(), "text": out, "cases": cases})
 
     return spread(todo, pages).mapInPandas(run, "page_id string, text string, cases array<struct<kind:string,word:string>>")
 
