@@ -1,57 +1,58 @@
 """Deduplicating new batches against all history, with persisted inverted-file vector cells.
 
-Each file's pages become one vector: signed hashed counts of word triples (DIM values, kept in full) and a scaled
-logarithm of its length as one more coordinate. Vectors are appended to cells around centroids, which are fitted once
-on a bounded sample (SAMPLE rows); every file is indexed. A new batch probes a cell only if the triangle inequality allows a match in
-it: distance to the centroid less the cell's radius must be within RADIUS. Within a cell the same bound drops single
-vectors, and the rest is reranked by the exact distance. The bounds are those that SIMILARITY below allows, so many files come near that
-aren't repeats; sketches of their shingles (PLACES least hashes) sort these out, SLACK deviations below SIMILARITY. Probing a batch reads the accepted vectors of the probed cells and no text of the history.
-
-A near match is then checked on word shingles (five words): TESTDATA's repeats differ by scattered edits and scan noise in both copies, which
-lowers the Jaccard similarity of true repeats to 0.35, while different files stay under 0.1; SIMILARITY = 0.22 stands between.
-
-Exact keys (content hash, DOI) are looked up in key tables of the accepted files. Links of all kinds are closed over third files by
+Vectors. A file's page texts are reduced to words (cut words joined, characters that scanners confuse mapped to one string, marks and digits out). Its vector has
+PLACES coordinates: the least hash of the WIDE-word shingles that fall to each place. The distance of two vectors is the number of coordinates in which
+they differ (Hamming), about PLACES (1 - J) for Jaccard similarity J of their wide shingles. Beside it the file's whole set of five-word shingles is kept.
+
+Cells. The inverted file has one cell for each coordinate value: cell (i, v) lists the vectors whose coordinate i is v. A query probes the cells of its own
+coordinates. A vector met in none of the probed cells differs in every one of them, so once t cells are probed it is at least t away: after all PLACES cells no
+unseen vector can be nearer than PLACES, and what was met in n cells is exactly PLACES - n away. A match must be within PLACES - AGREE. These are reranked exactly by the
+Jaccard similarity of the five-word sets, read for the candidates only; TESTDATA's repeats differ by scattered edits and scan noise in both copies,
+which lowers the similarity of true repeats to 0.4, while different files stay under 0.2, so SIMILARITY stands between and isn't 0.8.
+
+Classes. A file belongs to the class of the least file it was linked to on arrival, and a cell lists each class once, by its first member there. So a group of near copies
+that holds a third of all files doesn't make its cells long, and a query is compared with at most PLACES members of a class. If none of these is near enough
+although the class agrees in AGREE places, all its members that agree in AGREE places are compared: the exact way for the rest. Within a batch whose cells are long, the first
+of each cell is tried before all others, which gives the classes. Files of equal text are linked by a text key and not listed again.
+
+Exact keys (content hash, DOI, text) have one owner each, its first file; new keys are looked up there. Links of all kinds are closed over third files by
 connected components; the first file of a work is the smallest by batch and identifier.
 
-The store below the given folder: vectors/batch_no=B (cells), keys/batch_no=B, links/batch_no=B. `ingest` appends one batch; nothing written is rewritten.
+The store is a folder: meta.json; cells and keys (bucketed by cell and by key, so that history is never shuffled); files/load=N; vectors/load=N/part=P (a load reads
+the parts that hold its candidates); links/load=N; done/load=N. `Store.open` takes up a store in any later session, `ingest` checks and then appends a load (one batch, or
+several that waited) and rewrites nothing. A load counts as accepted once done/load=N is written; what a load that was lost half-way left behind is passed over.
 
 Defined cases: files without pages, or of fewer than MIN_WORDS words, are compared by keys only; null or malformed hashes and placeholder
-DOIs are no keys; a null batch counts as batch 0; ties in order don't occur, identifiers being unique.
+DOIs are no keys; a null batch counts as batch 0; ties in order don't occur, identifiers being unique; a batch that was accepted before is refused, and `works` passes it over.
 """
 
 from __future__ import annotations
 
+import hashlib
+import json
 import re
 import zlib
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.stat import Summarizer
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.session import scratch, spread
+from corpusmill.session import scratch, spread, through_table
 
 from .canonical import alnum_key
 from .components import roots
+from .scans import skeleton
 
-DIM = 256
-CELLS = 64
-SAMPLE = 8_192
+PLACES, WIDE, AGREE = 64, 14, 4
+SHINGLE = 5
 MIN_WORDS = 30
-SIMILARITY = 0.22
-#: Files of Jaccard similarity J have vectors of cosine 2 J / (1 + J) = 0.36 at least, but for repeated words and the noise of hashing (deviation 1 / 16).
-COSINE = 0.27
-LENGTH_SCALE = 4.0
-#: Most that the logarithms of two repeats' lengths differ: at Jaccard similarity J, one has J times the other's shingles at least.
-LENGTH_RATIO = float(-np.log(SIMILARITY)) + 0.1
-BLOCK = 4_000
-QUERY_BLOCK = 20_000
-#: Places of a file's sketch, and by how many deviations a pair's sketches may be less alike than SIMILARITY.
-PLACES, SLACK = 128, 4.0
-_EMPTY = float(1 << 33)
-RADIUS = float(np.sqrt(2 - 2 * COSINE + (LENGTH_SCALE * LENGTH_RATIO) ** 2))
+SIMILARITY = 0.27
+#: Folders of a batch's shingle sets; pairs of one batch per posting above which the first of each cell is tried first.
+PARTS, LONG = 4, 50
+_EMPTY = (1 << 31) - 1
 
 
 def hash_key(c: Column) -> Column:
@@ -66,13 +67,15 @@ def doi_key(c: Column) -> Column:
     return F.when(k.rlike(r"^10\d{4}") & (F.length(k) > 6), k)
 
 
-_WORD = re.compile(r"[a-z0-9]+")
-_CUT = re.compile(r"[-‐­]\s*\n\s*")
+_CUT = re.compile(r"[-‐­¬]\s*\n\s*")
+_NO_LETTER = re.compile(r"[^a-z]+")
 
 
 def _word_ids(text: str, cache: dict[str, int]) -> np.ndarray:
     out = []
-    for w in _WORD.findall(_CUT.sub("", text.lower())):
+    for w in _NO_LETTER.split(skeleton(_CUT.sub("", text))):
+        if not w:
+            continue
         h = cache.get(w)
         if h is None:
             if len(cache) > 500_000:
@@ -82,258 +85,255 @@ def _word_ids(text: str, cache: dict[str, int]) -> np.ndarray:
     return np.array(out, dtype=np.uint64)
 
 
-def page_vector(text: str, cache: dict[str, int]) -> tuple[np.ndarray, int]:
-    ids = _word_ids(text, cache)
-    v = np.zeros(DIM, np.float32)
-    if len(ids) >= 3:
-        with np.errstate(over="ignore"):
-            h = (ids[:-2] * np.uint64(0x9E3779B97F4A7C15)) ^ (ids[1:-1] * np.uint64(0xC2B2AE3D27D4EB4F) + np.uint64(1)) ^ (ids[2:] * np.uint64(0x165667B19E3779F9) + np.uint64(7))
+def _shingles(ids: np.ndarray, width: int) -> np.ndarray:
+    n = max(0, len(ids) - width + 1)
+    h = np.zeros(n, np.uint64)
+    with np.errstate(over="ignore"):
+        for k in range(width):
+            h = (h ^ ids[k : k + n]) * np.uint64(0x9E3779B97F4A7C15)
             h ^= h >> np.uint64(29)
-            h *= np.uint64(0xBF58476D1CE4E5B9)
-            h ^= h >> np.uint64(32)
-        np.add.at(v, (h % np.uint64(DIM)).astype(np.int64), np.where((h >> np.uint64(40)) & np.uint64(1), 1.0, -1.0).astype(np.float32))
-    return v, len(ids)
+        h *= np.uint64(0xBF58476D1CE4E5B9)
+        h ^= h >> np.uint64(32)
+    return h
 
 
-def page_sketch(text: str, cache: dict[str, int]) -> np.ndarray:
-    """Least hash of the five-word shingles that fall to each of PLACES places."""
+def page_signature(text: str, cache: dict[str, int]) -> tuple[np.ndarray, np.ndarray, int]:
+    """Least hashes of the wide shingles by place, the set of five-word shingles (32-bit hashes), the number of words."""
     ids = _word_ids(text, cache)
-    s = np.full(PLACES, _EMPTY)
-    if (n := len(ids) - 4) > 0:
-        h = np.zeros(n, np.uint64)
-        with np.errstate(over="ignore"):
-            for k in range(5):
-                h = (h ^ ids[k : k + n]) * np.uint64(0x9E3779B97F4A7C15)
-                h ^= h >> np.uint64(29)
-            h *= np.uint64(0xBF58476D1CE4E5B9)
-            h ^= h >> np.uint64(32)
-        np.minimum.at(s, (h % np.uint64(PLACES)).astype(np.int64), (h >> np.uint64(32)).astype(np.float64) + 1)
-    return s
-
-
-def alike(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Whether the sketches in the rows of a and b allow SIMILARITY: equal places among those that either fills, SLACK deviations below it at most."""
-    filled = ((a > 0) | (b > 0)).sum(1)
-    same = ((a == b) & (a > 0)).sum(1)
-    return same >= SIMILARITY * filled - SLACK * np.sqrt(SIMILARITY * (1 - SIMILARITY) * filled)
-
-
-def _page_vectors(batches):
+    low = np.full(PLACES, _EMPTY, np.int64)
+    wide = _shingles(ids, WIDE)
+    np.minimum.at(low, (wide % np.uint64(PLACES)).astype(np.int64), np.minimum((wide >> np.uint64(33)).astype(np.int64), _EMPTY - 1))
+    return low.astype(np.int32), np.unique((_shingles(ids, SHINGLE) >> np.uint64(32)).astype(np.uint32)).view(np.int32), len(ids)
+
+
+def _page_signatures(batches):
     cache: dict[str, int] = {}
     for b in batches:
-        got = [page_vector(t, cache) for t in b["text"]]
-        yield pd.DataFrame({"pdf_id": b["pdf_id"], "batch_no": b["batch_no"], "vec": [v for v, _ in got], "low": [page_sketch(t, cache) for t in b["text"]], "words": [n for _, n in got]})
+        got = [page_signature(t, cache) for t in b["text"]]
+        yield pd.DataFrame({"pdf_id": b["pdf_id"], "batch_no": b["batch_no"], "low": [g[0] for g in got], "set": [g[1] for g in got], "words": [g[2] for g in got]})
 
 
-def file_vectors(files: DataFrame, pages: DataFrame) -> DataFrame:
-    """pdf_id, batch_no, vec, sketch, words: page vectors are summed, least hashes taken, per file with partial aggregation, so a file may have any number of pages."""
+def signatures(files: DataFrame, pages: DataFrame) -> DataFrame:
+    """pdf_id, batch_no, vec (PLACES coordinates), shingles, text_key: one row for each file of at least MIN_WORDS words."""
     p = pages.select("pdf_id", "text").where("text is not null").join(files.select("pdf_id", "batch_no"), "pdf_id")
-    v = spread(p, pages).mapInPandas(_page_vectors, "pdf_id string, batch_no int, vec array<float>, low array<double>, words long")
-    s = v.groupBy("pdf_id", "batch_no").agg(Summarizer.sum(array_to_vector("vec")).alias("vec"), Summarizer.min(array_to_vector("low")).alias("low"), F.sum("words").alias("words"))
-    sketch = F.transform(vector_to_array("low"), lambda x: F.when(x < _EMPTY, F.pmod(x.cast("long"), F.lit(255)) + 1).otherwise(0).cast("short"))
-    return s.select("pdf_id", "batch_no", vector_to_array("vec", "float32").alias("vec"), sketch.alias("sketch"), "words").where(F.col("words") >= MIN_WORDS)
-
+    v = spread(p, pages).mapInPandas(_page_signatures, "pdf_id string, batch_no int, low array<int>, set array<int>, words long")
+    g = v.groupBy("pdf_id", "batch_no").agg(F.collect_list("low").alias("lows"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("set")))).alias("shingles"), F.sum("words").alias("words")).where(F.col("words") >= MIN_WORDS)
+    vec = F.transform(F.sequence(F.lit(0), F.lit(PLACES - 1)), lambda i: F.array_min(F.transform("lows", lambda x: F.get(x, i))))
+    return g.select("pdf_id", "batch_no", vec.alias("vec"), "shingles", F.sha2(F.array_join(F.transform("shingles", lambda x: x.cast("string")), ","), 256).alias("text_key"))
 
-def embed(vecs: np.ndarray, words: np.ndarray) -> np.ndarray:
-    """Unit vectors with the length coordinate."""
-    v = vecs.astype(np.float32)
-    v = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9)
-    return np.hstack([v, (LENGTH_SCALE * np.log(np.maximum(words, 1)))[:, None].astype(np.float32)])
-
-
-def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    d = (a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2 * (a @ b.T)
-    return np.sqrt(np.maximum(d, 0))
-
-
-def fit_centroids(sample: np.ndarray, k: int = CELLS, rounds: int = 12, seed: int = 7) -> np.ndarray:
-    """Lloyd's algorithm on the sample; begins with rows spread evenly along the length."""
-    if not len(sample):
-        return np.zeros((1, DIM + 1), np.float32)
-    order = np.argsort(sample[:, -1], kind="stable")
-    c = sample[order[np.linspace(0, len(sample) - 1, min(k, len(sample))).astype(int)]].copy()
-    for _ in range(rounds):
-        near = distances(sample, c).argmin(1)
-        for j in range(len(c)):
-            if (mine := sample[near == j]).size:
-                c[j] = mine.mean(0)
-    return c
 
+def file_keys(files: DataFrame, papers: DataFrame) -> DataFrame:
+    """pdf_id, batch_no, kind, key: the content hash, and the DOI of the file's paper."""
+    h = files.select("pdf_id", "batch_no", F.lit("hash").alias("kind"), hash_key(F.col("sha256")).alias("key"))
+    d = files.where("paper_id is not null").join(papers.select("paper_id", doi_key(F.col("doi")).alias("key")).where("key is not null"), "paper_id").select("pdf_id", "batch_no", F.lit("doi").alias("kind"), "key")
+    return h.unionByName(d).where("key is not null")
 
-class Store:
-    """Accepted files: cells of vectors, keys, links."""
-
-    def __init__(self, spark: SparkSession, folder: str, centroids: np.ndarray | None = None):
-        self.spark, self.folder, self.centroids = spark, folder, centroids
-        self.radius = self.count = None
-        self.batches: list[int] = []
-
-    def _add_cells(self, vectors: DataFrame) -> DataFrame:
-        cent = self.centroids
-
-        @F.pandas_udf("cell int, dist float")
-        def place(vec: pd.Series, words: pd.Series) -> pd.DataFrame:
-            if not len(vec):
-                return pd.DataFrame({"cell": [], "dist": []})
-            d = distances(embed(np.stack(vec.to_numpy()), words.to_numpy()), cent)
-            return pd.DataFrame({"cell": d.argmin(1).astype(np.int32), "dist": d.min(1).astype(np.float32)})
-
-        return vectors.withColumn("__c", place("vec", "words")).select("pdf_id", "batch_no", "vec", "sketch", "words", "__c.cell", "__c.dist")
-
-    def prepare(self, vectors: DataFrame) -> None:
-        """Fit the centroids on a bounded sample of vectors (a written table), if none are given."""
-        if self.centroids is not None:
-            return
-        n = max(1, vectors.count())
-        part = vectors if n <= SAMPLE else vectors.where(F.pmod(F.xxhash64("pdf_id"), F.lit(1_000_000)) < int(0.95 * SAMPLE / n * 1_000_000))
-        rows = part.select("vec", "words").limit(SAMPLE).toPandas()
-        self.centroids = fit_centroids(embed(np.stack(rows["vec"].to_numpy()), rows["words"].to_numpy()) if len(rows) else np.zeros((0, DIM + 1), np.float32))
-
-    def append(self, vectors: DataFrame, keys: DataFrame) -> None:
-        """Append files to the cells and keys to the key tables, in partitions by batch; radii and counts follow from the new rows alone."""
-        self._add_cells(vectors).write.mode("append").partitionBy("batch_no").parquet(f"{self.folder}/vectors")
-        keys.write.mode("append").partitionBy("batch_no").parquet(f"{self.folder}/keys")
-
-    def stats(self) -> dict[int, dict[int, tuple[float, int]]]:
-        """Per batch and cell: radius and count. As many rows as batches times cells."""
-        g = self.vectors().groupBy("batch_no", "cell").agg(F.max("dist"), F.count(F.lit(1)))
-        out: dict[int, dict[int, tuple[float, int]]] = {}
-        for b, c, r, n in g.collect():
-            out.setdefault(b, {})[c] = (r, n)
-        return out
-
-    def vectors(self) -> DataFrame:
-        return self.spark.read.schema("pdf_id string, vec array<float>, sketch array<short>, words long, cell int, dist float, batch_no int").parquet(f"{self.folder}/vectors")
-
-    def keys(self) -> DataFrame:
-        return self.spark.read.schema("pdf_id string, kind string, key string, batch_no int").parquet(f"{self.folder}/keys")
-
-    def probe(self, batch: int, stats: dict[int, dict[int, tuple[float, int]]]) -> DataFrame:
-        """Links of a batch's files to accepted files and to earlier ones of the batch: a (earlier), b, batch_b."""
-        k = len(self.centroids)
-        radius, count = np.full(k, -np.inf), np.zeros(k, np.int64)
-        for b, cells in stats.items():
-            if b <= batch:
-                for c, (r, n) in cells.items():
-                    radius[c] = max(radius[c], r)
-                    count[c] += n
-        blocks = np.maximum(1, -(-count // BLOCK))
-        queries = sum(n for _, n in stats.get(batch, {}).values())
-        qblocks = max(1, -(-queries // QUERY_BLOCK))
-        cent = self.centroids
-
-        @F.pandas_udf("array<struct<cell:int,block:int>>")
-        def reach(vec: pd.Series, words: pd.Series) -> pd.Series:
-            out = []
-            if len(vec):
-                d = distances(embed(np.stack(vec.to_numpy()), words.to_numpy()), cent)
-                for row in d:
-                    out.append([{"cell": int(c), "block": int(j)} for c in np.flatnonzero(row - radius <= RADIUS + 1e-3) for j in range(blocks[c])])
-            return pd.Series(out, dtype=object)
-
-        v = self.vectors()
-        q = v.where(F.col("batch_no") == batch).withColumn("__t", F.explode(reach("vec", "words"))).select("pdf_id", "batch_no", "vec", "sketch", "words", "__t.cell", "__t.block", F.pmod(F.xxhash64("pdf_id"), F.lit(qblocks)).cast("int").alias("qblock"))
-        nb = F.element_at(F.array(*[F.lit(int(x)) for x in blocks]), F.col("cell") + 1)
-        x = self.vectors().where(F.col("batch_no") <= batch).withColumn("block", F.pmod(F.xxhash64("pdf_id"), nb).cast("int")).withColumn("qblock", F.explode(F.sequence(F.lit(0), F.lit(qblocks - 1)))).select("pdf_id", "batch_no", "vec", "sketch", "words", "dist", "cell", "block", "qblock")
-
-        def match(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-            found = []
-            if len(left) and len(right):
-                c = cent[int(key[0])][None, :]
-                b = embed(np.stack(right["vec"].to_numpy()), right["words"].to_numpy())
-                db = right["dist"].to_numpy()
-                sa, sb = np.stack(left["sketch"].to_numpy()), np.stack(right["sketch"].to_numpy())
-                ids_b, bat_b = right["pdf_id"].to_numpy(), right["batch_no"].to_numpy()
-                ids_a, bat_a = left["pdf_id"].to_numpy(), left["batch_no"].to_numpy()
-                for s in range(0, len(left), 1024):
-                    part = left.iloc[s : s + 1024]
-                    a = embed(np.stack(part["vec"].to_numpy()), part["words"].to_numpy())
-                    da = distances(a, c)[:, 0]
-                    keep = (db >= da.min() - RADIUS - 1e-3) & (db <= da.max() + RADIUS + 1e-3)
-                    if not keep.any():
-                        continue
-                    at = np.flatnonzero(keep)
-                    cos = a[:, :-1] @ b[at, :-1].T
-                    near = (cos >= COSINE) & (np.abs(a[:, -1:] - b[at, -1][None, :]) <= LENGTH_SCALE * LENGTH_RATIO)
-                    near_a, near_b = np.nonzero(near)
-                    keep = np.concatenate([alike(sa[s + near_a[k : k + 20_000]], sb[at[near_b[k : k + 20_000]]]) for k in range(0, len(near_a), 20_000)] or [np.zeros(0, bool)])
-                    for i, j in zip(near_a[keep], near_b[keep]):
-                        old, new = (bat_b[at[j]], ids_b[at[j]]), (bat_a[s + i], ids_a[s + i])
-                        if old < new:
-                            found.append((old[1], old[0], new[1], new[0]))
-            return pd.DataFrame(found, columns=["a", "batch_a", "b", "batch_b"])
-
-        g = ["cell", "block", "qblock"]
-        return q.groupBy(*g).cogroup(x.groupBy(*g)).applyInPandas(match, "a string, batch_a int, b string, batch_b int")
-
-    def key_links(self, batch: int) -> DataFrame:
-        """Each new key's link to the first accepted file that has it (or the first of the batch): at most one link per file and kind."""
-        ks = self.keys()
-        old = ks.where(F.col("batch_no") <= batch).groupBy("kind", "key").agg(F.min(F.struct("batch_no", "pdf_id")).alias("first"))
-        new = ks.where(F.col("batch_no") == batch)
-        j = new.join(old, ["kind", "key"]).where(F.col("first.pdf_id") != F.col("pdf_id"))
-        return j.select(F.col("first.pdf_id").alias("a"), F.col("first.batch_no").alias("batch_a"), F.col("pdf_id").alias("b"), F.col("batch_no").alias("batch_b"))
-
-    def link(self, batch: int, stats: dict) -> None:
-        near = self.probe(batch, stats).withColumn("kind", F.lit("near"))
-        exact = self.key_links(batch).withColumn("kind", F.lit("key"))
-        near.unionByName(exact).write.mode("overwrite").parquet(f"{self.folder}/links/batch_no={batch}")
 
-    def links(self) -> DataFrame:
-        return self.spark.read.schema("a string, batch_a int, b string, batch_b int, kind string").parquet(*[f"{self.folder}/links/batch_no={b}" for b in self.batches])
+def _part(c: str) -> Column:
+    return F.pmod(F.xxhash64(c), F.lit(PARTS)).cast("int")
 
-    def ingest(self, batches: list[int], stats: dict) -> None:
-        for b in batches:
-            self.link(b, stats)
-            self.batches.append(b)
 
+_FILES = "file string, class string, load int"
 
-def shingle_similar(pairs: DataFrame, pages: DataFrame, least: float = SIMILARITY) -> DataFrame:
-    """The pairs (a, b) whose files' sets of five-word shingles have at least that Jaccard similarity; only texts of files in pairs are read on."""
-    ids = pairs.select(F.col("a").alias("pdf_id")).union(pairs.select("b")).distinct()
-    p = pages.select("pdf_id", "text").where("text is not null").join(ids, "pdf_id", "left_semi")
-    words = F.filter(F.split(F.regexp_replace(F.lower("text"), r"[-‐]\s*\n\s*", ""), "[^a-z0-9]+"), lambda w: w != "")
-    sh = p.select("pdf_id", words.alias("w")).where(F.size("w") >= 5).select("pdf_id", F.explode(F.expr("transform(sequence(1, size(w) - 4), i -> xxhash64(array_join(slice(w, i, 5), ' ')))")).alias("h")).distinct()
-    n = sh.groupBy("pdf_id").agg(F.count(F.lit(1)).alias("n"))
-    both = pairs.select("a", "b").join(sh.select(F.col("pdf_id").alias("a"), "h"), "a").join(sh.select(F.col("pdf_id").alias("b"), "h"), ["b", "h"]).groupBy("a", "b").agg(F.count(F.lit(1)).alias("both"))
-    j = both.join(n.select(F.col("pdf_id").alias("a"), F.col("n").alias("na")), "a").join(n.select(F.col("pdf_id").alias("b"), F.col("n").alias("nb")), "b")
-    return j.where(F.col("both") >= least * (F.col("na") + F.col("nb") - F.col("both"))).select("a", "b")
 
+def _postings(fresh: DataFrame) -> DataFrame:
+    """cell, pdf_id: a row for each filled coordinate."""
+    p = fresh.select("file", F.posexplode("vec").alias("place", "value")).where(F.col("value") < _EMPTY)
+    return p.select((F.col("place").cast("long") * (1 << 31) + F.col("value")).alias("cell"), "file")
 
-def file_keys(files: DataFrame, papers: DataFrame) -> DataFrame:
-    """pdf_id, batch_no, kind, key: the content hash, and the DOI of the file's paper."""
-    h = files.select("pdf_id", "batch_no", F.lit("hash").alias("kind"), hash_key(F.col("sha256")).alias("key"))
-    d = files.where("paper_id is not null").join(papers.select("paper_id", doi_key(F.col("doi")).alias("key")).where("key is not null"), "paper_id").select("pdf_id", "batch_no", F.lit("doi").alias("kind"), "key")
-    return h.unionByName(d).where("key is not null")
 
+class Store:
+    """Accepted files: cells of vectors, shingle sets, keys, links. `open` gives a store that may hold batches already."""
+
+    def __init__(self, spark: SparkSession, folder: str, buckets: int):
+        self.spark, self.folder, self.buckets = spark, folder.rstrip("/"), buckets
+        self.name = "ivf_" + hashlib.sha1(self.folder.encode()).hexdigest()[:16]
+        self.leftover: list[int] = []
+
+    @classmethod
+    def open(cls, spark: SparkSession, folder: str) -> Store:
+        """The store in the folder, a new one if there is none. Its settings were fixed when it was made."""
+        folder = folder.rstrip("/")
+        mine = {"places": PLACES, "wide": WIDE, "agree": AGREE, "shingle": SHINGLE, "parts": PARTS, "buckets": 2 * spark.sparkContext.defaultParallelism}
+        try:
+            meta = json.loads(spark.read.text(f"{folder}/meta").first()[0])
+        except AnalysisException:
+            meta = mine
+            spark.createDataFrame([(json.dumps(meta),)], "value string").coalesce(1).write.text(f"{folder}/meta")
+        if {k: v for k, v in meta.items() if k != "buckets"} != {k: v for k, v in mine.items() if k != "buckets"}:
+            raise ValueError(f"the store in {folder} was made with other settings: {meta}")
+        self = cls(spark, folder, meta["buckets"])
+        for table, columns, key in (("cells", "cell long, class string, file string, load int", "cell"), ("keys", "kind string, key string, file string, load int", "key")):
+            spark.sql(f"CREATE TABLE IF NOT EXISTS {self.name}_{table} ({columns}) USING parquet CLUSTERED BY ({key}) INTO {self.buckets} BUCKETS LOCATION '{folder}/{table}'")
+        return self
+
+    def close(self) -> None:
+        """Forget the session's names for the store's tables; the files stay."""
+        for table in ("cells", "keys"):
+            self.spark.sql(f"DROP TABLE IF EXISTS {self.name}_{table}")
+
+    def _loads_in(self, name: str) -> list[int]:
+        """Loads whose folder of that name is written to its end."""
+        jvm = self.spark.sparkContext._jvm
+        path = jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
+        fs = path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        places = [x.getPath() for x in fs.listStatus(path)] if fs.exists(path) else []
+        return sorted(int(p.getName().split("=")[1]) for p in places if p.getName().startswith("load=") and fs.exists(jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")))
+
+    def loads(self) -> list[int]:
+        """Loads that were accepted, each of one batch or several."""
+        return self._loads_in("done")
+
+    def accepted(self) -> set[int]:
+        """The batches of the accepted loads."""
+        return {b for n in self.loads() for r in self.spark.read.text(f"{self.folder}/done/load={n}").collect() for b in json.loads(r[0])}  # a row a load
+
+    def _table(self, name: str) -> DataFrame:
+        """Cells or keys of the accepted loads; leftovers of one that was lost half-way are passed over."""
+        t = self.spark.table(f"{self.name}_{name}")
+        return t.where(~F.col("load").isin(self.leftover)) if self.leftover else t
+
+    def _append(self, df: DataFrame, name: str, key: str) -> None:
+        df.repartition(self.buckets, key).write.mode("append").format("parquet").bucketBy(self.buckets, key).option("path", f"{self.folder}/{name}").saveAsTable(f"{self.name}_{name}")
+
+    def _loaded(self, name: str, schema: str, loads: list[int]) -> DataFrame:
+        if not loads:
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).option("basePath", f"{self.folder}/{name}").parquet(*[f"{self.folder}/{name}/load={n}" for n in loads])
+
+    def files(self, loads: list[int]) -> DataFrame:
+        return self._loaded("files", _FILES, loads)
 
-def works(files: DataFrame, pages: DataFrame, papers: DataFrame) -> DataFrame:
-    """pdf_id, batch_no, first_pdf_id: every file that repeats an earlier one, with its work's first file; batches are ingested one after the other."""
+    def links(self) -> DataFrame:
+        """a (earlier), b, kind (hash, doi, text, near) of all accepted loads; files by the names given to `ingest`."""
+        return self._loaded("links", "a string, b string, kind string, load int", self.loads())
+
+    def _key_links(self, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """(links to the owners, new owners): one owner a key, of history or the least new file that has the key. keys: file, kind, key, load."""
+        first = keys.groupBy("kind", "key").agg(F.min("file").alias("file"))
+        known = self._table("keys").select("kind", "key", F.col("file").alias("owner"))
+        owners = through_table(first.join(known, ["kind", "key"], "left").select("kind", "key", F.coalesce("owner", "file").alias("owner"), F.col("owner").isNull().alias("new")), "owners")
+        links = keys.join(owners, ["kind", "key"]).where("owner <> file").select(F.col("owner").alias("a"), F.col("file").alias("b"), "kind")
+        return links, owners.where("new").select("kind", "key", F.col("owner").alias("file"))
+
+    def _verify(self, pairs: DataFrame, fresh: DataFrame) -> DataFrame:
+        """The pairs a, b (b new, a new or of history; a written table) whose five-word sets have the similarity; of history only the parts that hold an a are read."""
+        sets = fresh.select("file", "shingles")
+        places = pairs.where("load_a is not null").select("load_a", _part("a").alias("part")).distinct().collect()  # at most loads times PARTS
+        sets_a = sets
+        if places:
+            sets_a = sets.unionByName(self.spark.read.schema("file string, shingles array<int>").parquet(*sorted(f"{self.folder}/vectors/load={b}/part={p}" for b, p in places)))
+        left = sets_a.select(F.col("file").alias("a"), F.col("shingles").alias("sa")).join(pairs.select("a", "b"), "a")
+        both = left.join(sets.select(F.col("file").alias("b"), F.col("shingles").alias("sb")), "b").withColumn("n", F.size(F.array_intersect("sa", "sb")))
+        return both.where(F.col("n") >= SIMILARITY * (F.size("sa") + F.size("sb") - F.col("n"))).select("a", "b").distinct()
+
+    def _near(self, fresh: DataFrame, old: list[int]) -> tuple[DataFrame, DataFrame]:
+        """(links a, b of near text; file, class of the new files). fresh: a written table of pdf_id, vec, shingles."""
+        mine = _postings(fresh)
+        load = mine.groupBy("cell").count().agg(F.sum(F.col("count") * (F.col("count") - 1) / 2), F.sum("count")).first()
+        history = self._table("cells").select("cell", "class", F.col("file").alias("a"), F.col("load").alias("load_a"))
+        none = F.lit(None).cast("int").alias("load_a")
+        links, classes = None, fresh.select("file", F.col("file").alias("class"))
+        long_cells = load[1] is not None and load[0] > LONG * load[1]
+        for turn in ("first", "all") if long_cells else ("all",):
+            if turn == "first":  # one file a cell, so that a group of near copies is one class before all classes are compared
+                lists = mine.groupBy("cell").agg(F.min("file").alias("a")).select("cell", F.col("a").alias("class"), "a", none)
+            else:
+                listed = mine.withColumn("class", F.col("file")) if links is None else mine.join(classes, "file")
+                lists = listed.groupBy("cell", "class").agg(F.min("file").alias("a")).select("cell", "class", "a", none).unionByName(history)
+            q = mine.withColumn("own", F.col("file")) if links is None else mine.join(classes.withColumnRenamed("class", "own"), "file")
+            met = q.select("cell", F.col("file").alias("b"), "own").join(lists, "cell").where("class <> own and a <> b and (load_a is not null or a < b)")
+            # the members of a class that were met, and in how many cells the class was (a cell lists it once): at least as many as any member agrees in
+            agreed = met.groupBy("b", "class", "a", "load_a").agg(F.count(F.lit(1)).alias("n")).groupBy("b", "class").agg(F.sum("n").alias("n"), F.collect_list(F.struct("a", "load_a")).alias("as")).where(F.col("n") >= AGREE)
+            cand = through_table(agreed.select("b", "class", F.explode("as").alias("x")).select("b", "class", "x.a", "x.load_a"), "met")
+            found = through_table(self._verify(cand, fresh), "near")
+            if turn == "all":
+                further = self._members(cand, found, fresh, classes, old)
+                found = found if further is None else found.unionByName(further)
+            links = found if links is None else links.unionByName(found).distinct()
+            classes = self._classes(fresh, links, old)
+            if turn == "first":
+                classes = through_table(classes, "classes")
+        return links, classes
+
+    def _members(self, cand: DataFrame, found: DataFrame, fresh: DataFrame, classes: DataFrame, old: list[int]) -> DataFrame | None:
+        """Links to further members of the classes that agree with a file although no member met is near it; null if there is no such class."""
+        filed = classes.withColumn("load", F.lit(None).cast("int")).unionByName(self.files(old))
+        near = cand.join(found, ["a", "b"], "left_semi").select("b", "class").distinct()
+        open_ = cand.select("b", "class").distinct().join(near, ["b", "class"], "left_anti").join(filed.where("file <> class").select("class").distinct(), "class", "left_semi")
+        if open_.isEmpty():
+            return None
+        m = filed.select(F.col("file").alias("a"), "class", F.col("load").alias("load_a")).join(open_, "class").where("load_a is not null or a < b").join(cand.select("a", "b"), ["a", "b"], "left_anti")
+        vecs = fresh.select("file", "vec").unionByName(self._loaded("vectors", "file string, vec array<int>, load int", old).select("file", "vec"))
+        m = m.join(vecs.select(F.col("file").alias("a"), F.col("vec").alias("va")), "a").join(fresh.select(F.col("file").alias("b"), F.col("vec").alias("vb")), "b")
+        same = F.aggregate(F.zip_with("va", "vb", lambda x, y: F.when((x == y) & (x < _EMPTY), 1).otherwise(0)), F.lit(0), lambda s, x: s + x)
+        return self._verify(through_table(m.where(same >= AGREE).select("a", "b", "load_a").distinct(), "members"), fresh)
+
+    def _classes(self, fresh: DataFrame, links: DataFrame, old: list[int]) -> DataFrame:
+        """file, class: the least class of what a new file is linked to (history's classes before the batch's identifiers), else its own."""
+        of_old = self.files(old).select(F.col("file").alias("a"), "class").join(links.select("a").distinct(), "a", "left_semi")
+        to = links.join(of_old, "a", "left").groupBy(F.col("b").alias("file")).agg(F.min(F.struct(F.col("class").isNull().alias("new"), F.coalesce("class", "a").alias("class")))["class"].alias("class"))
+        return fresh.select("file").join(to, "file", "left").select("file", F.coalesce("class", "file").alias("class"))
+
+    def ingest(self, batches: list[int], signed: DataFrame, keys: DataFrame) -> None:
+        """Check a load (a batch, or several that waited) against everything accepted, then append it.
+
+        signed: file, vec, shingles, text_key; keys: file, kind, key. `file` is the file's name in the store; among the files of one load the lesser name is the earlier."""
+        again = self.accepted() & set(batches)
+        if again:
+            raise ValueError(f"batches {sorted(again)} are accepted already")
+        old = self.loads()
+        load = max(old, default=0) + 1
+        self.leftover = [n for n in self._loads_in("vectors") if n not in old]
+        path = f"{self.folder}/vectors/load={load}"
+        now = F.lit(load).alias("load")
+        exact, owners = self._key_links(keys.select("file", "kind", "key").unionByName(signed.select("file", F.lit("text").alias("kind"), F.col("text_key").alias("key"))).distinct())
+        fresh = signed.join(exact.where("kind = 'text'").select(F.col("b").alias("file")), "file", "left_anti")
+        fresh.select("file", "vec", "shingles", _part("file").alias("part")).repartition(PARTS, "part").write.mode("overwrite").partitionBy("part").parquet(path)
+        fresh = self.spark.read.schema("file string, vec array<int>, shingles array<int>, part int").parquet(path).drop("part")
+        near, classes = self._near(fresh, old)
+        classes.write.mode("overwrite").parquet(f"{self.folder}/files/load={load}")
+        classes = self._loaded("files", _FILES, [load]).drop("load")
+        cells = _postings(fresh).join(classes, "file").groupBy("cell", "class").agg(F.min("file").alias("file")).join(self._table("cells").select("cell", "class"), ["cell", "class"], "left_anti")
+        links = exact.select("a", "b", "kind").unionByName(near.select("a", "b", F.lit("near").alias("kind")))
+        with ThreadPoolExecutor(3) as pool:  # three writes that don't depend on one another
+            writes = [
+                pool.submit(self._append, cells.select("cell", "class", "file", now), "cells", "cell"), pool.submit(self._append, owners.select("kind", "key", "file", now), "keys", "key"),
+                pool.submit(links.write.mode("overwrite").parquet, f"{self.folder}/links/load={load}"),
+            ]
+            for w in writes:
+                w.result()
+        self.spark.createDataFrame([(json.dumps(sorted(batches)),)], "value string").coalesce(1).write.mode("overwrite").text(f"{self.folder}/done/load={load}")
+
+
+def works(files: DataFrame, pages: DataFrame, papers: DataFrame, folder: str | None = None) -> DataFrame:
+    """pdf_id, batch_no, first_pdf_id: every file that repeats an earlier one, with its work's first file.
+
+    Files are signed as they arrive, each once. Of the batches that the store in the folder (a new one if none is given) hasn't accepted, all but the newest are a backlog,
+    ingested in one load; then the newest is checked against the store."""
     spark = files.sparkSession
     files = files.select("pdf_id", "sha256", "paper_id", F.coalesce("batch_no", F.lit(0)).alias("batch_no"))
-    store = Store(spark, scratch(spark, "ivf"))
-    raw = f"{store.folder}/raw"
-    file_vectors(files, pages).write.parquet(raw)
-    vectors = spark.read.schema("pdf_id string, batch_no int, vec array<float>, sketch array<short>, words long").parquet(raw)
-    store.prepare(vectors)
-    store.append(vectors, file_keys(files, papers))
-    stats = store.stats()
-    batches = sorted(r[0] for r in files.select("batch_no").distinct().collect())
-    store.ingest(batches, stats)
-    if not batches:
-        return spark.createDataFrame([], "pdf_id string, batch_no int, first_pdf_id string")
-    links = store.links()
-    near = links.where("kind = 'near'").select("a", "b").distinct()
-    sure = shingle_similar(near, pages)
-    edges = links.where("kind = 'key'").select("a", "b").unionByName(sure)
-    name = lambda b, p: F.concat(F.format_string("%010d", F.col(b)), F.lit("|"), F.col(p))
-    at = files.select("pdf_id", "batch_no")
-    e = edges.join(at.select(F.col("pdf_id").alias("a"), F.col("batch_no").alias("ba")), "a").join(at.select(F.col("pdf_id").alias("b"), F.col("batch_no").alias("bb")), "b")
-    r = roots(e.select(name("ba", "a").alias("u"), name("bb", "b").alias("v")))
+    store = Store.open(spark, folder or scratch(spark, "ivf"))
+    done = store.accepted()
+    waiting = sorted(r[0] for r in files.select("batch_no").distinct().collect() if r[0] not in done)  # one row a batch
+    if waiting:
+        new = files.where(F.col("batch_no").isin(waiting))
+        arrived, keyed = scratch(spark, "signed"), scratch(spark, "keyed")
+        signatures(new, pages).write.partitionBy("batch_no").parquet(arrived)
+        file_keys(new, papers).write.partitionBy("batch_no").parquet(keyed)
+        signed = spark.read.schema("pdf_id string, vec array<int>, shingles array<int>, text_key string, batch_no int").parquet(arrived)
+        keys = spark.read.schema("pdf_id string, kind string, key string, batch_no int").parquet(keyed)
+        name = F.concat(F.format_string("%010d", "batch_no"), F.lit("|"), "pdf_id").alias("file")
+        for step in [waiting[:-1], waiting[-1:]] if len(waiting) > 1 else [waiting]:
+            of = lambda df, step=step: df.where(F.col("batch_no").isin(step)).select(name, "*")
+            store.ingest(step, of(signed), of(keys))
+    links = store.links().select(F.col("a").alias("u"), F.col("b").alias("v"))
+    store.close()
+    r = roots(links)
     return r.select(F.substring("u", 12, 1 << 20).alias("pdf_id"), F.substring("u", 1, 10).cast("int").alias("batch_no"), F.substring("root", 12, 1 << 20).alias("first_pdf_id"))
 
 
-def pairs(files: DataFrame, pages: DataFrame, papers: DataFrame) -> DataFrame:
+def pairs(files: DataFrame, pages: DataFrame, papers: DataFrame, folder: str | None = None) -> DataFrame:
     """pdf_id_a, pdf_id_b: a work's first file with every other, the smaller identifier first."""
-    w = works(files, pages, papers)
+    w = works(files, pages, papers, folder)
     return w.select(F.least("pdf_id", "first_pdf_id").alias("pdf_id_a"), F.greatest("pdf_id", "first_pdf_id").alias("pdf_id_b"))

@@ -1,11 +1,12 @@
 import random
+import shutil
 
-import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from corpusmill.llm import components, incremental
+from corpusmill.llm import components, incremental, scans
 
-VOCAB = [f"w{i}" for i in range(400)]
+VOCAB = ["".join(random.Random(i).choice("abfgkmnopqsuvwxyz") for _ in range(7)) for i in range(400)]
 
 
 def text(seed, n=150):
@@ -13,7 +14,7 @@ def text(seed, n=150):
     return [rng.choice(VOCAB) for _ in range(n)]
 
 
-def noisy(w, seed, share=0.06):
+def noisy(w, seed, share=0.02):
     rng = random.Random(seed)
     return [rng.choice(VOCAB) if rng.random() < share else x for x in w]
 
@@ -56,37 +57,96 @@ def test_empty_tables(spark):
     assert incremental.pairs(f, p.limit(0), a).count() == 3
 
 
-def test_probing_loses_nothing_against_all_pairs(spark, tmp_path):
-    """Recall of the bounded probes against brute force over the same vectors."""
-    base = [text(s, 80 + 3 * (s % 40)) for s in range(60)]
-    docs = [(f"d{i:03}", 1 + i % 4, " ".join(w)) for i, w in enumerate(base + [noisy(w, 7 + i) for i, w in enumerate(base)])]
-    df = spark.createDataFrame(docs, "pdf_id string, batch_no int, text string")
-    v = incremental.file_vectors(df.select("pdf_id", "batch_no"), df.select("pdf_id", "text"))
-    store = incremental.Store(spark, str(tmp_path / "ivf"))
-    v.write.parquet(str(tmp_path / "raw"))
-    raw = spark.read.schema(v.schema).parquet(str(tmp_path / "raw"))
-    store.prepare(raw)
-    store.append(raw, df.select("pdf_id", F.lit("hash").alias("kind"), F.col("pdf_id").alias("key"), "batch_no"))
-    store.ingest([1, 2, 3, 4], store.stats())
-    got = {tuple(sorted((r.a, r.b))) for r in store.links().where("kind = 'near'").collect()}
-    rows = raw.toPandas()
-    x = incremental.embed(np.stack(rows.vec.to_numpy()), rows.words.to_numpy())
-    cos = x[:, :-1] @ x[:, :-1].T
-    ok = (cos >= incremental.COSINE) & (np.abs(x[:, -1:] - x[:, -1][None]) <= incremental.LENGTH_SCALE * incremental.LENGTH_RATIO)
-    want = {tuple(sorted((rows.pdf_id[i], rows.pdf_id[j]))) for i, j in zip(*np.nonzero(np.triu(ok, 1)))}
-    assert got == want and len(want) >= 50
-
-
-def test_near_text_is_found_down_to_the_documented_similarity(spark):
-    """Against brute force over shingles: copies with pages missing and with edits, of lengths far apart."""
+def brute(docs, least=incremental.SIMILARITY):
+    sh = {k: {tuple(scans.skeleton(x).strip("0123456789") for x in w[i : i + 5]) for i in range(len(w) - 4)} for k, w in docs.items()}
+    return {(a, b) for a in sh for b in sh if a < b and len(sh[a] & sh[b]) >= least * len(sh[a] | sh[b])}
+
+
+def word_docs(spark, docs, batches):
+    files = spark.createDataFrame([(k, None, None, batches[k]) for k in docs], "pdf_id string, sha256 string, paper_id string, batch_no int")
+    return files, spark.createDataFrame([(k, " ".join(w)) for k, w in docs.items()], "pdf_id string, text string"), spark.createDataFrame([], "paper_id string, doi string")
+
+
+def closed(pairs):
+    """The pairs (first of its group, other)."""
+    root = {}
+
+    def find(x):
+        while root.get(x, x) != x:
+            x = root[x]
+        return x
+
+    for a, b in pairs:
+        x, y = find(a), find(b)
+        root[max(x, y)] = min(x, y)
+    return {(find(x), x) for p in pairs for x in p if find(x) != x}
+
+
+def test_repeats_are_found_at_every_noise(spark):
+    """Against brute force over shingles: copies with pages missing, of lengths far apart, and with edits."""
     base = [text(s, 500) for s in range(500, 530)]
-    docs = {f"a{i:02}": w for i, w in enumerate(base)} | {f"b{i:02}": noisy(w[: 130 + 12 * i], i, 0.02) for i, w in enumerate(base)}
-    files = spark.createDataFrame([(k, None, f"p_{k}", 1 + (k[0] == "b")) for k in docs], "pdf_id string, sha256 string, paper_id string, batch_no int")
-    pages = spark.createDataFrame([(k, " ".join(w)) for k, w in docs.items()], "pdf_id string, text string")
-    papers = spark.createDataFrame([], "paper_id string, doi string")
-    sh = {k: {tuple(w[i : i + 5]) for i in range(len(w) - 4)} for k, w in docs.items()}
-    want = {(a, b) for a in sh for b in sh if a < b and len(sh[a] & sh[b]) >= incremental.SIMILARITY * len(sh[a] | sh[b])}
-    assert len(want) >= 25 and {tuple(r) for r in incremental.pairs(files, pages, papers).collect()} == want
+    docs = {f"a{i:02}": w for i, w in enumerate(base)} | {f"b{i:02}": noisy(w[: 200 + 10 * i], i, 0.002 * i) for i, w in enumerate(base)}
+    want = brute(docs, 0.35)
+    got = {tuple(r) for r in incremental.pairs(*word_docs(spark, docs, {k: 1 + (k[0] == "b") for k in docs})).collect()}
+    assert len(want) >= 20 and want <= got <= brute(docs, incremental.SIMILARITY)
+
+
+def test_a_store_is_taken_up_and_gets_one_batch_more(spark, tmp_path):
+    base = [text(s, 120) for s in range(900, 960)]
+    docs = {f"d{i:03}": w for i, w in enumerate(base)} | {f"e{i:03}": noisy(w, i, 0.01) for i, w in enumerate(base)}
+    batches = {k: 1 + i % 20 for i, k in enumerate(sorted(docs))}
+    files, pages, papers = word_docs(spark, docs, batches)
+    whole = {tuple(r) for r in incremental.pairs(files, pages, papers).collect()}
+    folder = str(tmp_path / "store")
+    incremental.works(files.where("batch_no < 20"), pages, papers, folder)
+    store = incremental.Store.open(spark, folder)
+    assert store.accepted() == set(range(1, 20)) and store.loads() == [1, 2]
+    before = store.links().count()
+    store.close()
+    # the texts of the history are gone: only the store may be read
+    late = pages.join(files.where("batch_no = 20"), "pdf_id", "left_semi")
+    assert {tuple(r) for r in incremental.pairs(files.where("batch_no = 20"), late, papers, folder).collect()} == whole == closed(brute(docs))
+    store = incremental.Store.open(spark, folder)
+    links = store.links().where("load = 3").collect()
+    met = {r.a for r in links}
+    assert store.loads() == [1, 2, 3] and store.links().count() == before + len(links) and len(met) <= 6 == sum(b == 20 for b in batches.values())
+    with pytest.raises(ValueError, match="accepted"):
+        store.ingest([20], None, None)
+    store.close()
+
+
+def test_leftovers_of_a_lost_load_are_passed_over(spark, tmp_path):
+    docs = {f"d{i}": text(i, 120) for i in range(6)} | {f"e{i}": text(i, 120) + ["end"] for i in range(6)}
+    args = word_docs(spark, docs, {k: 1 + (k[0] == "e") for k in docs})
+    folder = str(tmp_path / "store")
+    incremental.works(*args, folder)
+    shutil.rmtree(f"{folder}/done/load=2")
+    got = {tuple(r) for r in incremental.pairs(*args, folder).collect()}
+    assert got == {(f"d{i}", f"e{i}") for i in range(6)}
+
+
+def test_near_copies_that_hold_most_rows_make_no_long_lists(spark, tmp_path, monkeypatch):
+    """40 distinct copies of one text in one batch, then one more: linked to a few members, listed once a cell and class."""
+    monkeypatch.setattr(incremental, "LONG", 1)
+    one = text(77, 300)
+    docs = {f"n{i:02}": noisy(one, i, 0.01) for i in range(41)} | {f"z{i}": text(200 + i, 200) for i in range(10)}
+    args = word_docs(spark, docs, {k: 2 if k == "n40" else 1 for k in docs})
+    folder = str(tmp_path / "store")
+    assert {tuple(r) for r in incremental.pairs(*args, folder).collect()} == {("n00", f"n{i:02}") for i in range(1, 41)}
+    store = incremental.Store.open(spark, folder)
+    cells = store._table("cells").where(F.split("file", "\\|")[1].startswith("n"))
+    assert cells.groupBy("cell", "class").count().agg(F.max("count")).first()[0] == 1
+    assert store.links().where("kind = 'near'").count() < 41 * 40 / 4
+    store.close()
+
+
+def test_members_behind_the_one_listed_are_reached(spark, tmp_path):
+    """c is like b only, whose class is listed by a in the cells that all three share."""
+    head, mid, tail = text(1, 200), text(2, 130), text(3, 200)
+    docs = {"a": head + mid, "b": mid + head[:60] + tail, "c": tail + mid[:40]}
+    want = closed(brute(docs))
+    got = {tuple(r) for r in incremental.pairs(*word_docs(spark, docs, {"a": 1, "b": 2, "c": 3})).collect()}
+    assert got == want and want
 
 
 def test_components_of_chains_and_stars(spark):
