@@ -6,7 +6,8 @@ they differ (Hamming), about PLACES (1 - J) for Jaccard similarity J of their wi
 
 Cells. The inverted file has one cell for each coordinate value: cell (i, v) lists the vectors whose coordinate i is v. A query probes the cells of its own
 coordinates. A vector met in none of the probed cells differs in every one of them, so once t cells are probed it is at least t away: after all PLACES cells no
-unseen vector can be nearer than PLACES, and what was met in n cells is exactly PLACES - n away. A match must be within PLACES - AGREE. These are reranked exactly by the
+unseen vector can be nearer than PLACES, and what was met in n cells is exactly PLACES - n away. A match must be within PLACES - AGREE, so it's met in at least AGREE - SKIP cells
+even if a query leaves out SKIP of its cells: it leaves out those that list most (of the HOT_CELLS longest that list HOT or more), and nothing is lost. What was met often enough is reranked exactly by the
 Jaccard similarity of the five-word sets, read for the candidates only; TESTDATA's repeats differ by scattered edits and scan noise in both copies,
 which lowers the similarity of true repeats to 0.4, while different files stay under 0.2, so SIMILARITY stands between and isn't 0.8.
 
@@ -46,7 +47,9 @@ from .canonical import alnum_key
 from .components import roots
 from .scans import skeleton
 
-PLACES, WIDE, AGREE = 64, 14, 4
+PLACES, WIDE, AGREE, SKIP = 64, 14, 6, 3
+#: Cells that may be left out: those that list HOT or more, at most HOT_CELLS of them (the longest), which go to the tasks.
+HOT, HOT_CELLS = 16, 100_000
 SHINGLE = 5
 MIN_WORDS = 30
 SIMILARITY = 0.27
@@ -106,20 +109,29 @@ def page_signature(text: str, cache: dict[str, int]) -> tuple[np.ndarray, np.nda
     return low.astype(np.int32), np.unique((_shingles(ids, SHINGLE) >> np.uint64(32)).astype(np.uint32)).view(np.int32), len(ids)
 
 
+_PAGE = "pdf_id string, batch_no int, low array<int>, shingles array<int>, words long, m1 long, m2 long"
+
+
 def _page_signatures(batches):
     cache: dict[str, int] = {}
     for b in batches:
         got = [page_signature(t, cache) for t in b["text"]]
-        yield pd.DataFrame({"pdf_id": b["pdf_id"], "batch_no": b["batch_no"], "low": [g[0] for g in got], "set": [g[1] for g in got], "words": [g[2] for g in got]})
+        marks = np.array([np.frombuffer(hashlib.blake2b(g[1].tobytes(), digest_size=16).digest(), np.int64) if len(g[1]) else (0, 0) for g in got], np.int64).reshape(-1, 2)
+        yield pd.DataFrame({"pdf_id": b["pdf_id"], "batch_no": b["batch_no"], "low": [g[0] for g in got], "shingles": [g[1] for g in got], "words": [g[2] for g in got], "m1": marks[:, 0], "m2": marks[:, 1]})
 
 
-def signatures(files: DataFrame, pages: DataFrame) -> DataFrame:
-    """pdf_id, batch_no, vec (PLACES coordinates), shingles, text_key: one row for each file of at least MIN_WORDS words."""
+def page_signatures(files: DataFrame, pages: DataFrame) -> DataFrame:
+    """pdf_id, batch_no, low, shingles, words, m1, m2: one row a page, made where the page is read."""
     p = pages.select("pdf_id", "text").where("text is not null").join(files.select("pdf_id", "batch_no"), "pdf_id")
-    v = spread(p, pages).mapInPandas(_page_signatures, "pdf_id string, batch_no int, low array<int>, set array<int>, words long")
-    g = v.groupBy("pdf_id", "batch_no").agg(F.collect_list("low").alias("lows"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("set")))).alias("shingles"), F.sum("words").alias("words")).where(F.col("words") >= MIN_WORDS)
-    vec = F.transform(F.sequence(F.lit(0), F.lit(PLACES - 1)), lambda i: F.array_min(F.transform("lows", lambda x: F.get(x, i))))
-    return g.select("pdf_id", "batch_no", vec.alias("vec"), "shingles", F.sha2(F.array_join(F.transform("shingles", lambda x: x.cast("string")), ","), 256).alias("text_key"))
+    return spread(p, pages).mapInPandas(_page_signatures, _PAGE)
+
+
+def file_vectors(signed: DataFrame, key: str = "pdf_id") -> DataFrame:
+    """key, vec (PLACES coordinates), text_key (equal for files whose pages have the same shingles): one row for each file of at least MIN_WORDS words."""
+    some = F.size("shingles") > 0
+    g = signed.groupBy(key).agg(F.collect_list(F.when(some, F.col("low"))).alias("lows"), F.sum("words").alias("words"), F.count_if(some).alias("n"), *[F.sum(F.col(m).cast("decimal(38,0)")).alias(m) for m in ("m1", "m2")]).where(F.col("words") >= MIN_WORDS)
+    vec = F.transform(F.sequence(F.lit(0), F.lit(PLACES - 1)), lambda i: F.coalesce(F.array_min(F.transform("lows", lambda x: F.get(x, i))), F.lit(_EMPTY)))
+    return g.select(key, vec.alias("vec"), F.when(F.col("n") > 0, F.concat_ws(":", F.col("m1").cast("string"), F.col("m2").cast("string"), F.col("n").cast("string"))).alias("text_key"))
 
 
 def file_keys(files: DataFrame, papers: DataFrame) -> DataFrame:
@@ -133,13 +145,13 @@ def _part(c: str) -> Column:
     return F.pmod(F.xxhash64(c), F.lit(PARTS)).cast("int")
 
 
-_FILES = "file string, class string, load int"
+_FILES = "file string, vec array<int>, class string, load int"
 
 
-def _postings(fresh: DataFrame) -> DataFrame:
-    """cell, pdf_id: a row for each filled coordinate."""
-    p = fresh.select("file", F.posexplode("vec").alias("place", "value")).where(F.col("value") < _EMPTY)
-    return p.select((F.col("place").cast("long") * (1 << 31) + F.col("value")).alias("cell"), "file")
+def _postings(files: DataFrame, *more: str) -> DataFrame:
+    """cell, file and further columns: a row for each filled coordinate."""
+    p = files.select("file", *more, F.posexplode("vec").alias("place", "value")).where(F.col("value") < _EMPTY)
+    return p.select((F.col("place").cast("long") * (1 << 31) + F.col("value")).alias("cell"), "file", *more)
 
 
 class Store:
@@ -216,39 +228,61 @@ class Store:
         links = keys.join(owners, ["kind", "key"]).where("owner <> file").select(F.col("owner").alias("a"), F.col("file").alias("b"), "kind")
         return links, owners.where("new").select("kind", "key", F.col("owner").alias("file"))
 
-    def _verify(self, pairs: DataFrame, fresh: DataFrame) -> DataFrame:
-        """The pairs a, b (b new, a new or of history; a written table) whose five-word sets have the similarity; of history only the parts that hold an a are read."""
-        sets = fresh.select("file", "shingles")
-        places = pairs.where("load_a is not null").select("load_a", _part("a").alias("part")).distinct().collect()  # at most loads times PARTS
-        sets_a = sets
-        if places:
-            sets_a = sets.unionByName(self.spark.read.schema("file string, shingles array<int>").parquet(*sorted(f"{self.folder}/vectors/load={b}/part={p}" for b, p in places)))
-        left = sets_a.select(F.col("file").alias("a"), F.col("shingles").alias("sa")).join(pairs.select("a", "b"), "a")
-        both = left.join(sets.select(F.col("file").alias("b"), F.col("shingles").alias("sb")), "b").withColumn("n", F.size(F.array_intersect("sa", "sb")))
-        return both.where(F.col("n") >= SIMILARITY * (F.size("sa") + F.size("sb") - F.col("n"))).select("a", "b").distinct()
-
-    def _near(self, fresh: DataFrame, old: list[int]) -> tuple[DataFrame, DataFrame]:
-        """(links a, b of near text; file, class of the new files). fresh: a written table of pdf_id, vec, shingles."""
+    def _verify(self, pairs: DataFrame, load: int) -> DataFrame:
+        """The pairs a, b (b of the load, a of it or of history; a written table) whose five-word sets have the similarity; only the parts that hold a candidate are read."""
+        files = pairs.select(F.col("a").alias("file"), F.coalesce("load_a", F.lit(load)).alias("load")).union(pairs.select("b", F.lit(load))).distinct().withColumn("part", _part("file"))
+        places = files.select("load", "part").distinct().collect()  # at most loads times PARTS
+        if not places:
+            return self.spark.createDataFrame([], "a string, b string")
+        pages = self.spark.read.schema("file string, shingles array<int>").parquet(*sorted(f"{self.folder}/vectors/load={n}/part={p}" for n, p in places))
+        sets = pages.join(files.select("file").distinct(), "file").groupBy("file").agg(F.array_distinct(F.flatten(F.collect_list("shingles"))).alias("s"))
+        left = sets.select(F.col("file").alias("a"), F.col("s").alias("sa")).join(pairs.select("a", "b").distinct(), "a")
+        both = left.join(sets.select(F.col("file").alias("b"), F.col("s").alias("sb")), "b").withColumn("n", F.size(F.array_intersect("sa", "sb")))
+        return both.where(F.col("n") >= SIMILARITY * (F.size("sa") + F.size("sb") - F.col("n"))).select("a", "b")
+
+    def _probes(self, fresh: DataFrame, counts: DataFrame) -> DataFrame:
+        """cell, file: the cells that each new file probes: all of its own but the SKIP longest of the hot ones."""
+        hot = counts.where(F.col("n") >= HOT).orderBy(F.desc("n"), "cell").limit(HOT_CELLS).collect()
+        if not hot:
+            return _postings(fresh)
+        length = {c: n for c, n in hot}
+
+        @F.pandas_udf("array<long>")
+        def probed(vec: pd.Series) -> pd.Series:
+            out = []
+            for v in vec:
+                own = [(i << 31) + int(x) for i, x in enumerate(v) if x < _EMPTY]
+                left_out = set(sorted((c for c in own if c in length), key=lambda c: (-length[c], c))[:SKIP])
+                out.append([c for c in own if c not in left_out])
+            return pd.Series(out, dtype=object)
+
+        return fresh.select("file", F.explode(probed("vec")).alias("cell")).select("cell", "file")
+
+    def _near(self, fresh: DataFrame, load: int, old: list[int]) -> tuple[DataFrame, DataFrame]:
+        """(links a, b of near text; file, class of the new files). fresh: a written table of file, vec."""
         mine = _postings(fresh)
-        load = mine.groupBy("cell").count().agg(F.sum(F.col("count") * (F.col("count") - 1) / 2), F.sum("count")).first()
+        here = mine.groupBy("cell").agg(F.count(F.lit(1)).alias("n"))
+        sums = here.agg(F.sum(F.col("n") * (F.col("n") - 1) / 2), F.sum("n")).first()
+        counts = here.select("cell", "n").unionByName(self._table("cells").groupBy("cell").agg(F.count(F.lit(1)).alias("n"))).groupBy("cell").agg(F.sum("n").alias("n"))
+        probes = through_table(self._probes(fresh, counts), "probes")
         history = self._table("cells").select("cell", "class", F.col("file").alias("a"), F.col("load").alias("load_a"))
         none = F.lit(None).cast("int").alias("load_a")
         links, classes = None, fresh.select("file", F.col("file").alias("class"))
-        long_cells = load[1] is not None and load[0] > LONG * load[1]
+        long_cells = sums[1] is not None and sums[0] > LONG * sums[1]
         for turn in ("first", "all") if long_cells else ("all",):
             if turn == "first":  # one file a cell, so that a group of near copies is one class before all classes are compared
                 lists = mine.groupBy("cell").agg(F.min("file").alias("a")).select("cell", F.col("a").alias("class"), "a", none)
             else:
                 listed = mine.withColumn("class", F.col("file")) if links is None else mine.join(classes, "file")
                 lists = listed.groupBy("cell", "class").agg(F.min("file").alias("a")).select("cell", "class", "a", none).unionByName(history)
-            q = mine.withColumn("own", F.col("file")) if links is None else mine.join(classes.withColumnRenamed("class", "own"), "file")
+            q = probes.withColumn("own", F.col("file")) if links is None else probes.join(classes.withColumnRenamed("class", "own"), "file")
             met = q.select("cell", F.col("file").alias("b"), "own").join(lists, "cell").where("class <> own and a <> b and (load_a is not null or a < b)")
             # the members of a class that were met, and in how many cells the class was (a cell lists it once): at least as many as any member agrees in
-            agreed = met.groupBy("b", "class", "a", "load_a").agg(F.count(F.lit(1)).alias("n")).groupBy("b", "class").agg(F.sum("n").alias("n"), F.collect_list(F.struct("a", "load_a")).alias("as")).where(F.col("n") >= AGREE)
+            agreed = met.groupBy("b", "class", "a", "load_a").agg(F.count(F.lit(1)).alias("n")).groupBy("b", "class").agg(F.sum("n").alias("n"), F.collect_list(F.struct("a", "load_a")).alias("as")).where(F.col("n") >= AGREE - SKIP)
             cand = through_table(agreed.select("b", "class", F.explode("as").alias("x")).select("b", "class", "x.a", "x.load_a"), "met")
-            found = through_table(self._verify(cand, fresh), "near")
+            found = through_table(self._verify(cand, load), "near")
             if turn == "all":
-                further = self._members(cand, found, fresh, classes, old)
+                further = self._members(cand, found, fresh, classes, load, old)
                 found = found if further is None else found.unionByName(further)
             links = found if links is None else links.unionByName(found).distinct()
             classes = self._classes(fresh, links, old)
@@ -256,18 +290,18 @@ class Store:
                 classes = through_table(classes, "classes")
         return links, classes
 
-    def _members(self, cand: DataFrame, found: DataFrame, fresh: DataFrame, classes: DataFrame, old: list[int]) -> DataFrame | None:
+    def _members(self, cand: DataFrame, found: DataFrame, fresh: DataFrame, classes: DataFrame, load: int, old: list[int]) -> DataFrame | None:
         """Links to further members of the classes that agree with a file although no member met is near it; null if there is no such class."""
-        filed = classes.withColumn("load", F.lit(None).cast("int")).unionByName(self.files(old))
+        filed = classes.select("file", "class", F.lit(None).cast("int").alias("load")).unionByName(self.files(old).select("file", "class", "load"))
         near = cand.join(found, ["a", "b"], "left_semi").select("b", "class").distinct()
         open_ = cand.select("b", "class").distinct().join(near, ["b", "class"], "left_anti").join(filed.where("file <> class").select("class").distinct(), "class", "left_semi")
         if open_.isEmpty():
             return None
         m = filed.select(F.col("file").alias("a"), "class", F.col("load").alias("load_a")).join(open_, "class").where("load_a is not null or a < b").join(cand.select("a", "b"), ["a", "b"], "left_anti")
-        vecs = fresh.select("file", "vec").unionByName(self._loaded("vectors", "file string, vec array<int>, load int", old).select("file", "vec"))
+        vecs = fresh.select("file", "vec").unionByName(self.files(old).select("file", "vec"))
         m = m.join(vecs.select(F.col("file").alias("a"), F.col("vec").alias("va")), "a").join(fresh.select(F.col("file").alias("b"), F.col("vec").alias("vb")), "b")
         same = F.aggregate(F.zip_with("va", "vb", lambda x, y: F.when((x == y) & (x < _EMPTY), 1).otherwise(0)), F.lit(0), lambda s, x: s + x)
-        return self._verify(through_table(m.where(same >= AGREE).select("a", "b", "load_a").distinct(), "members"), fresh)
+        return self._verify(through_table(m.where(same >= AGREE).select("a", "b", "load_a").distinct(), "members"), load)
 
     def _classes(self, fresh: DataFrame, links: DataFrame, old: list[int]) -> DataFrame:
         """file, class: the least class of what a new file is linked to (history's classes before the batch's identifiers), else its own."""
@@ -278,23 +312,22 @@ class Store:
     def ingest(self, batches: list[int], signed: DataFrame, keys: DataFrame) -> None:
         """Check a load (a batch, or several that waited) against everything accepted, then append it.
 
-        signed: file, vec, shingles, text_key; keys: file, kind, key. `file` is the file's name in the store; among the files of one load the lesser name is the earlier."""
+        signed: file and the columns of `page_signatures`; keys: file, kind, key. `file` is the file's name in the store; among the files of one load the lesser name is the earlier."""
         again = self.accepted() & set(batches)
         if again:
             raise ValueError(f"batches {sorted(again)} are accepted already")
         old = self.loads()
         load = max(old, default=0) + 1
         self.leftover = [n for n in self._loads_in("vectors") if n not in old]
-        path = f"{self.folder}/vectors/load={load}"
         now = F.lit(load).alias("load")
-        exact, owners = self._key_links(keys.select("file", "kind", "key").unionByName(signed.select("file", F.lit("text").alias("kind"), F.col("text_key").alias("key"))).distinct())
-        fresh = signed.join(exact.where("kind = 'text'").select(F.col("b").alias("file")), "file", "left_anti")
-        fresh.select("file", "vec", "shingles", _part("file").alias("part")).repartition(PARTS, "part").write.mode("overwrite").partitionBy("part").parquet(path)
-        fresh = self.spark.read.schema("file string, vec array<int>, shingles array<int>, part int").parquet(path).drop("part")
-        near, classes = self._near(fresh, old)
-        classes.write.mode("overwrite").parquet(f"{self.folder}/files/load={load}")
-        classes = self._loaded("files", _FILES, [load]).drop("load")
-        cells = _postings(fresh).join(classes, "file").groupBy("cell", "class").agg(F.min("file").alias("file")).join(self._table("cells").select("cell", "class"), ["cell", "class"], "left_anti")
+        signed.select("file", "shingles", _part("file").alias("part")).where(F.size("shingles") > 0).sortWithinPartitions("part").write.mode("overwrite").partitionBy("part").parquet(f"{self.folder}/vectors/load={load}")
+        files = through_table(file_vectors(signed, "file"), "vecs")
+        exact, owners = self._key_links(keys.select("file", "kind", "key").unionByName(files.where("text_key is not null").select("file", F.lit("text").alias("kind"), F.col("text_key").alias("key"))).distinct())
+        fresh = files.select("file", "vec").join(exact.where("kind = 'text'").select(F.col("b").alias("file")), "file", "left_anti")
+        near, classes = self._near(fresh, load, old)
+        fresh.join(classes, "file").select("file", "vec", "class").write.mode("overwrite").parquet(f"{self.folder}/files/load={load}")
+        filed = self._loaded("files", _FILES, [load])
+        cells = _postings(filed, "class").groupBy("cell", "class").agg(F.min("file").alias("file")).join(self._table("cells").select("cell", "class"), ["cell", "class"], "left_anti")
         links = exact.select("a", "b", "kind").unionByName(near.select("a", "b", F.lit("near").alias("kind")))
         with ThreadPoolExecutor(3) as pool:  # three writes that don't depend on one another
             writes = [
@@ -319,9 +352,9 @@ def works(files: DataFrame, pages: DataFrame, papers: DataFrame, folder: str | N
     if waiting:
         new = files.where(F.col("batch_no").isin(waiting))
         arrived, keyed = scratch(spark, "signed"), scratch(spark, "keyed")
-        signatures(new, pages).write.partitionBy("batch_no").parquet(arrived)
+        page_signatures(new, pages).write.partitionBy("batch_no").parquet(arrived)
         file_keys(new, papers).write.partitionBy("batch_no").parquet(keyed)
-        signed = spark.read.schema("pdf_id string, vec array<int>, shingles array<int>, text_key string, batch_no int").parquet(arrived)
+        signed = spark.read.schema(_PAGE).parquet(arrived)
         keys = spark.read.schema("pdf_id string, kind string, key string, batch_no int").parquet(keyed)
         name = F.concat(F.format_string("%010d", "batch_no"), F.lit("|"), "pdf_id").alias("file")
         for step in [waiting[:-1], waiting[-1:]] if len(waiting) > 1 else [waiting]:
