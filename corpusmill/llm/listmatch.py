@@ -5,12 +5,13 @@ prunes subtrees and the search returns every spelling within the threshold. Spel
 formulas written the other way round, dopant phrases, percentages). A value is first stripped of decorations (thickness, "thin
 film", remarks); numbers in value and spelling must agree; ties go to the row's family, then to the likelier typing error, then to the smaller id.
 
-The tree is shipped to the tasks only while its spellings stay under SHARD_SPELLINGS; a larger list is divided into shards,
-each shard answers for all values, and the shards' winners merge by rank. Values are answered where they are, with a
-cache per task process, so that no value is shuffled, however often it occurs.
+The tree is shipped to the tasks only while its spellings stay under SHARD_SPELLINGS (counted before anything is collected); then values are answered where they are, with a
+cache per task process, so that no value is shuffled, however often it occurs. A larger list is divided into shards of entries: each distinct value
+is answered by every shard, one tree to a task, and the winners merge by their whole rank (distance, family, typing error, identifier). What depends on the whole list (a canonical name
+as it stands, the entry that a family names, whether any entry is near) is decided once, so that the answer is the same however the list is divided.
 
 Defined cases: null and blank values have no result; a value equal to a canonical name needs no mapping (reported with that id in `mapped`, left out of
-`found`); a value that fits no entry gets 0; a very long value (over MAX_VALUE characters after stripping) fits nothing.
+`found`); a value that fits no entry gets 0; values may have any length; a canonical name that several entries share stands for the largest identifier.
 """
 
 from __future__ import annotations
@@ -23,8 +24,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusmill.session import through_table
+
 SHARD_SPELLINGS = 100_000
-MAX_VALUE = 200
+#: Spellings that the rules give an entry, about.
+PER_ENTRY = 40
+#: Distinct values that one task of a shard answers at a time.
+VALUE_BLOCKS = 8
 
 # Elements that occur as dopants, with their names.
 ELEMENTS = {"si": "silicon", "al": "aluminum", "la": "lanthanum", "y": "yttrium", "gd": "gadolinium", "sr": "strontium", "ce": "cerium", "sc": "scandium", "mg": "magnesium", "ge": "germanium", "ti": "titanium", "n": "nitrogen", "yb": "ytterbium", "nd": "neodymium", "ta": "tantalum", "lu": "lutetium", "er": "erbium", "zr": "zirconium", "hf": "hafnium"}
@@ -191,100 +197,151 @@ def _threshold(k: str) -> int:
     return 2 if len(re.sub(r"[^a-z]", "", k)) >= 6 and re.search(r"[a-z]{6}", k) else 0
 
 
-class Matcher:
-    """entries: (id, canonical, short, long, family)."""
+def family_key(family: str | None) -> str:
+    return key(re.sub(r"\s+family$", "", fold(family or "")))
+
+
+def dopant_key(family: str | None) -> str | None:
+    """The spelling of the doped base that a family names by a dopant; null if it names none."""
+    m = re.fullmatch(r"([a-z]{1,2}|[a-z]{5,})[ :_-]*(?:doped)?[ :_-]*(?:hfo2|hafnia|hafnium oxide)?", re.sub(r"\s+family$", "", fold(family or "")))
+    return key(strip_value(f"{m[1]}-doped hfo2")) if m else None
+
+
+def _near(tree: BKTree, k: str) -> list[tuple[int, str]]:
+    found = tree.within(k, _threshold(k))
+    found = [(d, w) for d, w in found if _digits(w) == _digits(k) and (d < 2 or len(k) >= 10 or _typo(k, w) == 0)]
+    return [(1 if d == 2 and _typo(k, w) == 0 else d, w) for d, w in found]  # a swap is one slip
+
+
+_OPEN_KEYS = {key(strip_value(o)) for o in OPEN}
+_OPEN_TREE = BKTree(sorted(_OPEN_KEYS))
+
+
+class Tree:
+    """The spellings of some entries (id, canonical, short, long, family) and their best answer to a value."""
 
     def __init__(self, entries: list[tuple[int, str, str | None, str | None, str | None]]):
         self.spell = spellings([e[:4] for e in entries])
         self.tree = BKTree(sorted(self.spell))
-        self.canon = {e[1]: e[0] for e in entries}
         self.family = {e[0]: key(fold(e[4] or "")) for e in entries}
-        by_family: dict[str, list[int]] = {}
+
+    def best(self, k: str, own: str) -> tuple[int, bool, int, int] | None:
+        """Rank of the nearest entry: distance, whether its family differs, typing error, identifier; null if none is near."""
+        return min(((d, self.family[e] != own, _typo(k, w), e) for d, w in _near(self.tree, k) for e in self.spell[w]), default=None)
+
+
+def decide(k: str, best: tuple | None, canonical: int | None, of_family: int) -> tuple[int, int]:
+    """(entry or 0, distance) from what the whole list says: the nearest entry, the entry of that very name, the entry that the family names."""
+    if canonical is not None:
+        return canonical, 0
+    if not k:
+        return 0, 99
+    if k in _OPEN_KEYS or (best is None and _threshold(k) and _near(_OPEN_TREE, k)):
+        return of_family, 0
+    return (best[3], best[0]) if best else (0, 99)
+
+
+class Matcher:
+    """Answers from the whole list in one tree."""
+
+    def __init__(self, entries: list[tuple[int, str, str | None, str | None, str | None]]):
+        self.tree = Tree(entries)
+        self.canon: dict[str, int] = {}
+        self.by_family: dict[str, list[int]] = {}
         for e in entries:
-            by_family.setdefault(key(fold(e[4] or "")), []).append(e[0])
-        self.by_family = by_family
-        self.open = {key(strip_value(o)) for o in OPEN}
-        self.open_tree = BKTree(sorted(self.open))
+            self.canon[e[1]] = max(e[0], self.canon.get(e[1], e[0]))
+            self.by_family.setdefault(key(fold(e[4] or "")), []).append(e[0])
         self.cache: dict[tuple[str, str | None], tuple[int, int]] = {}
 
     def of_family(self, family: str | None) -> int:
         """The one entry that a family names: by its name, or by a dopant it names; 0 if it names none or several."""
-        f = fold(family or "")
-        f = re.sub(r"\s+family$", "", f)
-        ids = self.by_family.get(key(f), [])
-        if len(ids) == 1:
-            return ids[0]
-        m = re.fullmatch(r"([a-z]{1,2}|[a-z]{5,})[ :_-]*(?:doped)?[ :_-]*(?:hfo2|hafnia|hafnium oxide)?", f)
-        if m and len(ids) == 0:
-            hits = self.spell.get(key(strip_value(f"{m[1]}-doped hfo2")), [])
-            return hits[0] if len(hits) == 1 else 0
-        return 0
+        ids = self.by_family.get(family_key(family), [])
+        if not ids and (k := dopant_key(family)):
+            ids = self.tree.spell.get(k, [])
+        return ids[0] if len(ids) == 1 else 0
 
     def match(self, value: str | None, family: str | None) -> tuple[int, int]:
-        """(entry id or 0, distance); the rank for merging shards is the distance."""
         at = (value or "", family)
-        if at not in self.cache:
+        got = self.cache.get(at)
+        if got is None:
+            k = key(strip_value(at[0]))
+            got = decide(k, self.tree.best(k, family_key(family)) if k else None, self.canon.get(at[0]), self.of_family(family))
             if len(self.cache) > 200_000:
                 self.cache.clear()
-            self.cache[at] = self._match(*at)
-        return self.cache[at]
-
-    def _match(self, value: str, family: str | None) -> tuple[int, int]:
-        if value in self.canon:
-            return self.canon[value], 0
-        s = strip_value(value)
-        k = key(s)
-        if not k or len(s) > MAX_VALUE:
-            return 0, 99
-        if k in self.open or (_threshold(k) and k not in self.spell and self._near(self.open_tree, k) and not self._near(self.tree, k)):
-            return self.of_family(family), 0
-        near = self._near(self.tree, k)
-        if not near:
-            return 0, 99
-        own = key(re.sub(r"\s+family$", "", fold(family or "")))
-        d, _, _, entry = min((d, self.family[e] != own, _typo(k, w), e) for d, w in near for e in self.spell[w])
-        return entry, d
-
-    @staticmethod
-    def _near(tree: BKTree, k: str) -> list[tuple[int, str]]:
-        found = tree.within(k, _threshold(k))
-        found = [(d, w) for d, w in found if _digits(w) == _digits(k) and (d < 2 or len(k) >= 10 or _typo(k, w) == 0)]
-        return [(1 if d == 2 and _typo(k, w) == 0 else d, w) for d, w in found]  # a swap is one slip
-
-
-def _shards(reference: DataFrame, most: int) -> list[list[tuple]]:
-    rows = [tuple(r) for r in reference.select("material_id", "canonical_name", "short_name", "long_name", "material_family").where("material_id is not null and canonical_name is not null").orderBy("material_id").toLocalIterator()]
-    out: list[list[tuple]] = [[]]
-    size = 0
-    for r in rows:
-        if size > most:
-            out.append([])
-            size = 0
-        out[-1].append(r)
-        size += 40  # spellings that the rules give an entry at most
-    return out
+            if len(at[0]) <= 1_000:
+                self.cache[at] = got
+        return got
+
+
+_ENTRY = ("material_id", "canonical_name", "short_name", "long_name", "material_family")
 
 
-def _per_shard(entries: list[tuple]):
+def _in_one_tree(rows: DataFrame, entries: list[tuple]) -> DataFrame:
+    @F.pandas_udf("material_id int, distance int")
     def answer(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         m = Matcher(entries)
         for values, families in batches:
             yield pd.DataFrame([m.match(v, f) for v, f in zip(values, families)], columns=["material_id", "distance"])
 
-    return answer
+    return rows.withColumn("__b", answer("material", "material_family")).select("fact_id", "material", "material_family", "__b.material_id", "__b.distance")
+
+
+def _spelled(batches):
+    for b in batches:
+        rows = [(k, e[0]) for e in b[list(_ENTRY)].itertuples(index=False) for k in spellings([tuple(None if x != x else x for x in e[:4])])]
+        yield pd.DataFrame(rows, columns=["k", "id"])
+
+
+def _by_shards(rows: DataFrame, reference: DataFrame, shards: int) -> DataFrame:
+    """The same answers with one tree a shard and task; distinct values only are answered, and joined back."""
+    ref = reference.select(*_ENTRY)
+    values = through_table(rows.groupBy("material", "material_family").agg(F.count(F.lit(1)).alias("n")).drop("n"), "values")
+
+    @F.pandas_udf("k string, own string, dopant string")
+    def keys(material: pd.Series, family: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([(key(strip_value(m)), family_key(f), dopant_key(f)) for m, f in zip(material, family)], columns=["k", "own", "dopant"])
+
+    values = through_table(values.withColumn("v", keys("material", "material_family")).select("material", "material_family", "v.*"), "keyed")
+    asked = values.select("k", "own").distinct().withColumn("block", F.pmod(F.xxhash64("k", "own"), F.lit(VALUE_BLOCKS)).cast("int")).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
+    held = ref.withColumn("shard", F.pmod(F.xxhash64("material_id"), F.lit(shards)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(VALUE_BLOCKS - 1))))
+
+    def answer(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        tree = Tree([tuple(None if x is None or x != x else x for x in e) for e in right[list(_ENTRY)].itertuples(index=False)])
+        got = [(k, own, tree.best(k, own)) for k, own in zip(left["k"], left["own"])]
+        return pd.DataFrame([(k, own, b[0], int(b[1]), b[2], int(b[3])) for k, own, b in got if b], columns=["k", "own", "d", "other", "typo", "id"])
+
+    by = ["shard", "block"]
+    won = asked.groupBy(*by).cogroup(held.groupBy(*by)).applyInPandas(answer, "k string, own string, d int, other int, typo int, id int")
+    best = won.groupBy("k", "own").agg(F.min(F.struct("d", "other", "typo", "id")).alias("best"))
+    canon = ref.groupBy(F.col("canonical_name").alias("material")).agg(F.max("material_id").alias("canonical"))
+
+    @F.pandas_udf("string")
+    def family_of(family: pd.Series) -> pd.Series:
+        return family.map(lambda f: key(fold(f or "")))
+
+    one = lambda n, i: F.when(n == 1, i).when(n > 1, 0)
+    families = ref.groupBy(family_of(F.coalesce("material_family", F.lit(""))).alias("own")).agg(F.count(F.lit(1)).alias("n"), F.min("material_id").alias("i")).select("own", one(F.col("n"), F.col("i")).alias("by_name"))
+    doped = ref.mapInPandas(_spelled, "k string, id int").distinct().groupBy(F.col("k").alias("dopant")).agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("i")).select("dopant", one(F.col("n"), F.col("i")).alias("by_dopant"))
+    j = values.join(best, ["k", "own"], "left").join(canon, "material", "left").join(families, "own", "left").join(doped, "dopant", "left")
+
+    @F.pandas_udf("material_id int, distance int")
+    def settle(k: pd.Series, d: pd.Series, i: pd.Series, canonical: pd.Series, family: pd.Series) -> pd.DataFrame:
+        none = lambda x: None if x is None or x != x else int(x)
+        return pd.DataFrame([decide(a, None if none(x) is None else (int(x), False, 0, int(y)), none(c), int(f)) for a, x, y, c, f in zip(k, d, i, canonical, family)], columns=["material_id", "distance"])
+
+    done = through_table(j.withColumn("__b", settle("k", "best.d", "best.id", "canonical", F.coalesce("by_name", "by_dopant", F.lit(0)))).select("material", "material_family", "__b.material_id", "__b.distance"), "answers")
+    on = rows["material"].eqNullSafe(done["material"]) & rows["material_family"].eqNullSafe(done["material_family"])
+    return rows.join(done, on).select(rows["fact_id"], rows["material"], rows["material_family"], "material_id", "distance")
 
 
 def mapped(facts: DataFrame, reference: DataFrame, most: int = SHARD_SPELLINGS) -> DataFrame:
     """fact_id, material, material_family, material_id (0: fits no entry), distance; rows with a null or blank material left out."""
     rows = facts.select("fact_id", "material", "material_family").where(F.trim("material") != "")
-    shards = _shards(reference, most)
-    cols = []
-    for i, entries in enumerate(shards):
-        answer = F.pandas_udf(_per_shard(entries), "material_id int, distance int")
-        cols.append(answer("material", "material_family").alias(f"__s{i}"))
-    won = rows.select("*", *cols)
-    best = F.array_min(F.array(*[F.struct(F.when(F.col(f"__s{i}.material_id") == 0, 1).otherwise(0).alias("miss"), F.col(f"__s{i}.distance").alias("distance"), F.col(f"__s{i}.material_id").alias("material_id")) for i in range(len(shards))]))
-    return won.withColumn("__b", best).select("fact_id", "material", "material_family", F.col("__b.material_id").alias("material_id"), F.col("__b.distance").alias("distance"))
+    ref = reference.select(*_ENTRY).where("material_id is not null and canonical_name is not null").dropDuplicates(["material_id"])
+    n = ref.count()
+    if n * PER_ENTRY <= most:
+        return _in_one_tree(rows, [tuple(r) for r in ref.orderBy("material_id").collect()])  # at most SHARD_SPELLINGS / PER_ENTRY rows
+    return _by_shards(rows, ref, -(-n * PER_ENTRY // most))
 
 
 def found(facts: DataFrame, reference: DataFrame) -> DataFrame:
