@@ -43,10 +43,20 @@ def test_against_brute_force(spark):
 
 def test_blocks_keep_every_item(spark):
     items = [(i, f"word{i} " * 25, None) for i in range(30)]
-    assert sum(len(b) for b in leaks.blocks(items, 10_000)) == len(leaks.patterns(items)) and len(leaks.blocks(items, 10_000)) > 1
-    docs = spark.createDataFrame([(1, items[29][1])], "doc_id long, text string")
-    assert leaks.leaks(docs, spark.createDataFrame(items, "item_id long, text string, answer string")).count() == 1
-    assert leaks.leaks(docs, spark.createDataFrame([], "item_id long, text string, answer string")).count() == 0
+    docs = spark.createDataFrame([(i, x) for i, x, _ in items], "doc_id long, text string")
+    table = spark.createDataFrame(items, "item_id long, text string, answer string")
+    for most in (leaks.MAX_PATTERN_WORDS, 10_000):
+        assert {(r.doc_id, r.item_id) for r in leaks.leaks(docs, table, most=most).collect()} == {(i, i) for i in range(30)}
+    assert leaks.leaks(docs, table.limit(0)).count() == 0
+
+
+def test_long_tags_and_short_answers(spark):
+    """A tag of any length is no text; a short answer counts behind its question's words, and alone says nothing."""
+    q = " ".join(f"q{i}" for i in range(30))
+    items = spark.createDataFrame([(1, q, "42 volts"), (2, " ".join(f"r{i}" for i in range(22)), None)], "item_id long, text string, answer string")
+    tag = "<a title='" + "x " * 900 + "'>"
+    rows = [(1, " ".join(f"q{i}" for i in range(12, 30)) + ": 42 Volts."), (2, " ".join(f"q{i}" for i in range(13, 30)) + ": 42 Volts."), (3, "42 volts"), (4, " ".join(f"r{i}" for i in range(11)) + tag + " ".join(f"r{i}" for i in range(11, 22)))]
+    assert {(r.doc_id, r.item_id) for r in leaks.leaks(spark.createDataFrame(rows, "doc_id long, text string"), items).collect()} == {(1, 1), (4, 2)}
 
 
 def test_long_answers_are_passages(spark):
