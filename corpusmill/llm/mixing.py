@@ -28,12 +28,13 @@ from pyspark.sql import functions as F
 from corpusmill.session import spread, through_table
 
 from .lines import tidy_name
+from .models import fitted
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: the public byte-level BPE's split pattern.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Texts longer than this aren't drawn into the classifier's sample, whose texts are whole and go to the driver.
-SAMPLE_CHARS = 20_000
+#: Most sources of a target table: one row each reaches the driver, and a document's membership has one number a source.
+MAX_SOURCES = 10_000
 PER_SOURCE, FEATURES, ROUNDS, TOLERANCE, GAIN, CUTS = 150, 4_096, 30, 1e-4, 0.01, 4_096
 
 
@@ -59,13 +60,12 @@ def features(text: str, extra: tuple[str | None, ...]) -> tuple[np.ndarray, np.n
     return at, np.full(len(at), 1 / np.sqrt(len(at)), np.float32)
 
 
-def fit_sources(rows: list[tuple[str, tuple, int]], k: int, rounds: int = 60) -> np.ndarray:
+def fit_sources(rows: list[tuple[np.ndarray, int]], k: int, rounds: int = 60) -> np.ndarray:
     """Multinomial logistic regression, (FEATURES + 1, k); full-batch gradient steps with momentum."""
     x = np.zeros((len(rows), FEATURES + 1), np.float32)
     y = np.zeros((len(rows), k), np.float32)
-    for i, (text, extra, label) in enumerate(rows):
-        at, v = features(text, extra)
-        x[i, at] = v
+    for i, (at, label) in enumerate(rows):
+        x[i, at] = 1 / np.sqrt(len(at))
         x[i, -1] = 1
         y[i, label] = 1
     w = np.zeros((FEATURES + 1, k), np.float32)
@@ -87,24 +87,33 @@ def rate_of(member: np.ndarray, cap: np.ndarray, steps: np.ndarray) -> np.ndarra
     return r
 
 
-def _prepared(docs: DataFrame, targets: list[tuple[str, float, int]], tokenizer: str) -> DataFrame:
+def _prepared(docs: DataFrame, targets: list[tuple[str, float, int]], tokenizer: str, fresh: bool = True) -> DataFrame:
     """doc_id, source (null if unknown), tokens, text kept only where the source is unknown."""
     extra = [c for c in ("lang", "doc_type") if c in docs.columns]
     known = {s: i for i, (s, _, _) in enumerate(targets)}
     d = docs.select("doc_id", source_name(F.col("source")).alias("source"), "text", *extra)
-    rows = []
-    if known:
-        of_known = d.where(F.col("source").isin(list(known)) & (F.char_length("text") <= SAMPLE_CHARS))
-        sizes = {s: n for s, n in of_known.groupBy("source").agg(F.count(F.lit(1))).collect()}  # one row per target source
-        share = F.create_map(*[F.lit(x) for s, n in sizes.items() for x in (s, int(min(1.0, 3 * PER_SOURCE / n) * 1_000_000) + 1)]) if sizes else None
-        if sizes:
-            # one pass: a hash keeps about three times the bound of each source, a window over these few takes the first by hash
-            few = of_known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share[F.col("source")])
-            first = few.withColumn("__r", F.row_number().over(Window.partitionBy("source").orderBy(F.xxhash64("doc_id"), "doc_id"))).where(F.col("__r") <= PER_SOURCE)
-            got = first.select("doc_id", "source", "text", *extra).orderBy("doc_id").toPandas()
-            rows = [(r["text"], tuple(r[c] for c in extra), known[r["source"]]) for _, r in got.iterrows()]
     k = len(targets)
-    w = fit_sources(rows, k) if rows else np.zeros((FEATURES + 1, max(1, k)), np.float32)
+
+    def fit() -> np.ndarray:
+        rows = []
+        if known:
+            of_known = d.where(F.col("source").isin(list(known)))
+            sizes = {s: n for s, n in of_known.groupBy("source").agg(F.count(F.lit(1))).collect()}  # one row per target source
+            share = F.create_map(*[F.lit(x) for s, n in sizes.items() for x in (s, int(min(1.0, 3 * PER_SOURCE / n) * 1_000_000) + 1)]) if sizes else None
+            if sizes:
+                # one pass: a hash keeps about three times the bound of each source, a window over these few takes the first by hash
+                few = of_known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share[F.col("source")])
+                first = few.withColumn("__r", F.row_number().over(Window.partitionBy("source").orderBy(F.xxhash64("doc_id"), "doc_id"))).where(F.col("__r") <= PER_SOURCE)
+
+                def places(batches):  # whole texts become at most FEATURES places on the executors
+                    for b in batches:
+                        yield pd.DataFrame({"doc_id": b["doc_id"], "source": b["source"], "at": [features(t, x)[0].astype(np.int32) for t, x in zip(b["text"], zip(*[b[c] for c in extra]) if extra else [()] * len(b))]})
+
+                got = first.select("doc_id", "source", "text", *extra).mapInPandas(places, "doc_id long, source string, at array<int>").orderBy("doc_id").toPandas()
+                rows = [(np.asarray(at), known[x]) for x, at in zip(got["source"], got["at"])]
+        return fit_sources(rows, k) if rows else np.zeros((FEATURES + 1, max(1, k)), np.float32)
+
+    w = fitted("sources", [docs], fit, sorted(known), fresh=fresh)
     caps = np.array([c for _, _, c in targets], np.float64)
 
     def run(batches):
@@ -156,11 +165,13 @@ def fit_rates(table: DataFrame, shares: np.ndarray, total: float) -> np.ndarray:
     return steps
 
 
-def mixed(docs: DataFrame, targets: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
+def mixed(docs: DataFrame, targets: DataFrame, tokenizer: str = TOKENIZER, fresh: bool = True) -> DataFrame:
     """doc_id, source (the known one or the likeliest), tokens, times_used."""
-    goal = targets.where("source is not null").groupBy(source_name(F.col("source")).alias("source")).agg(F.sum("target_share"), F.max("max_repeats")).orderBy("source").limit(10_000)
+    goal = targets.where("source is not null").groupBy(source_name(F.col("source")).alias("source")).agg(F.sum("target_share"), F.max("max_repeats")).orderBy("source").limit(MAX_SOURCES + 1)
     rows = [(r[0], float(r[1] or 0), int(r[2] or 0)) for r in goal.collect()]  # one row per source of the target table
-    table = through_table(_prepared(docs, rows, tokenizer), "mix")
+    if len(rows) > MAX_SOURCES:
+        raise ValueError(f"more than {MAX_SOURCES} target sources")
+    table = through_table(_prepared(docs, rows, tokenizer, fresh), "mix")
     k = len(rows)
     if not k:
         return table.select("doc_id", "source", "tokens", F.lit(0).alias("times_used"))
@@ -187,9 +198,9 @@ def mixed(docs: DataFrame, targets: DataFrame, tokenizer: str = TOKENIZER) -> Da
     return r.select("doc_id", F.coalesce("source", F.when(F.col("top") >= 0, F.element_at(names, F.col("top") + 1))).alias("source"), "tokens", used.cast("int").alias("times_used"))
 
 
-def shares(docs: DataFrame, targets: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
+def shares(docs: DataFrame, targets: DataFrame, tokenizer: str = TOKENIZER, fresh: bool = True) -> DataFrame:
     """source, target_share, max_repeats, docs, tokens, used_tokens, reached_share, most_used."""
-    m = mixed(docs, targets, tokenizer)
+    m = mixed(docs, targets, tokenizer, fresh)
     s = m.groupBy("source").agg(F.count(F.lit(1)).alias("docs"), F.sum("tokens").alias("tokens"), F.sum(F.col("tokens") * F.col("times_used")).alias("used_tokens"), F.max("times_used").alias("most_used"))
     goal = targets.groupBy(source_name(F.col("source")).alias("source")).agg(F.sum("target_share").alias("target_share"), F.max("max_repeats").alias("max_repeats"))
     j = goal.join(s, "source", "full").withColumn("all_used", F.sum("used_tokens").over(Window.partitionBy(F.lit(1))))  # one row a source
