@@ -25,13 +25,15 @@ from pyspark.sql import functions as F
 
 from corpusmill.session import spread
 
+from .models import fitted
+
 KINDS = ("abusive", "hateful", "sexual")
 WINDOW, STRIDE = 20, 10
 MAX_PER_KIND, MAX_CLEAN = 900, 2_600
 MIN_STEPS = 60
 #: Labelled texts longer than this aren't drawn into the training sample, whose texts are whole and go to the driver.
 SAMPLE_CHARS = 20_000
-VOCAB, BUCKETS, GRAMS = 4_000, 1_024, 18
+VOCAB, BUCKETS = 4_000, 1_024
 D_WORD, D_CHAR, HIDDEN, ATT = 24, 16, 24, 16
 THRESHOLD = 0.6
 OTHER_KINDS, HARD, STRONG = 0.7, 1.5, 0.7
@@ -83,18 +85,17 @@ def windows(n: int) -> list[int]:
 
 
 def gram_ids(token: str) -> list[int]:
-    s = f"<{token}>"[:40]
-    ids = [zlib.crc32(s[i : i + k].encode()) % BUCKETS for k in (2, 3, 4) for i in range(len(s) - k + 1)]
-    return ids[:GRAMS] if len(ids) <= GRAMS else ids[:: -(-len(ids) // GRAMS)]
+    """Buckets of all n-grams of two to four characters of the whole token."""
+    s = f"<{token}>"
+    return [zlib.crc32(s[i : i + k].encode()) % BUCKETS for k in (2, 3, 4) for i in range(len(s) - k + 1)]
 
 
 class TokenTable:
-    """Ids of distinct tokens with their word ids and n-gram ids."""
+    """Ids of distinct tokens with their word ids and n-gram ids, the latter one after the other with their number for each token."""
 
     def __init__(self, vocab: dict[str, int]):
         self.vocab, self.ids = vocab, {"": 0}
-        self.word, self.grams = [0], [np.zeros(GRAMS, np.int64)]
-        self.n_grams = [1]
+        self.word, self.grams, self.n_grams = [0], [BUCKETS], [1]
 
     def get(self, t: str) -> int:
         i = self.ids.get(t)
@@ -102,14 +103,21 @@ class TokenTable:
             i = self.ids[t] = len(self.word)
             self.word.append(self.vocab.get(t, 1))
             g = gram_ids(t)
-            row = np.full(GRAMS, BUCKETS, np.int64)
-            row[: len(g)] = g
-            self.grams.append(row)
-            self.n_grams.append(max(1, len(g)))
+            self.grams.extend(g)
+            self.n_grams.append(len(g))
         return i
 
-    def arrays(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        return np.array(self.word), np.stack(self.grams), np.array(self.n_grams, np.float32)
+    def arrays(self, start: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Word ids, n-gram ids in one row, n-grams of each token; of the tokens from `start` on."""
+        n = np.array(self.n_grams, np.int64)
+        return np.array(self.word[start:]), np.array(self.grams[int(n[:start].sum()) :], np.int64), n[start:]
+
+
+def _some(table: tuple[np.ndarray, np.ndarray, np.ndarray], used: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The arrays of the tokens in `used`."""
+    word, grams, n = table
+    starts, m = (np.cumsum(n) - n)[used], n[used]
+    return word[used], grams[np.repeat(starts - (np.cumsum(m) - m), m) + np.arange(m.sum())], m
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -133,7 +141,8 @@ class Net:
         self.t = 0
 
     def token_vectors(self, word: np.ndarray, grams: np.ndarray, n: np.ndarray) -> np.ndarray:
-        return np.hstack([self.p["ew"][word], self.p["ec"][grams].sum(1) / n[:, None]])
+        sums = np.add.reduceat(self.p["ec"][grams], np.cumsum(n) - n) if len(n) else np.zeros((0, D_CHAR), np.float32)
+        return np.hstack([self.p["ew"][word], sums / n[:, None]]).astype(np.float32)
 
     def forward(self, proj: np.ndarray, win: np.ndarray, keep: bool = False):
         """proj: (2, tokens, 3H) projected token vectors; win: (n, WINDOW) token places, -1 for none."""
@@ -174,7 +183,7 @@ class Net:
         p = self.p
         used, local = np.unique(np.maximum(win, 0), return_inverse=True)
         local = np.where(win >= 0, local.reshape(win.shape), -1)
-        word, grams, ng = (x[used] for x in table)
+        word, grams, ng = _some(table, used)
         vec = self.token_vectors(word, grams, ng)
         proj = self.project(vec)
         logit, (hs, e, a, pooled, tape, order, at) = self.forward(proj, local, True)
@@ -213,7 +222,7 @@ class Net:
         g["ew"] = np.zeros_like(p["ew"])
         np.add.at(g["ew"], word, dvec[:, :D_WORD])
         g["ec"] = np.zeros_like(p["ec"])
-        np.add.at(g["ec"], grams.reshape(-1), np.repeat(dvec[:, D_WORD:] / ng[:, None], GRAMS, axis=0))
+        np.add.at(g["ec"], grams, np.repeat(dvec[:, D_WORD:] / ng[:, None], ng, axis=0))
         g["ec"][BUCKETS] = 0
         self.t += 1
         for k, d in g.items():
@@ -224,7 +233,9 @@ class Net:
         return float(loss)
 
     def score(self, table: tuple, win: np.ndarray, block: int = 2_048) -> np.ndarray:
-        proj = self.project(self.token_vectors(*table))
+        return self.score_projected(self.project(self.token_vectors(*table)), win, block)
+
+    def score_projected(self, proj: np.ndarray, win: np.ndarray, block: int = 2_048) -> np.ndarray:
         out = [_sigmoid(self.forward(proj, win[s : s + block])) for s in range(0, len(win), block)]
         return np.vstack(out) if out else np.zeros((0, len(KINDS)), np.float32)
 
@@ -334,35 +345,55 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, per_kind: int = MAX_PER_
     return [r["text"] for r in rows], [r["label"] for r in rows]
 
 
-def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
+class Scorer:
+    """Scores texts in parts; the projected vectors of tokens met before are kept."""
+
+    def __init__(self, weights: dict[str, np.ndarray], vocab: dict[str, int]):
+        self.net = Net.__new__(Net)
+        self.net.p, self.vocab = weights, vocab
+        self.table, self.proj = TokenTable(vocab), np.zeros((2, 0, 3 * HIDDEN), np.float32)
+        self.known = 0
+
+    def _projected(self) -> np.ndarray:
+        n = len(self.table.word)
+        if n > self.known:
+            new = self.net.project(self.net.token_vectors(*self.table.arrays(self.known)))
+            if n > self.proj.shape[1]:
+                more = np.zeros((2, 2 * n - self.proj.shape[1], 3 * HIDDEN), np.float32)
+                self.proj = np.concatenate([self.proj, more], axis=1)
+            self.proj[:, self.known : n] = new
+            self.known = n
+        return self.proj
+
+    def score(self, texts: list[str | None]) -> np.ndarray:
+        """(texts, kinds): the score of each text's worst window."""
+        if len(self.table.word) > 100_000:
+            self.table, self.known = TokenTable(self.vocab), 0
+        cuts = [cut([self.table.get(w) for w in tokens(t)]) if t else np.zeros((0, WINDOW), np.int64) for t in texts]
+        sc = self.net.score_projected(self._projected(), np.vstack(cuts) if cuts else np.zeros((0, WINDOW), np.int64))
+        out, at = np.zeros((len(texts), len(KINDS)), np.float32), 0
+        for i, c in enumerate(cuts):
+            if len(c):
+                out[i] = sc[at : at + len(c)].max(0)
+            at += len(c)
+        return out
+
+
+def scored(docs: DataFrame, labels: DataFrame, fresh: bool = True) -> DataFrame:
     """doc_id, source, abusive, hateful, sexual: scores from 0 to 1; all windows of all whole texts are scored."""
-    net, vocab = train(*labelled_sample(docs, labels))
-    weights = net.p
+
+    def fit() -> tuple[dict[str, np.ndarray], dict[str, int]]:
+        net, vocab = train(*labelled_sample(docs, labels))
+        return net.p, vocab
+
+    weights, vocab = fitted("content", [docs.select("doc_id", "text"), labels], fit, fresh=fresh)
 
     def run(batches):
-        model = Net.__new__(Net)
-        model.p = weights
-        table = TokenTable(vocab)
+        scorer = Scorer(weights, vocab)
         for b in batches:
             for s in range(0, len(b), 256):
                 part = b.iloc[s : s + 256]
-                if len(table.word) > 200_000:
-                    table = TokenTable(vocab)
-                local: dict[str, int] = {}
-                cuts, n_win = [], []
-                tab = TokenTable(vocab)
-                for t in part["text"]:
-                    c = cut([tab.get(w) for w in tokens(t)]) if t else np.zeros((0, WINDOW), np.int64)
-                    cuts.append(c)
-                    n_win.append(len(c))
-                win = np.vstack(cuts) if cuts else np.zeros((0, WINDOW), np.int64)
-                sc = model.score(tab.arrays(), win)
-                out = np.zeros((len(part), len(KINDS)), np.float32)
-                at = 0
-                for i, n in enumerate(n_win):
-                    if n:
-                        out[i] = sc[at : at + n].max(0)
-                    at += n
+                out = scorer.score(list(part["text"]))
                 yield pd.DataFrame({"doc_id": part["doc_id"].to_numpy(), "source": part["source"].to_numpy(), **{k: out[:, j] for j, k in enumerate(KINDS)}})
 
     return spread(docs.select("doc_id", "source", "text")).mapInPandas(run, "doc_id long, source string, abusive float, hateful float, sexual float")
@@ -374,9 +405,9 @@ def found(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> D
     return s.select("doc_id", F.explode(F.array_compact(kinds)).alias("kind")).distinct()
 
 
-def rates(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+def rates(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, fresh: bool = True) -> DataFrame:
     """Per tidied source: documents, and the share with each kind of content."""
     from .lines import tidy_name
 
-    s = scored(docs, labels).withColumn("source", F.coalesce(F.regexp_replace(tidy_name(F.col("source")), "[ _]", "-"), F.lit("unknown")))
+    s = scored(docs, labels, fresh).withColumn("source", F.coalesce(F.regexp_replace(tidy_name(F.col("source")), "[ _]", "-"), F.lit("unknown")))
     return s.groupBy("source").agg(F.count(F.lit(1)).alias("docs"), *[F.avg((F.col(k) >= threshold).cast("double")).alias(f"{k}_rate") for k in KINDS])

@@ -47,6 +47,28 @@ def test_gradients_agree_with_differences():
             net.p = before
 
 
+def test_long_words_are_read_whole():
+    a, b = "x" * 45 + "idiot", "x" * 45 + "flower"
+    assert X.gram_ids(a) != X.gram_ids(b) and len(X.gram_ids("q" * 60)) == 61 + 60 + 59
+    one, two = set(X.gram_ids("disgusting")), set(X.gram_ids("disgussting"))
+    assert len(one & two) / len(one | two) > 0.6
+    table = X.TokenTable({})
+    ids = [table.get(x) for x in (a, b, "film")]
+    net = X.Net(0)
+    vec = net.token_vectors(*table.arrays())
+    assert np.allclose(net.token_vectors(*X._some(table.arrays(), np.array(ids))), vec[ids]) and not np.allclose(vec[ids[0]], vec[ids[1]])
+    assert np.allclose(vec[1], np.hstack([net.p["ew"][1], net.p["ec"][X.gram_ids(a)].mean(0)]), atol=1e-5)
+
+
+def test_parts_score_like_the_whole():
+    texts = ["the film holds", None, "", "oxide " * 50, "the oxide film"]
+    net = X.Net(3)
+    s = X.Scorer(net.p, {"film": 2})
+    whole = s.score(texts)
+    again = X.Scorer(net.p, {"film": 2})
+    assert np.allclose(whole, np.vstack([again.score([t]) for t in texts]), atol=1e-5) and not whole[1].any() and not whole[2].any()
+
+
 def corpus():
     rng = np.random.default_rng(1)
     clean = [" ".join(rng.choice("film oxide field layer stack cycle phase grain pulse device".split(), 60)) + "." for _ in range(160)]
