@@ -65,7 +65,7 @@ def cleaned_pages(pages: DataFrame, papers: DataFrame) -> DataFrame:
     """
     p = with_source(pages.select("page_id", "pdf_id", "paper_id", "text"), papers)
     often = through_table(frequent_lines(page_lines(p), p).groupBy("source").agg(F.collect_set(F.struct("h", "h2")).alias("often")), "often")
-    j = p.join(broadcast_if_small(often, row_bytes=64 * 1024), "source", "left")
+    j = p.join(broadcast_if_small(often, F.size("often") * 32 + 64), "source", "left")
     letters = lambda x: F.regexp_replace(F.lower(x), "[^a-z]+", "")
     is_often = lambda x: F.coalesce(F.array_contains("often", F.struct(F.xxhash64(letters(x)).alias("h"), F.crc32(F.encode(letters(x), "UTF-8")).alias("h2"))), F.lit(False)) & (F.length(letters(x)) >= MIN_LETTERS)
     kept = F.filter(F.split("text", "\n"), lambda x: ~is_often(x))

@@ -73,7 +73,7 @@ def p9_mix(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p9_shares(spark: SparkSession, d: str) -> DataFrame:
-    return mixing.shares(t(spark, d, "documents", "doc_id", "text", "source", "lang", "doc_type"), t(spark, d, "mix_targets"))
+    return mixing.shares(t(spark, d, "documents", "doc_id", "text", "source", "lang", "doc_type"), t(spark, d, "mix_targets"), fresh=False)
 
 
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
@@ -81,7 +81,7 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p10_rates(spark: SparkSession, d: str) -> DataFrame:
-    return toxicity.rates(t(spark, d, "documents", "doc_id", "source", "text"), t(spark, d, "content_labels"))
+    return toxicity.rates(t(spark, d, "documents", "doc_id", "source", "text"), t(spark, d, "content_labels"), fresh=False)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
