@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusmill.functions.units import alias_table, power_sql, reduce_unit_sql
+from corpusmill.session import broadcast_if_small, through_table
 
 #: number, power written after it, word or power before the unit, unit.
 QUANTITY = r"([0-9]+(?:[.][0-9]+)?(?:[eE][-+]?[0-9]+)?)( ?[x×] ?10[~^]?[-−⁻]?[0-9⁰¹²³⁴⁵⁶⁷⁸⁹]+)?(?: ?((?:1[eE]-?[0-9]+|10[~^]-?[0-9]+|[Tt]housand|[Mm]illion|[Bb]illion) )?([A-Za-zµμ°%][^ ,;|()]*(?: [cmµμun]?m[~^]?[-−][0-9])?))?"
@@ -48,14 +49,15 @@ def with_units(facts: DataFrame, properties: DataFrame, default_unit: str | None
     base = base.withColumn("__p_text", F.expr(p)).withColumn("__k_text", F.expr(r))
     base = base.join(alias.select(F.col("key").alias("__k_text"), F.struct("canon", "dim", "factor", "offset").alias("__a_text")), "__k_text", "left")
     if default_unit:
-        base = base.withColumn("__k_def", F.expr(reduce_unit_sql(default_unit))).join(alias.select(F.col("key").alias("__k_def"), F.struct("canon", "dim", "factor", "offset").alias("__a_def")), "__k_def", "left")
+        p, r = power_sql("__u_def")
+        base = base.withColumn("__u_def", F.expr(reduce_unit_sql(default_unit))).withColumn("__p_def", F.expr(p)).withColumn("__k_def", F.expr(r)).join(alias.select(F.col("key").alias("__k_def"), F.struct("canon", "dim", "factor", "offset").alias("__a_def")), "__k_def", "left")
     else:
-        base = base.withColumn("__a_def", F.lit(None).cast("struct<canon:string,dim:string,factor:double,offset:double>"))
+        base = base.withColumn("__p_def", F.lit(0)).withColumn("__a_def", F.lit(None).cast("struct<canon:string,dim:string,factor:double,offset:double>"))
     common = properties.select("property_name", "common_unit").withColumn("__k", F.expr(reduce_unit_sql("common_unit"))).dropDuplicates(["property_name"])
     common = common.join(alias.select(F.col("key").alias("__k"), F.struct("canon", "dim", "factor", "offset").alias("__a_common")), "__k").drop("__k")
-    j = base.join(common, "property_name", "left")  # a table of properties, small: adaptive execution picks the join
+    j = base.join(broadcast_if_small(common, row_bytes=512), "property_name", "left")  # few properties hold all rows, so facts must not be shuffled by them
     a = F.coalesce("__a_field", "__a_text", "__a_def")
-    power = F.when(F.col("__a_field").isNotNull(), F.col("__p_field")).when(F.col("__a_text").isNotNull(), F.col("__p_text")).otherwise(F.lit(0))
+    power = F.when(F.col("__a_field").isNotNull(), F.col("__p_field")).when(F.col("__a_text").isNotNull(), F.col("__p_text")).when(F.col("__a_def").isNotNull(), F.col("__p_def")).otherwise(F.lit(0))
     j = j.withColumn("__a", a).withColumn("__p", power)
     fits = F.col("__a.dim") == F.col("__a_common.dim")
     raw = F.col("value") * F.pow(F.lit(10.0), F.col("__p"))
@@ -71,6 +73,20 @@ def with_units(facts: DataFrame, properties: DataFrame, default_unit: str | None
     )
 
 
+def source_defaults(facts: DataFrame, source: str = "paper_id") -> DataFrame:
+    """source, property_name, default_unit: the unit that a source writes most often for a property (ties to the larger spelling), by partial counts."""
+    n = facts.where((F.trim("unit") != "") & F.col(source).isNotNull()).groupBy(source, "property_name", "unit").agg(F.count(F.lit(1)).alias("n"))
+    return n.groupBy(source, "property_name").agg(F.max_by("unit", F.struct("n", "unit")).alias("default_unit"))
+
+
+def with_defaults(facts: DataFrame, properties: DataFrame, source: str = "paper_id") -> DataFrame:
+    """`with_units`, where a fact without a unit in field or text takes its source's usual one. A source may hold most facts: the defaults are broadcast if they are few,
+    else adaptive execution splits the source."""
+    d = through_table(source_defaults(facts, source), "defaults")
+    j = facts.join(broadcast_if_small(d, row_bytes=256), [source, "property_name"], "left")
+    return with_units(j, properties, "default_unit").drop("default_unit")
+
+
 def converted(facts: DataFrame, properties: DataFrame) -> DataFrame:
     """fact_id, common_value of every fact whose known, fitting unit isn't the common one; no repeated rows."""
     slim = facts.select("fact_id", "property_name", "value", "unit", "evidence_text").where(F.col("value").isNotNull())
