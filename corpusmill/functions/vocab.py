@@ -27,6 +27,13 @@ UNIT_ALIASES = {"uc/cm2": "μC/cm²", "μc/cm2": "μC/cm²", "μc/cm²": "μC/cm
 # Limits above which a value is out of its domain.
 LIMITS = {"remanent_polarization_Pr": 100.0, "double_remanent_polarization_2Pr": 200.0, "coercive_field_Ec": 10.0}
 TWO_PR = r"(?i)\b2\s*\.?\s*P\s*\.?\s*r\b"
+TWO_PR_SAID = r"(?i)\b2\s*\.?\s*P\s*\.?\s*r\b|2Pr|double remanent"
+SECONDARY = r"(?i)\[[\d,\-\s]+\]|previous(?:ly)? reported|literature|reported by"
+# Material families, phases and properties of the schema.
+FAMILIES = ["HfO2", "HZO", "Si:HfO2", "Al:HfO2", "La:HfO2", "Y:HfO2", "Gd:HfO2", "Sr:HfO2", "mixed_doped_HfO2", "unknown_hafnia"]
+PHASE_NAMES = ["monoclinic", "orthorhombic", "tetragonal", "cubic", "rhombohedral", "amorphous", "mixed", "unknown"]
+PROPERTY_NAMES = ["remanent_polarization_Pr", "double_remanent_polarization_2Pr", "coercive_field_Ec", "saturation_polarization_Ps", "dielectric_constant", "leakage_current_density", "endurance_cycles", "retention_time", "memory_window", "wake_up", "fatigue", "breakdown_field", "band_gap"]
+SOURCE_TYPES = ["text", "table", "figure_caption", "abstract", "metadata", "manual"]
 
 # Measured properties: name, pattern (value in group 1, unit prefix in group 2 if any), raw name, default unit.
 POLAR_UNIT = r"(?:μ|µ|u)?C\s*/?\s*cm(?:\^?2|²|−2|-2)"

@@ -9,6 +9,8 @@ from corpusmill.functions import text as T
 from corpusmill.functions import vocab as V
 from corpusmill.session import spread
 
+from .numbering import numbered
+
 MIN_CHARS, MAX_CHARS, OVERLAP = 900, 1800, 260
 
 
@@ -53,11 +55,22 @@ def chunk_pages(pages: DataFrame, least: int = MIN_CHARS, most: int = MAX_CHARS,
     return flags(flat)
 
 
-def table_chunk(tables: DataFrame) -> DataFrame:
+def table_chunk(tables: DataFrame, keep: list[str] = ()) -> DataFrame:
     """Tables (pdf_id, page_number, table_index, cells: rows of cells) as text chunks: cells tidied, blank rows dropped, one line a row."""
     rows = F.filter(F.transform("cells", lambda r: F.transform(r, lambda x: T.strip(F.regexp_replace(F.coalesce(x, F.lit("")), r"\s+", " ")))), lambda r: F.exists(r, lambda x: x != ""))
     t = tables.withColumn("rows", rows)
-    return t.select("pdf_id", "page_number", "table_index", F.size("rows").alias("row_count"), F.coalesce(F.array_max(F.transform("rows", F.size)), F.lit(0)).alias("col_count"), F.array_join(F.transform("rows", lambda r: F.array_join(r, " | ")), "\n").alias("table_text"))
+    return t.select("pdf_id", "page_number", "table_index", *keep, F.size("rows").alias("row_count"), F.coalesce(F.array_max(F.transform("rows", F.size)), F.lit(0)).alias("col_count"), F.array_join(F.transform("rows", lambda r: F.array_join(r, " | ")), "\n").alias("table_text"))
+
+
+def table_chunks(tables: DataFrame, text_chunks: DataFrame) -> DataFrame:
+    """Chunks of tables (`files.table_rows`): a header line and the table's text, numbered on behind the file's text chunks. text_chunks: pdf_id, n."""
+    t = tables.withColumn("text", F.concat(F.format_string("Table %d on page %d\n", "table_index", "page_number"), F.col("table_text")))
+    t = numbered(t.select("table_id", "paper_id", "pdf_id", "page_number", "table_index", "text"), ["pdf_id"], ["page_number", "table_index"], "place").join(text_chunks.select("pdf_id", "n"), "pdf_id", "left")
+    c = t.select(
+        F.col("table_id").alias("chunk_id"), "paper_id", "pdf_id", "page_number", F.lit("table").alias("section"), (F.coalesce("n", F.lit(0)) + F.col("place")).cast("int").alias("chunk_index"), "text", F.char_length("text").alias("char_count"),
+        T.word_count(F.col("text")).cast("int").alias("token_count"), F.lit(True).alias("contains_table"),
+    )
+    return flags(c)
 
 
 def not_yet(work: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:

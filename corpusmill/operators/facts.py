@@ -118,6 +118,15 @@ def materials(text: Column) -> Column:
     return F.array_compact(F.array(*one))
 
 
+def dopants(text: Column) -> Column:
+    """The dopant elements of the first material that the text names, in the order of the patterns; empty if it names none."""
+    out = None
+    for pattern, _, _, elements, _ in V.MATERIALS:
+        hit, value = text.rlike(f"(?i){pattern}"), F.array(*[F.lit(e) for e in elements]).cast("array<string>")
+        out = F.when(hit, value) if out is None else out.when(hit, value)
+    return out.otherwise(F.array().cast("array<string>"))
+
+
 def phases(text: Column) -> Column:
     return F.array_compact(F.array(*[F.when(text.rlike(f"(?i){p}"), F.struct(F.lit(n).alias("phase_name"), F.lit(g).cast("string").alias("space_group"))) for p, n, g in V.PHASES]))
 
@@ -195,7 +204,7 @@ CHECKS = ["sample_identity", "geometry", "process", "electrode_or_substrate", "p
 def with_context(facts: DataFrame, text: str = "evidence_text") -> DataFrame:
     """Adds what the evidence tells about a fact's sample, phases and devices, with the context score (present of six checks) and its grade."""
     c = F.col(text)
-    f = facts.withColumn("sample", sample(c)).withColumn("phases", phases(c)).withColumn("devices", devices(c))
+    f = facts.withColumn("sample", sample(c)).withColumn("phases", phases(c)).withColumn("devices", devices(c)).withColumn("dopants", dopants(c))
     stack = credible_stack(F.col("sample.device_stack"))
     has = {
         "sample_identity": F.col("sample").isNotNull(), "geometry": F.col("sample.film_thickness_nm").isNotNull(), "process": F.col("sample.deposition_method").isNotNull() | F.col("sample.annealing_temperature_c").isNotNull(),
@@ -235,17 +244,43 @@ def range_stats(facts: DataFrame, by: list[str]) -> DataFrame:
     )
 
 
+def _issues(*found: tuple[Column, str]) -> Column:
+    return F.array_compact(F.array(*[F.when(F.coalesce(c, F.lit(False)), name) for c, name in found]))
+
+
+def _verdict(valid: Column, issues: Column) -> Column:
+    """valid only without issues; reject if an issue says so; else needs_check."""
+    return F.when(valid & (F.size(issues) == 0), "valid").when(F.exists(issues, lambda i: i.startswith("reject")), "reject").otherwise("needs_check")
+
+
 def checks_long(facts: DataFrame) -> DataFrame:
-    """model, fact_id, verdict, issues: three independent validators in long form (evidence, relations, domain range)."""
+    """model, fact_id, verdict, confidence, issues: three independent validators (evidence, relation, range) and their ensemble, in long form.
+
+    The ensemble is valid if two of three are and none has an issue; its issues are the union, its confidence the mean. All four come from one row, without a shuffle."""
     v = safe_float(F.col("value"))
     ev = F.coalesce("evidence_text", F.lit(""))
+    prop, unit = F.col("property_name"), F.coalesce("unit", F.lit(""))
     whole = F.format_string("%d", F.abs(v).cast("long"))
-    evidence_issues = F.array_compact(F.array(F.when(F.char_length(ev) < 30, "short_evidence"), F.when(F.col("page_number").isNull(), "no_page"), F.when(v.isNull(), "no_value"), F.when(v.isNotNull() & ~F.replace(ev, F.lit(","), F.lit("")).contains(whole), "value_not_in_evidence"), F.when(F.trim(F.coalesce("unit", F.lit(""))) == "", "no_unit"), F.when((F.col("property_name") == "remanent_polarization_Pr") & ev.rlike(V.TWO_PR), "two_pr")))
-    relation_issues = F.array_compact(F.array(F.when(F.trim(F.coalesce("material", F.lit(""))) == "", "no_material"), F.when(F.col("paper_id").isNull(), "no_paper"), F.when(F.coalesce("context_quality", F.lit("weak")) == "weak", "weak_context")))
-    range_issues = F.array_compact(F.array(F.when(F.coalesce("material_family", F.lit("")) == "", "no_family"), F.when(v.isNull(), "no_value").when(v < 0, "negative").when(above_limit(F.col("property_name"), v), "above_limit")))
-    rows = F.array(*[F.struct(F.lit(m).alias("model"), i.alias("issues")) for m, i in (("evidence", evidence_issues), ("relation", relation_issues), ("range", range_issues))])
-    long = facts.select("fact_id", F.explode(rows).alias("r"))
-    return long.select("fact_id", "r.model", F.when(F.size("r.issues") == 0, "valid").otherwise("needs_check").alias("verdict"), F.array_join(F.array_sort("r.issues"), ";").alias("issues"))
+    evidence = _issues(
+        (F.char_length(ev) < 30, "short_evidence"), (F.col("page_number").isNull(), "no_page"), (v.isNull(), "no_value"), (v.isNotNull() & ~F.replace(ev, F.lit(","), F.lit("")).contains(whole), "value_not_in_evidence"), (F.trim(unit) == "", "no_unit"),
+        ((prop == "remanent_polarization_Pr") & ev.rlike(V.TWO_PR), "two_pr"), ((prop == "double_remanent_polarization_2Pr") & ~ev.rlike(V.TWO_PR_SAID), "two_pr_not_said"), (ev.rlike(V.SECONDARY), "secondary_source"),
+    )
+    quality = F.coalesce("context_quality", F.lit("weak"))
+    no_material = F.trim(F.coalesce("material", F.lit(""))) == ""
+    relation = _issues((no_material, "no_material"), (F.col("paper_id").isNull(), "no_paper"), (quality == "weak", "weak_context"))
+    family = F.trim(F.coalesce("material_family", F.lit("")))
+    limit = F.when(v < 0, "negative").when(above_limit(prop, v), "above_limit")
+    ranges = F.concat(_issues((family == "", "no_family"), ((family != "") & ~family.isin(V.FAMILIES), "reject_family"), (v.isNull(), "no_value")), F.array_compact(F.array(limit)))
+    ok = {"evidence": F.size(evidence) == 0, "relation": (quality != "weak") & ~no_material, "range": F.size(ranges) == 0}
+    sure = {"evidence": F.when(ok["evidence"], 0.94).otherwise(0.58), "relation": F.when(quality == "strong", 0.9).otherwise(0.68), "range": F.when(ok["range"], 0.96).otherwise(0.55)}
+    issues = {"evidence": evidence, "relation": relation, "range": ranges}
+    one = lambda m: F.struct(F.lit(m).alias("model"), _verdict(ok[m], issues[m]).alias("verdict"), sure[m].alias("confidence"), F.array_sort(issues[m]).alias("issues"))
+    three = facts.select("fact_id", F.array(*[one(m) for m in ok]).alias("__m"))
+    votes = F.size(F.filter("__m", lambda x: x["verdict"] == "valid"))
+    union = F.array_sort(F.array_distinct(F.flatten(F.transform("__m", lambda x: x["issues"]))))
+    mean = F.aggregate("__m", F.lit(0.0), lambda a, x: a + x["confidence"]) / 3
+    both = F.struct(F.lit("ensemble").alias("model"), _verdict(votes >= 2, union).alias("verdict"), F.bround(mean, 3).alias("confidence"), union.alias("issues"))
+    return three.select("fact_id", F.explode(F.concat("__m", F.array(both))).alias("r")).select("fact_id", "r.model", "r.verdict", "r.confidence", F.array_join("r.issues", ";").alias("issues"))
 
 
 # extraction with all match offsets, in Arrow batches

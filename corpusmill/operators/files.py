@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusmill.functions import text as T
+from corpusmill.functions import vocab as V
+from corpusmill.session import spread
+
+from .chunks import table_chunk
+from .numbering import numbered
 
 LOW_TEXT = 80
 
@@ -19,13 +25,13 @@ def scan_files(spark, root: str, pattern: str = "*.[pP][dD][fF]") -> DataFrame:
 def with_identity(files: DataFrame) -> DataFrame:
     """Equal contents in path order: the first keeps the plain identifier, later ones carry their number and point to the first.
 
-    Files without a hash are never duplicates. The window runs per hash; a content that a great share of files has is best reduced by
-    first-of-group aggregation instead (`first_of`)."""
-    key = F.coalesce("sha256", F.concat(F.lit("path:"), F.col("file_path")))
-    w = Window.partitionBy("__key").orderBy("file_path")
-    f = files.withColumn("__key", key).withColumn("__n", F.row_number().over(w) - 1).withColumn("__first", F.concat(F.lit("pdf_"), F.substring("sha256", 1, 16)))
-    pdf = F.when(F.col("__n") == 0, F.col("__first")).otherwise(F.concat(F.lit("pdf_"), F.substring("sha256", 1, 12), F.lit("_"), F.col("__n").cast("string")))
-    return f.select(*files.columns, pdf.alias("new_pdf_id"), F.concat(F.lit("paper_"), F.substring("sha256", 1, 16)).alias("new_paper_id"), (F.col("__n") > 0).alias("is_dup"), F.when(F.col("__n") > 0, F.col("__first")).alias("dup_of"))
+    Files without a hash are never duplicates and get null identifiers. A content may have any number of copies: they are numbered by range partitions."""
+    have = files.where("sha256 is not null")
+    n = numbered(have, ["sha256"], ["file_path"], "__n")
+    first = F.concat(F.lit("pdf_"), F.substring("sha256", 1, 16))
+    again = F.concat(F.lit("pdf_"), F.substring("sha256", 1, 12), F.lit("_"), F.col("__n").cast("string"))
+    n = n.unionByName(files.where("sha256 is null").withColumn("__n", F.lit(0).cast("long")))
+    return n.select(*files.columns, F.when(F.col("__n") == 0, first).otherwise(again).alias("new_pdf_id"), F.concat(F.lit("paper_"), F.substring("sha256", 1, 16)).alias("new_paper_id"), (F.col("__n") > 0).alias("is_dup"), F.when(F.col("__n") > 0, first).alias("dup_of"))
 
 
 def first_of(files: DataFrame, key: str, order: str) -> DataFrame:
@@ -86,14 +92,67 @@ def write_snapshot(df: DataFrame, path: str, name: str) -> str:
     return out
 
 
-def layout_titles(spans: DataFrame, slack: float = 1.2, gap: float = 48.0, least: float = 12.0) -> DataFrame:
-    """page_id, title, y: spans (page_id, y, x, size, text) of the largest type joined into lines that follow each other; the topmost group wins.
+def layout_titles(spans: DataFrame, gap: float = 48.0, least: float = 12.0, region: float = 0.72) -> DataFrame:
+    """page_id, title, y, size, score: of each page the group of large lines that scores best as a title (its score plus its mean type size; ties to the upper group).
 
-    Islands by a running count of gaps within a page; a page's spans are few. Blank spans take no part; a page without type of the least size has no title."""
+    spans: page_id, y, x, size, text, and height of the page if only its upper `region` may hold a title. Large is what comes near the page's largest type: within 1.2 points of a type of
+    16 or more, within 2.5 of a smaller one, and `least` anyway; lines that can't be a title don't set the largest type. A group ends at a smaller line and at a
+    gap. A page's spans are few, so windows run by page. Blank spans take no part; a page without large type has no title."""
     s = spans.where(F.trim("text") != "")
-    top = Window.partitionBy("page_id")
-    big = s.withColumn("__max", F.max("size").over(top)).where((F.col("size") >= F.greatest(F.lit(least), F.col("__max") - slack)))
-    order = Window.partitionBy("page_id").orderBy("y", "x", "text")
-    big = big.withColumn("__new", F.when(F.col("y") - F.lag("y").over(order) > gap, 1).otherwise(0)).withColumn("__g", F.sum("__new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    lines = big.groupBy("page_id", "__g").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("y", "x", "text"))), lambda r: T.strip(r["text"])), " ").alias("title"), F.min("y").alias("y"))
-    return lines.groupBy("page_id").agg(F.min_by(F.struct("title", "y"), "__g").alias("r")).select("page_id", "r.title", "r.y")
+    if "height" in spans.columns:
+        s = s.where(F.col("y") < F.col("height") * region)
+    page, order = Window.partitionBy("page_id"), Window.partitionBy("page_id").orderBy("y", "x", "text")
+    top = F.max(F.when(~F.col("text").rlike(V.BAD_TITLE), F.col("size"))).over(page)
+    s = s.withColumn("__max", top).withColumn("__big", F.coalesce(F.col("size") >= F.greatest(F.lit(least), F.col("__max") - F.when(F.col("__max") >= 16, 1.2).otherwise(2.5)), F.lit(False)))
+    new = F.col("__big") & (~F.coalesce(F.lag("__big").over(order), F.lit(False)) | (F.col("y") - F.lag("y").over(order) > gap))
+    s = s.withColumn("__new", new.cast("int")).withColumn("__g", F.sum("__new").over(order.rowsBetween(Window.unboundedPreceding, 0))).where("__big")
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("y", "x", "text"))), lambda r: T.strip(r["text"])), " ")
+    g = s.groupBy("page_id", "__g").agg(T.clean_title(text).alias("title"), F.min("y").alias("y"), F.avg("size").alias("size"))
+    g = g.withColumn("score", T.title_score(F.col("title")) + F.col("size"))
+    return g.groupBy("page_id").agg(F.max_by(F.struct("title", "y", "size", "score"), F.struct("score", -F.col("__g"))).alias("r")).select("page_id", "r.*")
+
+
+def table_rows(tables: DataFrame, order: list[str]) -> DataFrame:
+    """Tables (pdf_id, page_number, cells, further columns) with table_index from 1 in their page by the order given, table_id, row and column counts and text.
+
+    Cells are tidied and blank rows dropped; a table without any row is left out. A page may hold any number of tables: they are numbered by range partitions."""
+    t = table_chunk(tables.withColumn("table_index", F.lit(0)), keep=[c for c in tables.columns if c not in ("pdf_id", "page_number", "cells")]).where("row_count > 0").drop("table_index")
+    n = numbered(t, ["pdf_id", "page_number"], order, "table_index").withColumn("table_index", (F.col("table_index") + 1).cast("int"))
+    return n.withColumn("table_id", F.format_string("%s_table_p%04d_%03d", "pdf_id", "page_number", "table_index"))
+
+
+def replace_partitions(df: DataFrame, path: str, by: str = "pdf_id") -> None:
+    """Write the rows in place of all earlier ones of the same values of `by`; other partitions of the table stay."""
+    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(path)
+
+
+def with_parse_result(manifest: DataFrame, quality: DataFrame) -> DataFrame:
+    """The manifest with what parsing gave (`page_quality`): counts, quality, and the status parsed, or parse_error with a message where no page has text; files without pages stay as they are."""
+    j = manifest.join(quality.select("pdf_id", "n_pages", "text_pages", "blank_pages", "quality"), "pdf_id", "left")
+    seen, ok = F.col("n_pages").isNotNull(), F.col("text_pages") > 0
+    new = {
+        "page_count": F.coalesce("n_pages", "page_count"), "text_page_count": F.coalesce("text_pages", "text_page_count"), "blank_page_count": F.coalesce("blank_pages", "blank_page_count"), "parse_status": F.when(seen & ok, "parsed").when(seen, "parse_error").otherwise(F.col("parse_status")),
+        "parse_quality_score": F.when(seen, F.col("quality")).otherwise(F.col("parse_quality_score")), "error_message": F.when(seen & ~ok, "no page has text").when(~seen, F.col("error_message")),
+    }
+    return j.select(*[new.get(c, F.col(c)).alias(c) for c in manifest.columns])
+
+
+def read_pages(files: DataFrame, reader) -> DataFrame:
+    """pdf_id, page_number (from 1), text, error: pages by an injected reader, path -> list of texts, in Arrow batches; a file that fails has one row with its error and no page number."""
+
+    def run(batches):
+        for b in batches:
+            rows = []
+            for pdf, path in zip(b["pdf_id"], b["file_path"]):
+                try:
+                    rows.extend((pdf, i, x, None) for i, x in enumerate(reader(path), 1))
+                except Exception as e:  # noqa: BLE001
+                    rows.append((pdf, None, None, str(e)[:500]))
+            yield pd.DataFrame(rows, columns=["pdf_id", "page_number", "text", "error"]).astype({"page_number": "Int64"})
+
+    return spread(files.select("pdf_id", "file_path")).mapInPandas(run, "pdf_id string, page_number int, text string, error string")
+
+
+def page_counts(pages: DataFrame) -> DataFrame:
+    """pdf_id, pages: pages read of each file, 0 for a file that failed."""
+    return pages.groupBy("pdf_id").agg(F.count("page_number").alias("pages"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusmill.functions import text as T
@@ -84,7 +84,13 @@ class Fetcher:
 
 
 def first_with_hash(new: DataFrame, known: DataFrame, order: list[str]) -> DataFrame:
-    """Downloaded files (sha256) marked: `duplicate` if the hash is known or an earlier one of the run has it."""
-    w = Window.partitionBy("sha256").orderBy(*order)
+    """Downloaded files (sha256) marked: `duplicate` if the hash is known or an earlier one of the run has it.
+
+    The first of each hash comes by partial aggregation, so that a content with any number of copies gathers in no task; files without a hash take no part and are no duplicates.
+    `order` must tell the files of one hash apart."""
+    have = new.where("sha256 is not null")
+    first = have.groupBy("sha256").agg(F.min(F.struct(*order)).alias("__first"))
     k = known.select("sha256").where("sha256 is not null").distinct().withColumn("__k", F.lit(True))
-    return new.withColumn("__n", F.row_number().over(w)).join(k, "sha256", "left").withColumn("duplicate", F.col("sha256").isNotNull() & (F.coalesce("__k", F.lit(False)) | (F.col("__n") > 1))).drop("__n", "__k")
+    marks = first.join(k, "sha256", "left")
+    out = have.join(marks, "sha256").withColumn("duplicate", F.coalesce("__k", F.lit(False)) | (F.struct(*order) != F.col("__first"))).select(*new.columns, "duplicate")
+    return out.unionByName(new.where("sha256 is null").withColumn("duplicate", F.lit(False)))

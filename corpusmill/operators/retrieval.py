@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.functions import text as T
 from corpusmill.functions import vocab as V
-from corpusmill.session import spread
+from corpusmill.session import broadcast_if_small, spread, through_table
 
 from .facts import unit_fits
 
@@ -40,10 +40,15 @@ def index(docs: DataFrame, id_col: str, text_col: str, most: int = MAX_TERMS) ->
     return w.join(norm, "id").select("id", "term", (F.col("w") / F.col("norm")).alias("weight"))
 
 
+def written_index(docs: DataFrame, id_col: str, text_col: str, most: int = MAX_TERMS) -> DataFrame:
+    """The index as a table of the shared folder, sorted by term within its files, so that a search skips the row groups without its terms."""
+    return through_table(index(docs, id_col, text_col, most).repartitionByRange("term").sortWithinPartitions("term"), "tfidf")
+
+
 def search(idx: DataFrame, docs: DataFrame, queries: DataFrame, id_col: str, k: int) -> DataFrame:
     """query_id, rank, id, score: cosine of each query with the documents that share a term; the k best with a score over 0 (ties by id).
 
-    queries: query_id, query. Only postings of the queries' terms take part; the index is joined, never scanned per query."""
+    idx: a written index, as it's read twice (frequencies of the queries' terms, then their postings). queries: query_id, query. The index is joined, never scanned per query."""
     q = exploded_terms(queries, "query_id", "query", "query_id").groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
     n = F.lit(float(docs.count()))
     df = idx.join(q.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
@@ -91,10 +96,14 @@ def _family_match(material: Column, family: Column, want: Column) -> Column:
 
 def score_facts(facts: DataFrame, asked: DataFrame) -> DataFrame:
     """question_id, fact_id, value, unit, property_name, score of every fact that fits a question's property and material: shared tokens, plus points for
-    a named property (3), material (2) and the grade of the fact's context (2 strong, 1 partial). The questions are a given small set against all facts."""
+    a named property (3), material (2) and the grade of the fact's context (2 strong, 1 partial). Questions that name a property are joined on it; those that name none
+    are a given set against all facts."""
     parts = ["title", "doi", "material", "material_family", "property_name", "unit", "evidence_text"]
     f = facts.withColumn("f_tokens", T.tokens(F.concat_ws(" ", *[F.coalesce(c, F.lit("")) for c in parts])))
-    j = f.join(F.broadcast(asked), (F.col("want_property").isNull() | (F.col("want_property") == F.col("property_name"))) & _family_match(F.col("material"), F.col("material_family"), F.col("want_family")))
+    fits = lambda x: x.where(_family_match(F.col("material"), F.col("material_family"), F.col("want_family")))
+    named = broadcast_if_small(asked.where("want_property is not null").withColumnRenamed("want_property", "property_name"), row_bytes=4_096)
+    other = broadcast_if_small(asked.where("want_property is null"), row_bytes=4_096)
+    j = fits(f.join(named, "property_name")).withColumn("want_property", F.col("property_name")).unionByName(fits(f.crossJoin(other)))
     grade = F.when(F.col("context_quality") == "strong", 2).when(F.col("context_quality") == "partial", 1).otherwise(0)
     s = F.size(F.array_intersect("q_tokens", "f_tokens")) + F.when(F.col("want_property").isNotNull(), 3).otherwise(0) + F.when(F.col("want_family").isNotNull(), 2).otherwise(0) + grade
     return j.select("question_id", "want_property", "fact_id", "property_name", "value", "unit", "evidence_text", s.alias("score")).where("score > 0")

@@ -15,7 +15,7 @@ from .text_queries import WS, any_sql, q
 
 
 def _facts(s: SparkSession, d: str) -> DataFrame:
-    """Facts without the repeated deliveries."""
+    """Facts without the repeated deliveries, which are equal in every column."""
     return t(s, d, "fact_hits", "fact_id", "paper_id", "title", "page_number", "material", "material_family", "property_name", "raw_property_name", "value", "unit", "evidence_text", "context_quality", "review_status").distinct()
 
 
@@ -170,12 +170,15 @@ def mv_details(s, d):
 
 def mv_summary(s, d):
     m = facts.checks_long(_facts(s, d))
-    return m.groupBy("model").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("verdict") == "valid").alias("valid"), F.round(F.avg((F.col("verdict") == "valid").cast("double")), 6).alias("valid_share"))
+    share = F.round(F.avg((F.col("verdict") == "valid").cast("double")), 6)
+    return m.groupBy("model").agg(F.count(F.lit(1)).alias("n"), *[F.count_if(F.col("verdict") == v).alias(v) for v in ("valid", "needs_check", "reject")], share.alias("valid_share"), F.round(F.avg("confidence"), 4).alias("mean_confidence"))
 
 
 def mv_ensemble(s, d):
+    """The ensemble's verdict on each fact, with the votes of the three models."""
     m = facts.checks_long(_facts(s, d))
-    return m.groupBy("fact_id").agg(F.count_if(F.col("verdict") == "valid").alias("votes"), (F.count_if(F.col("verdict") == "valid") == F.count(F.lit(1))).alias("valid"))
+    e = lambda c: F.max(F.when(F.col("model") == "ensemble", F.col(c))).alias(c)
+    return m.groupBy("fact_id").agg(F.count_if((F.col("verdict") == "valid") & (F.col("model") != "ensemble")).alias("votes"), e("verdict"), e("confidence"), e("issues"))
 
 
 def mv_top_issues(s, d):
@@ -202,7 +205,14 @@ def p5_values(s, d):
     return convert.with_units(f, t(s, d, "property_units")).select("fact_id", "property_name", "value", "unit_used", "unit_from", "common_unit", F.format_string("%.6e", F.col("common_number")).alias("common_number"))
 
 
-QUERIES = {f.__name__: f for f in (p5_found, p5_values, unit_normalize, property_alias, material_normalize, property_normalize, parse_numeric, safe_float, unit_guard, extract_properties, extract_materials, extract_phases, extract_devices, extract_samples, extract_mentions, extract_stats, evidence_window, credible_stack, measurement_state, ontology_context, relation_completion, enrich_stats, kg_nodes, kg_edges, kg_triples, graph_summary, graph_neighbors, graph_layout, quality_counts, domain_anomalies, missing_trace, range_stats, mv_details, mv_summary, mv_ensemble, mv_top_issues, fact_papers)}
+def p5_defaulted(s, d):
+    """The facts whose unit is neither in their field nor in their text, with the unit that their paper writes most often for the property, and the value in the common unit."""
+    f = t(s, d, "fact_hits", "fact_id", "paper_id", "property_name", "value", "unit", "evidence_text").distinct()
+    u = convert.with_defaults(f, t(s, d, "property_units")).where("unit_from = 'default'")
+    return u.select("fact_id", "property_name", "unit_used", "common_unit", F.format_string("%.6e", F.col("common_number")).alias("common_number"))
+
+
+QUERIES = {f.__name__: f for f in (p5_found, p5_values, p5_defaulted, unit_normalize, property_alias, material_normalize, property_normalize, parse_numeric, safe_float, unit_guard, extract_properties, extract_materials, extract_phases, extract_devices, extract_samples, extract_mentions, extract_stats, evidence_window, credible_stack, measurement_state, ontology_context, relation_completion, enrich_stats, kg_nodes, kg_edges, kg_triples, graph_summary, graph_neighbors, graph_layout, quality_counts, domain_anomalies, missing_trace, range_stats, mv_details, mv_summary, mv_ensemble, mv_top_issues, fact_papers)}
 
 
 # SQL
@@ -254,7 +264,7 @@ smp AS (SELECT *, (film_thickness_nm IS NOT NULL OR deposition_method IS NOT NUL
 ctx0 AS (SELECT * EXCLUDE (substrate0), CASE WHEN has_sample THEN substrate0 END AS substrate, CASE WHEN has_sample THEN 'thin_film' END AS sample_form,
  CASE WHEN length(trim(device_stack, {WS})) <= 120 AND (contains(device_stack, '/') OR (len(regexp_extract_all(device_stack, {q(V.STACK_TOKEN)}, 1)) >= 2 AND regexp_matches(device_stack, '[-/]'))) THEN device_stack END AS stack,
  list_filter([{', '.join(f"CASE WHEN regexp_matches(evidence_text, {q('(?i)' + p)}) THEN {{'phase_name': {q(n)}, 'space_group': {q(g) if g else 'NULL'}}} END" for p, n, g in V.PHASES)}], lambda x: x IS NOT NULL) AS phases,
- list_filter([{', '.join(f"CASE WHEN regexp_matches(evidence_text, {q(rf'(?i){chr(92)}b{x}{chr(92)}b')}) THEN {q(x)} END" for x in V.DEVICES)}], lambda x: x IS NOT NULL) AS devices FROM smp),
+ list_filter([{', '.join(f"CASE WHEN regexp_matches(evidence_text, {q(rf'(?i){chr(92)}b{x}{chr(92)}b')}) THEN {q(x)} END" for x in V.DEVICES)}], lambda x: x IS NOT NULL) AS devices, CASE {' '.join(f"WHEN regexp_matches(evidence_text, {q('(?i)' + p)}) THEN [{', '.join(q(e) for e in els)}]::VARCHAR[]" for p, _, _, els, _ in V.MATERIALS)} ELSE []::VARCHAR[] END AS dopants FROM smp),
 ctx1 AS (SELECT *, [has_sample, film_thickness_nm IS NOT NULL, deposition_method IS NOT NULL OR annealing_temperature_c IS NOT NULL, top_electrode IS NOT NULL OR substrate IS NOT NULL OR stack IS NOT NULL, len(phases) > 0, has_sample OR len(devices) > 0] AS checks FROM ctx0),
 ctx AS (SELECT *, len(list_filter(checks, lambda x: x)) AS context_points, round_even(len(list_filter(checks, lambda x: x)) / 6.0, 2) AS score, array_to_string(list_filter([deposition_method, CAST(annealing_temperature_c AS VARCHAR) || ' C'], lambda x: x IS NOT NULL), ' + ') AS process_summary FROM ctx1)"""
 _QUALITY = "CASE WHEN score >= 0.75 THEN 'strong' WHEN score >= 0.45 THEN 'partial' ELSE 'weak' END"
@@ -266,21 +276,27 @@ n AS (SELECT *, {_nid('Paper', "coalesce(paper_id, 'unknown')")} AS paper_n, {_n
 nodes0 AS (SELECT fact_id, 'Paper' AS type, paper_n AS id, coalesce(title, paper_id) AS label FROM n UNION ALL SELECT fact_id, 'HafniaMaterial', material_n, mat FROM n UNION ALL SELECT fact_id, 'ThinFilmSample', sample_n, slabel FROM n UNION ALL SELECT fact_id, 'FerroelectricProperty', property_n, property_name || ' ' || coalesce(unit, '') FROM n
  UNION ALL SELECT fact_id, 'Evidence', evidence_n, substr(evidence_text, 1, 120) FROM n UNION ALL SELECT fact_id, 'Electrode', {_nid('Electrode', 'top_electrode')}, top_electrode FROM n WHERE top_electrode IS NOT NULL UNION ALL SELECT fact_id, 'Electrode', {_nid('Electrode', 'bottom_electrode')}, bottom_electrode FROM n WHERE bottom_electrode IS NOT NULL
  UNION ALL SELECT fact_id, 'Substrate', {_nid('Substrate', 'substrate')}, substrate FROM n WHERE substrate IS NOT NULL UNION ALL SELECT fact_id, 'FabricationProcess', {_nid('FabricationProcess', "fact_id || '_' || process_summary")}, process_summary FROM n WHERE process_summary <> ''
- UNION ALL SELECT fact_id, 'Device', {_nid('Device', 'd')}, d FROM (SELECT fact_id, unnest(dev) AS d FROM n) UNION ALL SELECT fact_id, 'PhaseStructure', {_nid('PhaseStructure', 'p.phase_name')}, p.phase_name FROM (SELECT fact_id, unnest(phases) AS p FROM n)),
+ UNION ALL SELECT fact_id, 'Device', {_nid('Device', 'd')}, d FROM (SELECT fact_id, unnest(dev) AS d FROM n) UNION ALL SELECT fact_id, 'PhaseStructure', {_nid('PhaseStructure', 'p.phase_name')}, p.phase_name FROM (SELECT fact_id, unnest(phases) AS p FROM n) UNION ALL SELECT fact_id, 'Dopant', {_nid('Dopant', 'd')}, d FROM (SELECT fact_id, unnest(dopants) AS d FROM n)),
 nodes AS (SELECT id, type, arg_max(label, {{'f': fact_id, 'l': label}}) AS label, count(*) AS n_facts FROM nodes0 GROUP BY id, type),
 edges AS (SELECT paper_n AS source, material_n AS target, 'REPORTS' AS type FROM n UNION ALL SELECT material_n, sample_n, 'HAS_SAMPLE' FROM n UNION ALL SELECT sample_n, property_n, 'HAS_PROPERTY' FROM n UNION ALL SELECT property_n, evidence_n, 'SUPPORTED_BY' FROM n UNION ALL SELECT evidence_n, paper_n, 'FROM_PAPER' FROM n
  UNION ALL SELECT sample_n, {_nid('Electrode', 'top_electrode')}, 'HAS_TOP_ELECTRODE' FROM n WHERE top_electrode IS NOT NULL UNION ALL SELECT sample_n, {_nid('Electrode', 'bottom_electrode')}, 'HAS_BOTTOM_ELECTRODE' FROM n WHERE bottom_electrode IS NOT NULL UNION ALL SELECT sample_n, {_nid('Substrate', 'substrate')}, 'ON_SUBSTRATE' FROM n WHERE substrate IS NOT NULL
- UNION ALL SELECT sample_n, {_nid('FabricationProcess', "fact_id || '_' || process_summary")}, 'FABRICATED_BY' FROM n WHERE process_summary <> '' UNION ALL SELECT sample_n, {_nid('Device', 'd')}, 'USED_IN' FROM (SELECT sample_n, unnest(dev) AS d FROM n) UNION ALL SELECT sample_n, {_nid('PhaseStructure', 'p.phase_name')}, 'HAS_PHASE' FROM (SELECT sample_n, unnest(phases) AS p FROM n))"""
+ UNION ALL SELECT sample_n, {_nid('FabricationProcess', "fact_id || '_' || process_summary")}, 'FABRICATED_BY' FROM n WHERE process_summary <> '' UNION ALL SELECT sample_n, {_nid('Device', 'd')}, 'USED_IN' FROM (SELECT sample_n, unnest(dev) AS d FROM n) UNION ALL SELECT sample_n, {_nid('PhaseStructure', 'p.phase_name')}, 'HAS_PHASE' FROM (SELECT sample_n, unnest(phases) AS p FROM n) UNION ALL SELECT material_n, {_nid('Dopant', 'd')}, 'HAS_DOPANT' FROM (SELECT material_n, unnest(dopants) AS d FROM n))"""
 _V = "CASE WHEN isfinite(value) THEN value END"
 _EV = "coalesce(evidence_text, '')"
-_CHK = f"""c AS (SELECT *, {_V} AS v FROM f), m AS (
-SELECT fact_id, 'evidence' AS model, list_filter([CASE WHEN length({_EV}) < 30 THEN 'short_evidence' END, CASE WHEN page_number IS NULL THEN 'no_page' END, CASE WHEN v IS NULL THEN 'no_value' END, CASE WHEN v IS NOT NULL AND NOT contains(replace({_EV}, ',', ''), CAST(CAST(trunc(abs(v)) AS HUGEINT) AS VARCHAR)) THEN 'value_not_in_evidence' END, CASE WHEN trim(coalesce(unit, '')) = '' THEN 'no_unit' END, CASE WHEN property_name = 'remanent_polarization_Pr' AND regexp_matches({_EV}, {q(V.TWO_PR)}) THEN 'two_pr' END], lambda x: x IS NOT NULL) AS i FROM c
-UNION ALL SELECT fact_id, 'relation', list_filter([CASE WHEN trim(coalesce(material, '')) = '' THEN 'no_material' END, CASE WHEN paper_id IS NULL THEN 'no_paper' END, CASE WHEN coalesce(context_quality, 'weak') = 'weak' THEN 'weak_context' END], lambda x: x IS NOT NULL) FROM c
-UNION ALL SELECT fact_id, 'range', list_filter([CASE WHEN coalesce(material_family, '') = '' THEN 'no_family' END, CASE WHEN v IS NULL THEN 'no_value' WHEN v < 0 THEN 'negative' WHEN {_limit_sql('property_name', 'v')} THEN 'above_limit' END], lambda x: x IS NOT NULL) FROM c),
-k AS (SELECT fact_id, model, CASE WHEN len(i) = 0 THEN 'valid' ELSE 'needs_check' END AS verdict, array_to_string(list_sort(i), ';') AS issues FROM m)"""
-
-
-def _p5_sql(final: str) -> str:
+_FAMS = "(" + ", ".join(q(x) for x in V.FAMILIES) + ")"
+_QU = "coalesce(context_quality, 'weak')"
+_NOMAT = "trim(coalesce(material, '')) = ''"
+_CHK = f"""c AS (SELECT *, {_V} AS v, trim(coalesce(material_family, '')) AS fam FROM f), m0 AS (
+SELECT fact_id, 'evidence' AS model, list_filter([CASE WHEN length({_EV}) < 30 THEN 'short_evidence' END, CASE WHEN page_number IS NULL THEN 'no_page' END, CASE WHEN v IS NULL THEN 'no_value' END, CASE WHEN v IS NOT NULL AND NOT contains(replace({_EV}, ',', ''), CAST(CAST(trunc(abs(v)) AS HUGEINT) AS VARCHAR)) THEN 'value_not_in_evidence' END, CASE WHEN trim(coalesce(unit, '')) = '' THEN 'no_unit' END, CASE WHEN property_name = 'remanent_polarization_Pr' AND regexp_matches({_EV}, {q(V.TWO_PR)}) THEN 'two_pr' END, CASE WHEN property_name = 'double_remanent_polarization_2Pr' AND NOT regexp_matches({_EV}, {q(V.TWO_PR_SAID)}) THEN 'two_pr_not_said' END, CASE WHEN regexp_matches({_EV}, {q(V.SECONDARY)}) THEN 'secondary_source' END], lambda x: x IS NOT NULL) AS i, NULL::BOOLEAN AS ok, NULL::DOUBLE AS sure FROM c
+UNION ALL SELECT fact_id, 'relation', list_filter([CASE WHEN {_NOMAT} THEN 'no_material' END, CASE WHEN paper_id IS NULL THEN 'no_paper' END, CASE WHEN {_QU} = 'weak' THEN 'weak_context' END], lambda x: x IS NOT NULL), {_QU} <> 'weak' AND NOT ({_NOMAT}), CASE WHEN {_QU} = 'strong' THEN 0.9 ELSE 0.68 END FROM c
+UNION ALL SELECT fact_id, 'range', list_filter([CASE WHEN fam = '' THEN 'no_family' END, CASE WHEN fam <> '' AND fam NOT IN {_FAMS} THEN 'reject_family' END, CASE WHEN v IS NULL THEN 'no_value' WHEN v < 0 THEN 'negative' WHEN {_limit_sql('property_name', 'v')} THEN 'above_limit' END], lambda x: x IS NOT NULL), NULL, NULL FROM c),
+m AS (SELECT fact_id, model, list_sort(i) AS i, coalesce(ok, len(i) = 0) AS ok, coalesce(sure, CASE model WHEN 'evidence' THEN CASE WHEN len(i) = 0 THEN 0.94 ELSE 0.58 END ELSE CASE WHEN len(i) = 0 THEN 0.96 ELSE 0.55 END END) AS sure FROM m0),
+k3 AS (SELECT fact_id, model, CASE WHEN ok AND len(i) = 0 THEN 'valid' WHEN len(list_filter(i, lambda x: starts_with(x, 'reject'))) > 0 THEN 'reject' ELSE 'needs_check' END AS verdict, CAST(sure AS DOUBLE) AS confidence, i FROM m),
+e AS (SELECT fact_id, count(*) FILTER (verdict = 'valid') AS votes, list_sort(list_distinct(flatten(list(i)))) AS i, max(confidence) FILTER (model = 'evidence') + max(confidence) FILTER (model = 'relation') + max(confidence) FILTER (model = 'range') AS total FROM k3 GROUP BY 1),
+k AS (SELECT fact_id, model, verdict, confidence, array_to_string(i, ';') AS issues FROM k3 UNION ALL SELECT fact_id, 'ensemble', CASE WHEN votes >= 2 AND len(i) = 0 THEN 'valid' WHEN len(list_filter(i, lambda x: starts_with(x, 'reject'))) > 0 THEN 'reject' ELSE 'needs_check' END, round_even(total / 3, 3), array_to_string(i, ';') FROM e)"""
+
+
+def _p5_sql(final: str, defaults: bool = False) -> str:
     from corpusmill.operators.convert import QUANTITY
 
     u = reduce_unit_sql("unit", True)
@@ -293,8 +309,12 @@ def _p5_sql(final: str) -> str:
     spelled = f"list_filter(list_transform(regexp_extract_all(evidence_text, {q(QUANTITY)}, 0), lambda m: CASE WHEN {close(f'{man} * power(10.0, {power})')} THEN {g(3)} || {g(4)} WHEN {close(man)} THEN trim({g(2)}) || ' ' || {g(3)} || {g(4)} END), lambda x: x IS NOT NULL AND trim(x) <> '')[1]"
     ru2 = reduce_unit_sql("s2", True)
     uc = reduce_unit_sql("common_unit", True)
-    return f"""WITH a(key, canon, dim, factor, off) AS (VALUES {alias_values_sql()}), x AS (SELECT fact_id, property_name, value, evidence_text, {u} AS u1, {spelled} AS s2 FROM fact_hits), y AS (SELECT *, {ru2} AS u2 FROM x), z AS (SELECT *, {pf} AS p1, {kf} AS k1, {pt} AS p2, {kt} AS k2 FROM y),
-w AS (SELECT z.*, a1.canon AS c1, coalesce(a1.canon, a2.canon) AS canon, coalesce(a1.dim, a2.dim) AS dim, coalesce(a1.factor, a2.factor) AS factor, CASE WHEN a1.key IS NOT NULL THEN p1 WHEN a2.key IS NOT NULL THEN p2 ELSE 0 END AS p, CASE WHEN a1.key IS NOT NULL THEN 'field' WHEN a2.key IS NOT NULL THEN 'text' END AS unit_from FROM z LEFT JOIN a a1 ON a1.key = k1 LEFT JOIN a a2 ON a2.key = k2 AND a1.key IS NULL AND z.value IS NOT NULL),
+    pd_, kd = power_sql("u3", True)
+    # the third way: the unit that the paper writes most often for the property
+    dcol = f"(SELECT arg_max(unit, {{'n': n, 'u': unit}}) FROM dn WHERE dn.paper_id = fact_hits.paper_id AND dn.property_name = fact_hits.property_name)" if defaults else "NULL::VARCHAR"
+    dcte = "fact_hits AS (SELECT DISTINCT fact_id, paper_id, property_name, value, unit, evidence_text FROM main.fact_hits), dn AS (SELECT paper_id, property_name, unit, count(*) AS n FROM fact_hits WHERE trim(unit) <> '' AND paper_id IS NOT NULL GROUP BY 1, 2, 3), " if defaults else ""
+    return f"""WITH {dcte}a(key, canon, dim, factor, off) AS (VALUES {alias_values_sql()}), x AS (SELECT fact_id, property_name, value, evidence_text, {u} AS u1, {spelled} AS s2, {dcol} AS s3 FROM fact_hits), y AS (SELECT *, {ru2} AS u2, {reduce_unit_sql("s3", True)} AS u3 FROM x), z AS (SELECT *, {pf} AS p1, {kf} AS k1, {pt} AS p2, {kt} AS k2, {pd_} AS p3, {kd} AS k3 FROM y),
+w AS (SELECT z.*, a1.canon AS c1, coalesce(a1.canon, a2.canon, a3.canon) AS canon, coalesce(a1.dim, a2.dim, a3.dim) AS dim, coalesce(a1.factor, a2.factor, a3.factor) AS factor, CASE WHEN a1.key IS NOT NULL THEN p1 WHEN a2.key IS NOT NULL THEN p2 WHEN a3.key IS NOT NULL THEN p3 ELSE 0 END AS p, CASE WHEN a1.key IS NOT NULL THEN 'field' WHEN a2.key IS NOT NULL THEN 'text' WHEN a3.key IS NOT NULL THEN 'default' END AS unit_from FROM z LEFT JOIN a a1 ON a1.key = k1 LEFT JOIN a a2 ON a2.key = k2 AND a1.key IS NULL AND z.value IS NOT NULL LEFT JOIN a a3 ON a3.key = k3 AND a1.key IS NULL AND a2.key IS NULL),
 pu AS (SELECT DISTINCT ON (property_name) property_name, common_unit, a.canon AS cc, a.dim AS cd, a.factor AS cf FROM property_units JOIN a ON a.key = {uc}),
 r AS (SELECT w.*, common_unit, dim = cd AS fits, canon = cc AND p = 0 AS same, CASE WHEN dim = cd THEN CASE WHEN canon = cc AND p = 0 THEN value ELSE value * power(10.0, p) * factor / cf END END AS num FROM w LEFT JOIN pu USING (property_name))
 {final}"""
@@ -303,6 +323,7 @@ r AS (SELECT w.*, common_unit, dim = cd AS fits, canon = cc AND p = 0 AS same, C
 SQL = {
     "p5_found": _p5_sql("SELECT DISTINCT fact_id, printf('%.2e', num) AS common_value FROM r WHERE fits AND NOT same AND num IS NOT NULL"),
     "p5_values": _p5_sql("SELECT fact_id, property_name, value, CASE WHEN canon IS NOT NULL THEN CASE WHEN p <> 0 THEN '10^' || p || ' ' ELSE '' END || canon END AS unit_used, unit_from, common_unit, coalesce(printf('%.6e', num), 'null') AS common_number FROM r"),
+    "p5_defaulted": _p5_sql("SELECT fact_id, property_name, CASE WHEN p <> 0 THEN '10^' || p || ' ' ELSE '' END || canon AS unit_used, common_unit, coalesce(printf('%.6e', num), 'null') AS common_number FROM r WHERE unit_from = 'default'", True),
     "unit_normalize": f"SELECT DISTINCT fact_id, unit, {_unit_sql('unit')} AS normalized_unit FROM fact_hits",
     "property_alias": f"WITH f AS (SELECT DISTINCT fact_id, raw_property_name, lower(trim(raw_property_name, {WS})) AS r FROM fact_hits) SELECT fact_id, CASE WHEN contains(r, '2pr') OR contains(r, 'double remanent') THEN 'double_remanent_polarization_2Pr' WHEN r = 'pr' OR contains(r, 'remanent polarization') THEN 'remanent_polarization_Pr' WHEN r = 'ec' OR contains(r, 'coercive') THEN 'coercive_field_Ec' WHEN contains(r, 'memory window') THEN 'memory_window' WHEN contains(r, 'endurance') THEN 'endurance_cycles' WHEN contains(r, 'retention') THEN 'retention_time' WHEN contains(r, 'leakage') THEN 'leakage_current_density' END AS found_property FROM f",
     "material_normalize": "WITH f AS (SELECT DISTINCT fact_id, material, replace(lower(material), ' ', '') AS l FROM fact_hits WHERE material IS NOT NULL), h AS (SELECT *, contains(l, 'hfo2') OR contains(lower(material), 'hafnia') OR contains(l, 'hafniumoxide') AS h, contains(l, 'zr') OR contains(l, 'hzo') AS z FROM f) SELECT fact_id, CASE WHEN h AND z THEN 'HZO' WHEN h THEN 'HfO2' ELSE material END AS name, CASE WHEN h AND z THEN 'HZO' WHEN h THEN 'HfO2' ELSE 'unknown_hafnia' END AS family FROM h",
@@ -332,8 +353,8 @@ SQL = {
     "missing_trace": f"WITH {_F} SELECT fact_id, page_number IS NULL AS no_page, paper_id IS NULL AS no_paper FROM f WHERE trim(coalesce(evidence_text, '')) = '' OR page_number IS NULL OR paper_id IS NULL",
     "range_stats": f"WITH {_F}, g AS (SELECT *, value IS NOT NULL AND NOT isnan(value) AS num, CASE WHEN value IS NOT NULL AND NOT isnan(value) AND {_fits_sql('property_name', 'unit')} THEN value END AS v FROM f) SELECT property_name, context_quality, count(*) AS n, count(*) FILTER (num) AS n_candidates, count(*) FILTER (num AND v IS NULL) AS n_excluded_unit, min(v) AS min_v, max(v) AS max_v, quantile_cont(v, 0.5) AS median_v, arg_min(fact_id, {{'v': v, 'f': fact_id}}) FILTER (v IS NOT NULL) AS min_fact_id, arg_min(fact_id, {{'v': -v, 'f': fact_id}}) FILTER (v IS NOT NULL) AS max_fact_id FROM g GROUP BY 1, 2",
     "mv_details": f"WITH {_F}, {_CHK} SELECT * FROM k",
-    "mv_summary": f"WITH {_F}, {_CHK} SELECT model, count(*) AS n, count(*) FILTER (verdict = 'valid') AS valid, round(avg(CASE WHEN verdict = 'valid' THEN 1.0 ELSE 0.0 END), 6) AS valid_share FROM k GROUP BY 1",
-    "mv_ensemble": f"WITH {_F}, {_CHK} SELECT fact_id, count(*) FILTER (verdict = 'valid') AS votes, count(*) FILTER (verdict = 'valid') = count(*) AS valid FROM k GROUP BY 1",
+    "mv_summary": f"WITH {_F}, {_CHK} SELECT model, count(*) AS n, count(*) FILTER (verdict = 'valid') AS valid, count(*) FILTER (verdict = 'needs_check') AS needs_check, count(*) FILTER (verdict = 'reject') AS reject, round(avg(CASE WHEN verdict = 'valid' THEN 1.0 ELSE 0.0 END), 6) AS valid_share, round(avg(confidence), 4) AS mean_confidence FROM k GROUP BY 1",
+    "mv_ensemble": f"WITH {_F}, {_CHK} SELECT fact_id, count(*) FILTER (verdict = 'valid' AND model <> 'ensemble') AS votes, max(verdict) FILTER (model = 'ensemble') AS verdict, max(confidence) FILTER (model = 'ensemble') AS confidence, max(issues) FILTER (model = 'ensemble') AS issues FROM k GROUP BY 1",
     "mv_top_issues": f"WITH {_F}, {_CHK}, i AS (SELECT model, unnest(string_split(issues, ';')) AS issue FROM k WHERE issues <> ''), n AS (SELECT model, issue, count(*) AS n FROM i GROUP BY 1, 2), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY model ORDER BY n DESC, issue) AS INT) AS rank FROM n) SELECT * FROM r WHERE rank <= 8",
     "fact_papers": f"WITH {_F} SELECT f.fact_id, f.paper_id, nullif(trim(regexp_replace(lower(trim(p.doi, {WS})), '^https?://(dx\\.)?doi\\.org/', ''), {WS}), '') AS doi, p.year FROM f LEFT JOIN papers p ON p.paper_id = f.paper_id",
 }

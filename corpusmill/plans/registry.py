@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fact_queries, search_queries, store_queries, text_queries
+from . import fact_queries, payload_queries, search_queries, store_queries, text_queries
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = [text_queries, fact_queries, search_queries, store_queries]
+MODULES = [text_queries, fact_queries, search_queries, store_queries, payload_queries]
 
 
 def queries() -> dict[str, Query]:

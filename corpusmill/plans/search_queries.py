@@ -13,7 +13,7 @@ from corpusmill.sources import read_table as t
 from .fact_queries import _F, _facts, _fits_sql
 from .text_queries import WS, any_sql, q
 
-TERMS, TOP = 2_000, 5
+TERMS, TOP = retrieval.MAX_TERMS, 5
 SEARCHES = [(1, "oxygen vacancies leakage current"), (2, "wake-up effect of the memristor"), (3, "atomic layer deposition of Hf0.5Zr0.5O2")]
 
 
@@ -28,7 +28,7 @@ def tfidf_index(s, d):
 def tfidf_search(s, d):
     docs = _docs(s, d)
     asked = s.createDataFrame(SEARCHES, "query_id int, query string")
-    return retrieval.search(retrieval.index(docs, "doc_id", "text", TERMS), docs, asked, "doc_id", TOP).select("query_id", "rank", F.col("id").alias("doc_id"), F.round("score", 4).alias("score"))
+    return retrieval.search(retrieval.written_index(docs, "doc_id", "text", TERMS), docs, asked, "doc_id", TOP).select("query_id", "rank", F.col("id").alias("doc_id"), F.round("score", 4).alias("score"))
 
 
 def keyword_index(s, d):
@@ -155,11 +155,25 @@ def ontology_relations(s, d):
     return ontology.relation_table(s)
 
 
+#: A faulty ontology: unknown ends, a relation named twice, a node without a key.
+FAULTY = {"nodes": {"Paper": "paper_id", "Dopant": "element", "Ghost": ""}, "relations": [["REPORTS", "Paper", "HafniaMaterial"], ["HAS_DOPANT", "Material", "Dopant"], ["CITES", "Paper", "Paper"], ["CITES", "Paper", "Paper"]]}
+
+
 def ontology_validate(s, d):
-    return ontology.problems(s)
+    """Problems of the default ontology and of a faulty one."""
+    return ontology.problems(s).select(F.lit("default").alias("ontology"), "*").unionByName(ontology.problems(s, FAULTY).select(F.lit("faulty").alias("ontology"), "*"))
+
+
+def ontology_counts(s, d):
+    return ontology.counts(s)
+
 
+def ontology_bundle(s, d):
+    """The bundle as one row a file: name and checksum of what is written."""
+    return s.createDataFrame(ontology.bundle(ontology.default(), "1.0.0"), "file string, content string").select("file", F.sha2("content", 256).alias("checksum"), F.char_length("content").alias("chars"))
 
-QUERIES = {f.__name__: f for f in (tfidf_index, tfidf_search, keyword_index, tokenize, question_intent, rag_retrieve, answer_ranges, evidence_select, domain_score, html_clean, safe_filename, lit_openalex, lit_crossref, lit_merge, lit_rank, lit_stats, lit_upsert, abstract_rebuild, download_dedup, recent_events, progress_log, ontology_nodes, ontology_relations, ontology_validate)}
+
+QUERIES = {f.__name__: f for f in (tfidf_index, tfidf_search, keyword_index, tokenize, question_intent, rag_retrieve, answer_ranges, evidence_select, domain_score, html_clean, safe_filename, lit_openalex, lit_crossref, lit_merge, lit_rank, lit_stats, lit_upsert, abstract_rebuild, download_dedup, recent_events, progress_log, ontology_nodes, ontology_relations, ontology_validate, ontology_counts, ontology_bundle)}
 
 
 # SQL
@@ -209,6 +223,14 @@ _OA = f"oa0 AS (SELECT {_DOI_S} AS doi, {_html_sql('title')} AS title, nullif(ar
 _CR = f"cr0 AS (SELECT {_DOI_S} AS doi, {_html_sql('title')} AS title, nullif(array_to_string(list_transform(list_slice(regexp_split_to_array(authors, '; |, '), 1, 12), lambda a: 'Dr' || CASE WHEN trim(a) <> '' THEN ' ' || trim(a) ELSE '' END), ', '), '') AS authors, {_html_sql('journal')} AS journal, {_html_sql('publisher')} AS publisher, year, {_html_sql('abstract')} AS abstract, 'crossref' AS source, query FROM literature_candidates WHERE source = 'crossref'), cr AS (SELECT {_CID} AS candidate_id, *, {_domain_sql('title', 'abstract')} AS match_score FROM cr0 WHERE title IS NOT NULL)"
 _FILE = f"trim(substr(trim(regexp_replace(regexp_replace(trim(coalesce(nullif(doi, ''), title), {WS}), '[^A-Za-z0-9._-]+', '_', 'g'), '_+', '_', 'g'), '._-'), 1, 120), '')"
 
+
+
+def _onto_sql(o: dict) -> str:
+    rel = ", ".join(f"({q(a)}, {q(b)}, {q(c)})" for a, b, c in o["relations"])
+    nodes = ", ".join(f"({q(k)}, {q(v)})" for k, v in o["nodes"].items())
+    return f"WITH r(relation, source, target) AS (VALUES {rel}), n(node_class, key_field) AS (VALUES {nodes}), e AS (SELECT relation, unnest([source, target]) AS node_class FROM r) SELECT DISTINCT 'unknown_end' AS problem, relation AS subject, node_class AS detail FROM e WHERE node_class NOT IN (SELECT node_class FROM n) UNION ALL SELECT 'repeated_relation', relation, source || '>' || target FROM r GROUP BY relation, source, target HAVING count(*) > 1 UNION ALL SELECT 'no_key', node_class, '' FROM n WHERE trim(key_field) = ''"
+
+
 SQL = {
     "tfidf_index": f"WITH {_IDX} SELECT doc_id, term, round(weight, 6) AS weight FROM idx",
     "tfidf_search": f"WITH {_IDX}, qt AS (SELECT query_id, term, count(*) AS qtf FROM (SELECT query_id, unnest({_terms('query')}) AS term FROM {_SEARCH}) GROUP BY 1, 2), qw AS (SELECT query_id, term, qtf * idf AS qw FROM qt JOIN i USING (term)), qn AS (SELECT query_id, sqrt(sum(qw * qw)) AS qn FROM qw GROUP BY 1), sc AS (SELECT query_id, doc_id, round(sum(weight * qw) / any_value(qn), 6) AS score FROM idx JOIN qw USING (term) JOIN qn USING (query_id) GROUP BY 1, 2), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS INT) AS rank FROM sc WHERE score > 0) SELECT query_id, rank, doc_id, round(score, 4) AS score FROM r WHERE rank <= {TOP}",
@@ -231,7 +253,9 @@ SQL = {
     "download_dedup": "WITH f AS (SELECT pdf_id, regexp_replace(lower(trim(sha256)), '^sha256:', '') AS h, batch_no FROM pdf_files) SELECT pdf_id, h IS NOT NULL AND (h IN (SELECT h FROM f WHERE batch_no <= 15 AND h IS NOT NULL) OR row_number() OVER (PARTITION BY h ORDER BY batch_no, pdf_id) > 1) AS duplicate FROM f WHERE batch_no > 15",
     "ontology_nodes": "SELECT * FROM (VALUES " + ", ".join(f"({q(k)}, {q(v)})" for k, v in ontology.NODES.items()) + ") t(node_class, key_field)",
     "ontology_relations": "SELECT * FROM (VALUES " + ", ".join(f"({q(a)}, {q(b)}, {q(c)})" for a, b, c in ontology.RELATIONS) + ") t(relation, source, target)",
-    "ontology_validate": "WITH r(relation, source, target) AS (VALUES " + ", ".join(f"({q(a)}, {q(b)}, {q(c)})" for a, b, c in ontology.RELATIONS) + "), e AS (SELECT relation, unnest([source, target]) AS node_class FROM r) SELECT * FROM e WHERE node_class NOT IN (" + ", ".join(q(k) for k in ontology.NODES) + ")",
+    "ontology_validate": " UNION ALL ".join(f"SELECT '{name}' AS ontology, * FROM ({_onto_sql(o)})" for name, o in (("default", ontology.default()), ("faulty", FAULTY))),
+    "ontology_counts": f"SELECT {len(ontology.NODES)}::BIGINT AS n_nodes, {len(ontology.RELATIONS)}::BIGINT AS n_relations, {len({r for r, _, _ in ontology.RELATIONS})}::BIGINT AS n_names, {len({e for _, a, b in ontology.RELATIONS for e in (a, b)})}::BIGINT AS n_linked",
+    "ontology_bundle": "SELECT * FROM (VALUES " + ", ".join(f"({q(n)}, sha256({q(c)}), {len(c)})" for n, c in ontology.bundle(ontology.default(), "1.0.0")) + ") t(file, checksum, chars)",
     "recent_events": "SELECT event_id, event_type, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events ORDER BY ts DESC, event_id DESC LIMIT 50",
     "progress_log": "WITH l AS (SELECT max(event_id) AS processed FROM events), x AS (SELECT event_id AS processed, user_id AS candidates, event_id % 7 AS empty, event_id % 3 AS errors FROM events WHERE event_id = (SELECT processed FROM l)) SELECT processed, candidates, empty, errors, CAST(20000 - processed AS BIGINT) AS remaining, round(processed / 20000.0 * 100, 1)::DOUBLE AS percent FROM x",
 }

@@ -202,7 +202,7 @@ def test_logs(spark, tmp_path):
 def test_ontology_is_sound_and_faults_are_named(spark):
     assert ontology.problems(spark).count() == 0
     bad = {"nodes": {"A": "k"}, "relations": [["R", "A", "B"]]}
-    assert [tuple(r) for r in ontology.problems(spark, bad).collect()] == [("R", "B")]
+    assert [tuple(r) for r in ontology.problems(spark, bad).collect()] == [("unknown_end", "R", "B")]
     assert ontology.checksum(bad) != ontology.checksum(ontology.default())
 
 
