@@ -12,10 +12,10 @@ the limit stay one piece, unchanged; a text without any boundary is cut at the l
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.session import broadcast_if_small, cut_lineage
+from corpusmill.operators.numbering import numbered
 
 LIMIT, OVERLAP = 1800, 260
 #: A body before the last has at least a tenth of the overlap, so ten bodies back always hold the overlap.
@@ -61,29 +61,6 @@ def oversized(df: DataFrame, text: str = "text", limit: int = LIMIT, overlap: in
     return df.where(F.char_length(text) > limit).withColumn("pieces", pieces(F.col(text), limit, overlap)).where(F.size("pieces") > 1)
 
 
-def running_index(df: DataFrame, group: list[str], order: list[str], out: str) -> DataFrame:
-    """0-based position of each row in its group, for groups of any size.
-
-    The rows are range-partitioned by group and order and kept (checkpoint); a row's place in the whole is its place in
-    its partition plus the sizes of the partitions before (one number per partition), and its index in the group is this less the
-    group's first place, which partial aggregation gives. No group is ever gathered into one task.
-    """
-    kept = cut_lineage(df.repartitionByRange(*[F.col(c) for c in group + order]).sortWithinPartitions(*group, *order).withColumn(f"{_P}m", F.monotonically_increasing_id()))
-    part, pos = F.shiftright(f"{_P}m", 33), F.col(f"{_P}m").bitwiseAND(F.lit((1 << 33) - 1))
-    sizes = kept.groupBy(part.alias(f"{_P}p")).agg(F.count(F.lit(1)).alias("n")).collect()  # one row per partition
-    starts, total = [], 0
-    for r in sorted(sizes, key=lambda r: r[0]):
-        starts.append((r[0], total))
-        total += r[1]
-    offs = df.sparkSession.createDataFrame(starts or [(0, 0)], f"{_P}p int, {_P}start long")
-    placed = kept.withColumn(f"{_P}p", part.cast("int")).join(F.broadcast(offs), f"{_P}p").withColumn(f"{_P}at", pos + F.col(f"{_P}start"))
-    g = [F.coalesce(F.col(c).cast("string"), F.lit("\u0000")) for c in group]
-    placed = placed.withColumn(f"{_P}g", F.concat_ws("\u001f", *g))
-    first = placed.groupBy(f"{_P}g").agg(F.min(f"{_P}at").alias(f"{_P}first"))
-    out_df = placed.join(first, f"{_P}g").withColumn(out, (F.col(f"{_P}at") - F.col(f"{_P}first")).cast("int"))
-    return out_df.drop(f"{_P}m", f"{_P}p", f"{_P}start", f"{_P}at", f"{_P}g", f"{_P}first")
-
-
 def split(df: DataFrame, id_col: str = "chunk_id", doc: str = "pdf_id", order: tuple[str, ...] = ("page_number", "chunk_index"), text: str = "text", limit: int = LIMIT, overlap: int = OVERLAP) -> DataFrame:
     """All items as pieces: the item's columns with text, char_count and chunk_index set anew, and piece_no (from 0), n_pieces.
 
@@ -98,4 +75,4 @@ def split(df: DataFrame, id_col: str = "chunk_id", doc: str = "pdf_id", order: t
     flat = flat.withColumn("char_count", F.char_length(text))
     kept = flat.withColumnRenamed("chunk_index", f"{_P}old") if "chunk_index" in flat.columns else flat
     cols = [f"{_P}old" if c == "chunk_index" else c for c in order]
-    return running_index(kept, [doc], [*cols, id_col, "piece_no"], "chunk_index").drop(f"{_P}old")
+    return numbered(kept, [doc], [*cols, id_col, "piece_no"], "chunk_index").withColumn("chunk_index", F.col("chunk_index").cast("int")).drop(f"{_P}old")
