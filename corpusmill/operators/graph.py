@@ -65,6 +65,21 @@ def neighbours(edge: DataFrame) -> DataFrame:
     return both.groupBy("node", "neighbour").agg(F.count(F.lit(1)).alias("n"))
 
 
+def search(node: DataFrame, edge: DataFrame, words: str, types: list[str] | None = None) -> DataFrame:
+    """id, type, label, neighbours: nodes whose identifier or label holds the words (case aside), of the types if any are given, with the number of their distinct neighbours."""
+    w = words.lower()
+    hit = node.where(F.lower("id").contains(w) | F.lower(F.coalesce("label", F.lit(""))).contains(w))
+    hit = hit.where(F.col("type").isin(types)) if types else hit
+    n = neighbours(edge).groupBy(F.col("node").alias("id")).agg(F.count(F.lit(1)).alias("neighbours"))
+    return hit.select("id", "type", "label").join(n, "id", "left").select("id", "type", "label", F.coalesce("neighbours", F.lit(0)).alias("neighbours"))
+
+
+def with_attributes(edge: DataFrame, node: DataFrame) -> DataFrame:
+    """The edges with type and label of both ends; ends without a node keep nulls."""
+    of = lambda end: node.select(F.col("id").alias(end), F.col("type").alias(f"{end}_type"), F.col("label").alias(f"{end}_label"))
+    return edge.join(of("source"), "source", "left").join(of("target"), "target", "left")
+
+
 def layout(node: DataFrame) -> DataFrame:
     """id, type, x, y: a column per type, rows in order of id, with a small stable shift. A type may hold most nodes: they are ranked by range partitions."""
     x = F.coalesce(F.array_position(F.array(*[F.lit(c) for c in COLUMNS]), F.col("type")), F.lit(0)) * 220

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -83,6 +84,22 @@ class Fetcher:
         return [json.dumps(x) for x in json.loads(self.get(url)).get("message", {}).get("items", [])]
 
 
+def titles_by_doi(dois: DataFrame, lookup) -> DataFrame:
+    """doi, doi_title: titles by an injected lookup (doi -> title or null), once for each distinct DOI; a lookup that fails gives null."""
+
+    def run(batches):
+        for b in batches:
+            out = []
+            for doi in b["doi"]:
+                try:
+                    out.append(lookup(doi))
+                except Exception:  # noqa: BLE001
+                    out.append(None)
+            yield pd.DataFrame({"doi": b["doi"].to_numpy(), "doi_title": out})
+
+    return dois.select("doi").where("doi is not null").distinct().mapInPandas(run, "doi string, doi_title string")
+
+
 def first_with_hash(new: DataFrame, known: DataFrame, order: list[str]) -> DataFrame:
     """Downloaded files (sha256) marked: `duplicate` if the hash is known or an earlier one of the run has it.
 

@@ -30,6 +30,20 @@ def progress(lines: DataFrame, order: str, line: str, total: int) -> DataFrame:
     return got.withColumn("remaining", F.greatest(F.lit(0).cast("long"), F.lit(total) - F.col("processed"))).withColumn("percent", F.least(F.lit(100.0), F.round(F.col("processed") / total * 100, 1)))
 
 
+def newest(spark: SparkSession, folder: str, pattern: str = "*.log") -> str | None:
+    """Path of the file changed last (ties to the larger path); null if there is none. Only names and times are read."""
+    f = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(folder).select("path", "modificationTime")
+    r = f.agg(F.max_by("path", F.struct("modificationTime", "path"))).first()
+    return r[0]
+
+
+def with_rate(p: DataFrame, seconds: float) -> DataFrame:
+    """Progress with rate a minute, seconds left (null without any progress) and state: failed beats finished beats running beats waiting."""
+    rate = F.when(F.lit(seconds > 0) & (F.col("processed") > 0), F.col("processed") / F.lit(max(seconds, 1e-9)) * 60)
+    state = F.when((F.col("errors") > 0) & (F.col("errors") == F.col("processed")), "failed").when(F.col("remaining") == 0, "finished").when(F.col("processed") > 0, "running").otherwise("waiting")
+    return p.withColumn("per_minute", F.round(rate, 2)).withColumn("seconds_left", F.round(F.col("remaining") / rate * 60, 0)).withColumn("state", state)
+
+
 def duration(seconds: float | None) -> str:
     if seconds is None:
         return "unknown"

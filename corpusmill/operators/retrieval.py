@@ -140,3 +140,31 @@ def answer_text(question: str, stats: dict | None, evidence: list[dict]) -> str:
         lines.append(f"Range: {stats['min_v']:g} to {stats['max_v']:g}, median {stats['median_v']:g}")
     lines += [f"[{i + 1}] {e.get('title') or ''} {e.get('doi') or ''} p.{e.get('page_number') or '?'}: {e.get('evidence_text') or ''}" for i, e in enumerate(evidence)]
     return "\n".join(lines)
+
+
+def fact_record(facts: DataFrame) -> DataFrame:
+    """The facts as records of an answer: label of material and property, value with unit, place, and the evidence tidied."""
+    c = F.col
+    unit = F.coalesce(F.concat(F.lit(" "), T.nonempty(F.trim("unit"))), F.lit(""))
+    return facts.select(
+        "fact_id", F.concat_ws(" ", T.nonempty(F.trim("material")), c("property_name")).alias("label"), F.when(c("value").isNotNull(), F.concat(F.format_string("%.4g", c("value")), unit)).alias("reading"),
+        F.concat_ws(", ", "title", F.concat(F.lit("p. "), c("page_number").cast("string"))).alias("place"), T.strip(F.regexp_replace(F.coalesce("evidence_text", F.lit("")), r"\s+", " ")).alias("evidence"),
+    )
+
+
+def model_prompt(question: str, evidence: list[dict]) -> str:
+    """What a model is asked: the question and the numbered evidence, which it must cite and not go beyond."""
+    lines = [f"[{i}] {e.get('title') or ''} {e.get('doi') or ''} p.{e.get('page_number') or '?'}: {e.get('evidence_text') or ''}" for i, e in enumerate(evidence, 1)]
+    return "Answer from the numbered evidence alone and cite it as [n]. Say so if it doesn't answer the question.\n" + f"Question: {question}\n" + "\n".join(lines)
+
+
+def model_answer(question: str, stats: dict | None, evidence: list[dict], call=None) -> dict:
+    """The answer of a model (an injected callable, prompt -> text) where there is one and evidence, else the plain one; a model that fails or says nothing leaves the plain answer and its error."""
+    plain = answer_text(question, stats, evidence)
+    if call is None or not stats or not stats.get("facts"):
+        return {"answer": plain, "by": "rules", "error": None}
+    try:
+        said = (call(model_prompt(question, evidence)) or "").strip()
+    except Exception as e:  # noqa: BLE001
+        return {"answer": plain, "by": "rules", "error": str(e)[:300]}
+    return {"answer": said, "by": "model", "error": None} if said else {"answer": plain, "by": "rules", "error": "empty answer"}

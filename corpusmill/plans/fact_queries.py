@@ -95,11 +95,11 @@ def credible_stack(s, d):
 
 def measurement_state(s, d):
     w, e = facts.measurement_state(F.col("evidence_text"), F.col("property_name"))
-    return _facts(s, d).select("fact_id", w.alias("wake_up_state"), e.alias("endurance_state"))
+    return t(s, d, "fact_hits", "fact_id", "evidence_text", "property_name").select("fact_id", w.alias("wake_up_state"), e.alias("endurance_state")).distinct()  # copies are dropped from the narrow rows
 
 
 def ontology_context(s, d):
-    return _context(s, d).select("fact_id", "score", "quality", "comparison_ready", F.array_join("missing", ",").alias("missing"), "process_summary")
+    return facts.with_context(t(s, d, "fact_hits", "fact_id", "evidence_text")).select("fact_id", "score", "quality", "comparison_ready", F.array_join("missing", ",").alias("missing"), "process_summary").distinct()
 
 
 def relation_completion(s, d):
@@ -141,7 +141,13 @@ def graph_neighbors(s, d):
 
 
 def graph_layout(s, d):
-    return graph.layout(graph.nodes(_context(s, d)))
+    return graph.layout(graph.nodes(_context(s, d))).withColumn("y", F.round("y", 4))
+
+
+def graph_search(s, d):
+    """Nodes that hold the words asked for, by type, with their neighbours' number: what a graph view looks up."""
+    c = _context(s, d)
+    return graph.search(graph.nodes(c), graph.edges(c), "hfo2", ["HafniaMaterial", "ThinFilmSample"])
 
 
 def quality_counts(s, d):
@@ -153,36 +159,43 @@ def quality_counts(s, d):
 
 
 def domain_anomalies(s, d):
-    return facts.anomalies(_facts(s, d))
+    return facts.anomalies(t(s, d, "fact_hits", "fact_id", "property_name", "value", "evidence_text")).distinct()
 
 
 def missing_trace(s, d):
-    return _facts(s, d).where((F.trim(F.coalesce("evidence_text", F.lit(""))) == "") | F.col("page_number").isNull() | F.col("paper_id").isNull()).select("fact_id", F.col("page_number").isNull().alias("no_page"), F.col("paper_id").isNull().alias("no_paper"))
+    f = t(s, d, "fact_hits", "fact_id", "evidence_text", "page_number", "paper_id")
+    return f.where((F.trim(F.coalesce("evidence_text", F.lit(""))) == "") | F.col("page_number").isNull() | F.col("paper_id").isNull()).select("fact_id", F.col("page_number").isNull().alias("no_page"), F.col("paper_id").isNull().alias("no_paper")).distinct()
 
 
 def range_stats(s, d):
-    return facts.range_stats(_facts(s, d), ["property_name", "context_quality"])
+    return facts.range_stats(t(s, d, "fact_hits", "fact_id", "property_name", "context_quality", "value", "unit").distinct(), ["property_name", "context_quality"])
+
+
+def _checks(s, d):
+    """The validators' rows; the copies of facts are dropped from these narrow rows, not from the texts."""
+    f = t(s, d, "fact_hits", "fact_id", "paper_id", "page_number", "material", "material_family", "property_name", "value", "unit", "evidence_text", "context_quality")
+    return facts.checks_long(f).distinct()
 
 
 def mv_details(s, d):
-    return facts.checks_long(_facts(s, d))
+    return _checks(s, d)
 
 
 def mv_summary(s, d):
-    m = facts.checks_long(_facts(s, d))
+    m = _checks(s, d)
     share = F.round(F.avg((F.col("verdict") == "valid").cast("double")), 6)
     return m.groupBy("model").agg(F.count(F.lit(1)).alias("n"), *[F.count_if(F.col("verdict") == v).alias(v) for v in ("valid", "needs_check", "reject")], share.alias("valid_share"), F.round(F.avg("confidence"), 4).alias("mean_confidence"))
 
 
 def mv_ensemble(s, d):
     """The ensemble's verdict on each fact, with the votes of the three models."""
-    m = facts.checks_long(_facts(s, d))
+    m = _checks(s, d)
     e = lambda c: F.max(F.when(F.col("model") == "ensemble", F.col(c))).alias(c)
     return m.groupBy("fact_id").agg(F.count_if((F.col("verdict") == "valid") & (F.col("model") != "ensemble")).alias("votes"), e("verdict"), e("confidence"), e("issues"))
 
 
 def mv_top_issues(s, d):
-    m = facts.checks_long(_facts(s, d)).where("issues <> ''").select("model", F.explode(F.split("issues", ";")).alias("issue"))
+    m = _checks(s, d).where("issues <> ''").select("model", F.explode(F.split("issues", ";")).alias("issue"))
     n = m.groupBy("model", "issue").agg(F.count(F.lit(1)).alias("n"))
     from pyspark.sql import Window
 
@@ -192,7 +205,7 @@ def mv_top_issues(s, d):
 def fact_papers(s, d):
     """Facts with their paper, orphans kept: what review lists and graphs join."""
     p = t(s, d, "papers", "paper_id", "doi", "year")
-    return _facts(s, d).select("fact_id", "paper_id").join(p, "paper_id", "left").select("fact_id", "paper_id", T.resolver_doi(F.col("doi")).alias("doi"), "year")
+    return t(s, d, "fact_hits", "fact_id", "paper_id").distinct().join(p, "paper_id", "left").select("fact_id", "paper_id", T.resolver_doi(F.col("doi")).alias("doi"), "year")
 
 
 def p5_found(s, d):
@@ -212,7 +225,7 @@ def p5_defaulted(s, d):
     return u.select("fact_id", "property_name", "unit_used", "common_unit", F.format_string("%.6e", F.col("common_number")).alias("common_number"))
 
 
-QUERIES = {f.__name__: f for f in (p5_found, p5_values, p5_defaulted, unit_normalize, property_alias, material_normalize, property_normalize, parse_numeric, safe_float, unit_guard, extract_properties, extract_materials, extract_phases, extract_devices, extract_samples, extract_mentions, extract_stats, evidence_window, credible_stack, measurement_state, ontology_context, relation_completion, enrich_stats, kg_nodes, kg_edges, kg_triples, graph_summary, graph_neighbors, graph_layout, quality_counts, domain_anomalies, missing_trace, range_stats, mv_details, mv_summary, mv_ensemble, mv_top_issues, fact_papers)}
+QUERIES = {f.__name__: f for f in (p5_found, p5_values, p5_defaulted, unit_normalize, property_alias, material_normalize, property_normalize, parse_numeric, safe_float, unit_guard, extract_properties, extract_materials, extract_phases, extract_devices, extract_samples, extract_mentions, extract_stats, evidence_window, credible_stack, measurement_state, ontology_context, relation_completion, enrich_stats, kg_nodes, kg_edges, kg_triples, graph_summary, graph_neighbors, graph_layout, graph_search, quality_counts, domain_anomalies, missing_trace, range_stats, mv_details, mv_summary, mv_ensemble, mv_top_issues, fact_papers)}
 
 
 # SQL
@@ -348,6 +361,8 @@ SQL = {
     "kg_triples": f"WITH {_F}, {_SAMPLE}, {_GRAPH} SELECT source AS head, type AS relation, target AS tail FROM edges",
     "graph_summary": f"WITH {_F}, {_SAMPLE}, {_GRAPH} SELECT 'node' AS kind, type, count(*) AS n FROM nodes GROUP BY type UNION ALL SELECT 'edge', type, count(*) FROM edges GROUP BY type",
     "graph_neighbors": f"WITH {_F}, {_SAMPLE}, {_GRAPH} SELECT node, neighbour, count(*) AS n FROM (SELECT source AS node, target AS neighbour FROM edges UNION ALL SELECT target, source FROM edges) GROUP BY 1, 2",
+    "graph_layout": f"WITH {_F}, {_SAMPLE}, {_GRAPH}, rk AS (SELECT id, type, row_number() OVER (PARTITION BY type ORDER BY id) - 1 AS rank, count(*) OVER (PARTITION BY type) AS total FROM nodes), z AS (SELECT *, CASE WHEN total < 500 THEN 24 ELSE 16 END AS gap, list_sum(list_transform(range(1, length(id) + 1), lambda i: unicode(substr(id, i, 1)) * i)) % 1000 / 1000.0 - 0.5 AS shift FROM rk) SELECT id, type, CAST(coalesce(list_position([{', '.join(q(c) for c in graph.COLUMNS)}], type), 0) * 220 AS DOUBLE) AS x, round(CAST(rank * gap - total * gap / 2.0 + shift * 10 AS DOUBLE), 4) AS y FROM z",
+    "graph_search": f"WITH {_F}, {_SAMPLE}, {_GRAPH}, h AS (SELECT id, type, label FROM nodes WHERE type IN ('HafniaMaterial', 'ThinFilmSample') AND (contains(lower(id), 'hfo2') OR contains(lower(coalesce(label, '')), 'hfo2'))), b AS (SELECT DISTINCT source AS node, target AS nb FROM edges UNION SELECT DISTINCT target, source FROM edges) SELECT h.id, h.type, h.label, count(nb) AS neighbours FROM h LEFT JOIN b ON b.node = h.id GROUP BY ALL",
     "quality_counts": f"WITH {_F}, u AS (SELECT unnest(['property', 'property_unit', 'family', 'status']) AS dimension, unnest([property_name, property_name || ' | ' || coalesce(trim(unit), ''), nullif(trim(coalesce(material_family, '')), ''), review_status]) AS value FROM f) SELECT dimension, coalesce(value, 'unknown') AS value, count(*) AS n FROM u GROUP BY 1, 2",
     "domain_anomalies": f"WITH {_F} SELECT fact_id, property_name, value, reason FROM (SELECT fact_id, property_name, value, unnest([CASE WHEN property_name = 'remanent_polarization_Pr' AND regexp_matches(evidence_text, {q(V.TWO_PR)}) THEN 'evidence_mentions_2Pr' END, CASE WHEN {_V} < 0 THEN 'negative_value' END, CASE WHEN {_limit_sql('property_name', _V)} THEN 'above_limit' END]) AS reason FROM f) WHERE reason IS NOT NULL",
     "missing_trace": f"WITH {_F} SELECT fact_id, page_number IS NULL AS no_page, paper_id IS NULL AS no_paper FROM f WHERE trim(coalesce(evidence_text, '')) = '' OR page_number IS NULL OR paper_id IS NULL",

@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.operators import chunks, facts, files, graph, retrieval
+from corpusmill.operators import chunks, facts, files, graph, payloads, retrieval
 from corpusmill.sources import markdown, read_table, write_parquet
 
 
-def build(spark: SparkSession, folder: str, out: str, incremental: bool = False) -> dict[str, int]:
-    """Row counts by stage. `incremental` chunks only files that have none yet in the folder's document_chunks."""
+def build(spark: SparkSession, folder: str, out: str, incremental: bool = False, version: str = "rules-1") -> dict[str, int]:
+    """Row counts by stage. `incremental` chunks only files that have none yet in the folder's document_chunks, and extracts only from chunks without a
+    candidate of this version in its extraction_candidates."""
     pages = read_table(spark, folder, "parsed_pages", "page_id", "paper_id", "pdf_id", "page_number", "text")
     if incremental:
         pages = chunks.not_yet(pages, read_table(spark, folder, "document_chunks", "pdf_id"), ["pdf_id"])
@@ -21,9 +22,14 @@ def build(spark: SparkSession, folder: str, out: str, incremental: bool = False)
         counts[name] = spark.read.parquet(f"{out}/{name}").count()
     c = spark.read.parquet(f"{out}/chunks")
     high = c.where("is_high_value")
-    f = high.select("paper_id", "pdf_id", "chunk_id", "page_number", "text", F.posexplode(facts.properties(F.col("text"), with_sentence=True)).alias("place", "p"), facts.materials(F.col("text")).alias("m"))
-    name = F.coalesce(F.get("m", F.lit(0))["canonical_name"], F.lit("HfO2"))
-    fact = f.select(F.concat(F.lit("fact_"), F.substring(F.sha1(F.concat_ws(":", "chunk_id", F.col("place").cast("string"))), 1, 16)).alias("fact_id"), "paper_id", F.lit(None).cast("string").alias("title"), "page_number", name.alias("material"), "p.property_name", "p.value", "p.unit", F.col("p.evidence").alias("evidence_text"), "text")
+    todo = high
+    if incremental:
+        todo = payloads.pending(high, read_table(spark, folder, "extraction_candidates", "chunk_id", "version"), version)
+    write_parquet(payloads.candidates(todo, version), f"{out}/candidates")
+    cand = spark.read.parquet(f"{out}/candidates")
+    for status in ("extracted", "empty_result"):
+        counts[status] = cand.where(F.col("status") == status).count()
+    fact = payloads.facts_of(cand).join(high.select("chunk_id", "text"), "chunk_id").withColumn("title", F.lit(None).cast("string")).withColumn("material", F.coalesce("material", F.lit("HfO2"))).drop("sample", "phases", "devices")
     write_parquet(facts.with_context(fact, "text").drop("text"), f"{out}/facts")
     ctx = spark.read.parquet(f"{out}/facts")
     for name_, df in (("nodes", graph.nodes(ctx)), ("edges", graph.edges(ctx)), ("index", retrieval.index(high, "chunk_id", "text"))):
@@ -33,6 +39,14 @@ def build(spark: SparkSession, folder: str, out: str, incremental: bool = False)
     return counts
 
 
+def validation_report(spark: SparkSession, folder: str) -> str:
+    """The validators' summary, their most frequent issues and the schema's problems as a small report."""
+    from . import fact_queries, payload_queries
+
+    problems = payload_queries.schema_validate(spark, folder).groupBy("field", "reason").count().orderBy("field", "reason")
+    return markdown("Validation", {"models": fact_queries.mv_summary(spark, folder).orderBy("model"), "issues": fact_queries.mv_top_issues(spark, folder).orderBy("model", "rank"), "schema": problems})
+
+
 def report(spark: SparkSession, folder: str) -> str:
     from . import fact_queries, text_queries
 

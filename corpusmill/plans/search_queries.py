@@ -144,7 +144,7 @@ def recent_events(s, d):
 
 def progress_log(s, d):
     lines = t(s, d, "events", "event_id", "user_id").select("event_id", F.format_string("processed=%d candidates=%d llm_used=0 llm_failed=0 empty=%d errors=%d", F.col("event_id"), F.col("user_id"), F.col("event_id") % 7, F.col("event_id") % 3).alias("line"))
-    return logs.progress(lines, "event_id", "line", 20_000)
+    return logs.with_rate(logs.progress(lines, "event_id", "line", 20_000), 600.0)
 
 
 def ontology_nodes(s, d):
@@ -257,5 +257,5 @@ SQL = {
     "ontology_counts": f"SELECT {len(ontology.NODES)}::BIGINT AS n_nodes, {len(ontology.RELATIONS)}::BIGINT AS n_relations, {len({r for r, _, _ in ontology.RELATIONS})}::BIGINT AS n_names, {len({e for _, a, b in ontology.RELATIONS for e in (a, b)})}::BIGINT AS n_linked",
     "ontology_bundle": "SELECT * FROM (VALUES " + ", ".join(f"({q(n)}, sha256({q(c)}), {len(c)})" for n, c in ontology.bundle(ontology.default(), "1.0.0")) + ") t(file, checksum, chars)",
     "recent_events": "SELECT event_id, event_type, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events ORDER BY ts DESC, event_id DESC LIMIT 50",
-    "progress_log": "WITH l AS (SELECT max(event_id) AS processed FROM events), x AS (SELECT event_id AS processed, user_id AS candidates, event_id % 7 AS empty, event_id % 3 AS errors FROM events WHERE event_id = (SELECT processed FROM l)) SELECT processed, candidates, empty, errors, CAST(20000 - processed AS BIGINT) AS remaining, round(processed / 20000.0 * 100, 1)::DOUBLE AS percent FROM x",
+    "progress_log": "WITH l AS (SELECT max(event_id) AS processed FROM events), x AS (SELECT event_id AS processed, user_id AS candidates, event_id % 7 AS empty, event_id % 3 AS errors FROM events WHERE event_id = (SELECT processed FROM l)) SELECT processed, candidates, empty, errors, CAST(20000 - processed AS BIGINT) AS remaining, round(processed / 20000.0 * 100, 1)::DOUBLE AS percent, round(processed / 600.0::DOUBLE * 60, 2)::DOUBLE AS per_minute, round((20000 - processed) / (processed / 600.0::DOUBLE * 60) * 60, 0)::DOUBLE AS seconds_left, CASE WHEN errors > 0 AND errors = processed THEN 'failed' WHEN processed >= 20000 THEN 'finished' WHEN processed > 0 THEN 'running' ELSE 'waiting' END AS state FROM x",
 }

@@ -122,11 +122,11 @@ def pending_scan(s, d):
 
 
 def split_text(s, d):
-    return t(s, d, "parsed_pages", "page_id", "text").select("page_id", F.posexplode(chunks.split_text(F.col("text"), 300, 520, 80)).alias("piece", "text"))
+    return t(s, d, "parsed_pages", "page_id", "text").select("page_id", F.posexplode(chunks.split_text(F.col("text"))).alias("piece", "text"))
 
 
 def chunk_documents(s, d):
-    return chunks.chunk_pages(t(s, d, "parsed_pages", "page_id", "paper_id", "pdf_id", "page_number", "text"), 300, 520, 80)
+    return chunks.chunk_pages(t(s, d, "parsed_pages", "page_id", "paper_id", "pdf_id", "page_number", "text"))
 
 
 def chunk_incremental(s, d):
@@ -212,7 +212,7 @@ def _fold(least: int, most: int, overlap: int) -> str:
     return f"list_reduce(list_prepend({{'done': CAST([] AS VARCHAR[]), 'cur': ''}}, list_transform({_PARTS}, lambda x: {{'done': CAST([] AS VARCHAR[]), 'cur': x}})), lambda a, p: {{'done': CASE WHEN a.cur = '' OR {fits} THEN a.done ELSE list_append(a.done, a.cur) END, 'cur': CASE WHEN a.cur = '' THEN p.cur WHEN {fits} THEN a.cur || chr(10) || p.cur WHEN {tail} = '' THEN p.cur ELSE {tail} || chr(10) || p.cur END}})"
 
 
-_CUT = f"WITH f AS (SELECT page_id, paper_id, pdf_id, page_number, {_fold(300, 520, 80)} AS r FROM parsed_pages), cut AS (SELECT page_id, paper_id, pdf_id, page_number, CASE WHEN r.cur = '' THEN r.done ELSE list_append(r.done, r.cur) END AS parts FROM f)"
+_CUT = f"WITH f AS (SELECT page_id, paper_id, pdf_id, page_number, {_fold(chunks.MIN_CHARS, chunks.MAX_CHARS, chunks.OVERLAP)} AS r FROM parsed_pages), cut AS (SELECT page_id, paper_id, pdf_id, page_number, CASE WHEN r.cur = '' THEN r.done ELSE list_append(r.done, r.cur) END AS parts FROM f)"
 _FLAGS = f"{{0}} AS contains_formula, {{1}} AS contains_hfo2_keyword, {{2}} AS contains_process_keyword, {{3}} AS contains_property_keyword, (({{1}}) OR ({{0}})) AND (({{2}}) OR ({{3}})) AS is_high_value".format(f"regexp_matches(text, {q(V.FORMULA)})", flag_sql("text", V.HFO2_KEYWORDS), flag_sql("text", V.PROCESS_KEYWORDS), flag_sql("text", V.PROPERTY_KEYWORDS))
 _WORDS = "CAST(greatest(1, len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> ''))) AS INT)"
 _SPACE = "regexp_replace(coalesce({0}, ''), '\\s+', ' ', 'g')"

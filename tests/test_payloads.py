@@ -168,3 +168,66 @@ def test_ontology_bundle_is_written_once(tmp_path):
     o = ontology.default()
     assert ontology.write_bundle(o, "1", str(tmp_path)) and not ontology.write_bundle(o, "2", str(tmp_path))
     assert json.loads((tmp_path / "version.json").read_text())["checksum"] == ontology.checksum(o)
+
+
+# catalog, logs, answers
+
+
+def test_root_settings_paths_and_catalog(spark, sf, tmp_path):
+    from corpusmill.sources import Catalog, Settings, doi_url, find_root, inside
+
+    (tmp_path / ".git").mkdir()
+    (tmp_path / "a" / "b").mkdir(parents=True)
+    assert find_root(tmp_path / "a" / "b") == tmp_path.resolve() and inside(tmp_path, "a/x.txt") == (tmp_path / "a" / "x.txt").resolve()
+    with pytest.raises(ValueError, match="leads out"):
+        inside(tmp_path, "../../etc/passwd")
+    assert Settings.load({"CORPUSMILL_USE_MODEL": "yes", "CORPUSMILL_MODEL_TIMEOUT_S": "5", "CORPUSMILL_DATA": " "}) == Settings(use_model=True, model_timeout_s=5)
+    assert doi_url(" 10.1/a b ") == "https://doi.org/10.1/a%20b"
+    c = Catalog(spark, sf)
+    assert "papers" in c.names() and c.table("papers", "paper_id").columns == ["paper_id"]
+    with pytest.raises(KeyError, match="no table nothing"):
+        c.table("nothing")
+
+
+def test_newest_log_rate_and_state(spark, tmp_path):
+    import os
+
+    from corpusmill.operators import logs
+
+    assert logs.newest(spark, str(tmp_path)) is None
+    for i, n in enumerate(("b.log", "a.log", "c.txt")):
+        (tmp_path / n).write_text("x")
+        os.utime(tmp_path / n, (1_000 + i, 1_000 + i))
+    assert logs.newest(spark, str(tmp_path)).endswith("a.log")
+    p = frame(spark, [(50, 0, 50), (0, 0, 100), (100, 1, 0), (3, 3, 97)], "processed long, errors long, remaining long")
+    assert [(r.per_minute, r.seconds_left, r.state) for r in logs.with_rate(p, 60.0).orderBy("remaining").collect()] == [(100.0, 0.0, "finished"), (50.0, 60.0, "running"), (3.0, 1940.0, "failed"), (None, None, "waiting")]
+
+
+def test_answers_by_model_and_without(spark):
+    from corpusmill.operators import retrieval
+
+    ev, st = [{"title": "T", "evidence_text": "2Pr of 40", "page_number": 3}], {"facts": 1, "numeric": 1, "min_v": 1.0, "max_v": 2.0, "median_v": 1.5}
+    seen = []
+    assert retrieval.model_answer("q?", st, ev, lambda p: seen.append(p) or "It is 40 [1].") == {"answer": "It is 40 [1].", "by": "model", "error": None} and "[1] T" in seen[0]
+    assert retrieval.model_answer("q?", st, ev, lambda p: 1 / 0)["by"] == "rules" and retrieval.model_answer("q?", st, ev, lambda p: " ")["error"] == "empty answer"
+    assert retrieval.model_answer("q?", None, [], lambda p: "made up")["answer"].startswith("No accepted evidence")
+    f = frame(spark, [("1", " HfO2 ", "band_gap", 5.5, "eV", "T", 3, "a  b\n c"), ("2", None, "band_gap", None, None, None, None, None)], "fact_id string, material string, property_name string, value double, unit string, title string, page_number int, evidence_text string")
+    assert [tuple(r) for r in retrieval.fact_record(f).orderBy("fact_id").collect()] == [("1", "HfO2 band_gap", "5.500 eV", "T, p. 3", "a b c"), ("2", "band_gap", None, "", "")]
+
+
+def test_titles_by_doi_are_looked_up_once(spark):
+    def lookup(doi):
+        if doi == "bad":
+            raise OSError("offline")
+        return f"title of {doi}"
+
+    got = literature.titles_by_doi(frame(spark, [("a",), ("a",), ("bad",), (None,)], "doi string"), lookup).collect()
+    assert sorted(map(tuple, got), key=str) == [("a", "title of a"), ("bad", None)]
+
+
+def test_edges_carry_their_ends(spark):
+    node = frame(spark, [("a", "Paper", "La"), ("b", "Device", "FTJ")], "id string, type string, label string")
+    edge = frame(spark, [("a", "b", "R"), ("a", "gone", "R")], "source string, target string, type string")
+    got = {r.target: r for r in graph.with_attributes(edge, node).collect()}
+    assert (got["b"].source_label, got["b"].target_type, got["gone"].target_type) == ("La", "Device", None)
+    assert [tuple(r) for r in graph.search(node, edge, "FTJ", ["Device"]).collect()] == [("b", "Device", "FTJ", 1)]
