@@ -145,13 +145,14 @@ def _part(c: str) -> Column:
     return F.pmod(F.xxhash64(c), F.lit(PARTS)).cast("int")
 
 
-_FILES = "file string, vec array<int>, class string, load int"
+#: no: a file's number in the store, in the order of loads and, within a load, of names. Cells hold numbers, which shuffle in a fifth of the bytes of names.
+_FILES = "no long, file string, vec array<int>, class long, load int"
 
 
 def _postings(files: DataFrame, *more: str) -> DataFrame:
-    """cell, file and further columns: a row for each filled coordinate."""
-    p = files.select("file", *more, F.posexplode("vec").alias("place", "value")).where(F.col("value") < _EMPTY)
-    return p.select((F.col("place").cast("long") * (1 << 31) + F.col("value")).alias("cell"), "file", *more)
+    """cell, no and further columns: a row for each filled coordinate."""
+    p = files.select("no", *more, F.posexplode("vec").alias("place", "value")).where(F.col("value") < _EMPTY)
+    return p.select((F.col("place").cast("long") * (1 << 31) + F.col("value")).alias("cell"), "no", *more)
 
 
 class Store:
@@ -175,7 +176,7 @@ class Store:
         if {k: v for k, v in meta.items() if k != "buckets"} != {k: v for k, v in mine.items() if k != "buckets"}:
             raise ValueError(f"the store in {folder} was made with other settings: {meta}")
         self = cls(spark, folder, meta["buckets"])
-        for table, columns, key in (("cells", "cell long, class string, file string, load int", "cell"), ("keys", "kind string, key string, file string, load int", "key")):
+        for table, columns, key in (("cells", "cell long, class long, no long, load int", "cell"), ("keys", "kind string, key string, file string, load int", "key")):
             spark.sql(f"CREATE TABLE IF NOT EXISTS {self.name}_{table} ({columns}) USING parquet CLUSTERED BY ({key}) INTO {self.buckets} BUCKETS LOCATION '{folder}/{table}'")
         return self
 
@@ -229,19 +230,19 @@ class Store:
         return links, owners.where("new").select("kind", "key", F.col("owner").alias("file"))
 
     def _verify(self, pairs: DataFrame, load: int) -> DataFrame:
-        """The pairs a, b (b of the load, a of it or of history; a written table) whose five-word sets have the similarity; only the parts that hold a candidate are read."""
-        files = pairs.select(F.col("a").alias("file"), F.coalesce("load_a", F.lit(load)).alias("load")).union(pairs.select("b", F.lit(load))).distinct().withColumn("part", _part("file"))
+        """The pairs a, b (numbers, with their names file_a and file_b; b of the load, a of it or of history; a written table) whose five-word sets have the similarity; only the parts that hold a candidate are read."""
+        files = pairs.select(F.col("file_a").alias("file"), F.coalesce("load_a", F.lit(load)).alias("load")).union(pairs.select("file_b", F.lit(load))).distinct().withColumn("part", _part("file"))
         places = files.select("load", "part").distinct().collect()  # at most loads times PARTS
         if not places:
-            return self.spark.createDataFrame([], "a string, b string")
+            return self.spark.createDataFrame([], "a long, b long")
         pages = self.spark.read.schema("file string, shingles array<int>").parquet(*sorted(f"{self.folder}/vectors/load={n}/part={p}" for n, p in places))
         sets = pages.join(files.select("file").distinct(), "file").groupBy("file").agg(F.array_distinct(F.flatten(F.collect_list("shingles"))).alias("s"))
-        left = sets.select(F.col("file").alias("a"), F.col("s").alias("sa")).join(pairs.select("a", "b").distinct(), "a")
-        both = left.join(sets.select(F.col("file").alias("b"), F.col("s").alias("sb")), "b").withColumn("n", F.size(F.array_intersect("sa", "sb")))
+        left = sets.select(F.col("file").alias("file_a"), F.col("s").alias("sa")).join(pairs.select("a", "b", "file_a", "file_b").distinct(), "file_a")
+        both = left.join(sets.select(F.col("file").alias("file_b"), F.col("s").alias("sb")), "file_b").withColumn("n", F.size(F.array_intersect("sa", "sb")))
         return both.where(F.col("n") >= SIMILARITY * (F.size("sa") + F.size("sb") - F.col("n"))).select("a", "b")
 
     def _probes(self, fresh: DataFrame, counts: DataFrame) -> DataFrame:
-        """cell, file: the cells that each new file probes: all of its own but the SKIP longest of the hot ones."""
+        """cell, no: the cells that each new file probes: all of its own but the SKIP longest of the hot ones."""
         hot = counts.where(F.col("n") >= HOT).orderBy(F.desc("n"), "cell").limit(HOT_CELLS).collect()
         if not hot:
             return _postings(fresh)
@@ -256,30 +257,32 @@ class Store:
                 out.append([c for c in own if c not in left_out])
             return pd.Series(out, dtype=object)
 
-        return fresh.select("file", F.explode(probed("vec")).alias("cell")).select("cell", "file")
+        return fresh.select("no", F.explode(probed("vec")).alias("cell")).select("cell", "no")
 
     def _near(self, fresh: DataFrame, load: int, old: list[int]) -> tuple[DataFrame, DataFrame]:
-        """(links a, b of near text; file, class of the new files). fresh: a written table of file, vec."""
+        """(links a, b of near text; no, class of the new files). fresh: a written table of no, file, vec."""
         mine = _postings(fresh)
-        here = mine.groupBy("cell").agg(F.count(F.lit(1)).alias("n"))
-        sums = here.agg(F.sum(F.col("n") * (F.col("n") - 1) / 2), F.sum("n")).first()
-        counts = here.select("cell", "n").unionByName(self._table("cells").groupBy("cell").agg(F.count(F.lit(1)).alias("n"))).groupBy("cell").agg(F.sum("n").alias("n"))
+        here = through_table(mine.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "cells")
+        pairs = here.agg(F.sum(F.col("n") * (F.col("n") - 1) / 2)).first()[0] or 0
+        counts = here.unionByName(self._table("cells").groupBy("cell").agg(F.count(F.lit(1)).alias("n")).where("n > 1")).groupBy("cell").agg(F.sum("n").alias("n"))
         probes = through_table(self._probes(fresh, counts), "probes")
-        history = self._table("cells").select("cell", "class", F.col("file").alias("a"), F.col("load").alias("load_a"))
+        history = self._table("cells").select("cell", "class", F.col("no").alias("a"), F.col("load").alias("load_a"))
         none = F.lit(None).cast("int").alias("load_a")
-        links, classes = None, fresh.select("file", F.col("file").alias("class"))
-        long_cells = sums[1] is not None and sums[0] > LONG * sums[1]
-        for turn in ("first", "all") if long_cells else ("all",):
+        links, classes = None, fresh.select("no", F.col("no").alias("class"))
+        turns = ("first", "all") if pairs > LONG * max(1, probes.count()) else ("all",)
+        for turn in turns:
             if turn == "first":  # one file a cell, so that a group of near copies is one class before all classes are compared
-                lists = mine.groupBy("cell").agg(F.min("file").alias("a")).select("cell", F.col("a").alias("class"), "a", none)
+                lists = mine.groupBy("cell").agg(F.min("no").alias("a")).select("cell", F.col("a").alias("class"), "a", none)
             else:
-                listed = mine.withColumn("class", F.col("file")) if links is None else mine.join(classes, "file")
-                lists = listed.groupBy("cell", "class").agg(F.min("file").alias("a")).select("cell", "class", "a", none).unionByName(history)
-            q = probes.withColumn("own", F.col("file")) if links is None else probes.join(classes.withColumnRenamed("class", "own"), "file")
-            met = q.select("cell", F.col("file").alias("b"), "own").join(lists, "cell").where("class <> own and a <> b and (load_a is not null or a < b)")
+                # a cell that one new file has alone can't bring two of the load together, so it isn't listed
+                shared = mine.join(here.select("cell"), "cell")
+                listed = shared.withColumn("class", F.col("no")) if links is None else shared.join(classes, "no")
+                lists = listed.groupBy("cell", "class").agg(F.min("no").alias("a")).select("cell", "class", "a", none).unionByName(history)
+            q = probes.withColumn("own", F.col("no")) if links is None else probes.join(classes.withColumnRenamed("class", "own"), "no")
+            met = q.select("cell", F.col("no").alias("b"), "own").join(lists, "cell").where("class <> own and a <> b and (load_a is not null or a < b)")
             # the members of a class that were met, and in how many cells the class was (a cell lists it once): at least as many as any member agrees in
             agreed = met.groupBy("b", "class", "a", "load_a").agg(F.count(F.lit(1)).alias("n")).groupBy("b", "class").agg(F.sum("n").alias("n"), F.collect_list(F.struct("a", "load_a")).alias("as")).where(F.col("n") >= AGREE - SKIP)
-            cand = through_table(agreed.select("b", "class", F.explode("as").alias("x")).select("b", "class", "x.a", "x.load_a"), "met")
+            cand = through_table(self._named(agreed.select("b", "class", F.explode("as").alias("x")).select("b", "class", "x.a", "x.load_a"), fresh, old), "met")
             found = through_table(self._verify(cand, load), "near")
             if turn == "all":
                 further = self._members(cand, found, fresh, classes, load, old)
@@ -290,24 +293,29 @@ class Store:
                 classes = through_table(classes, "classes")
         return links, classes
 
+    def _named(self, pairs: DataFrame, fresh: DataFrame, old: list[int]) -> DataFrame:
+        """The pairs a, b with the names of their files."""
+        names = fresh.select("no", "file").unionByName(self.files(old).select("no", "file"))
+        return pairs.join(names.select(F.col("no").alias("a"), F.col("file").alias("file_a")), "a").join(fresh.select(F.col("no").alias("b"), F.col("file").alias("file_b")), "b")
+
     def _members(self, cand: DataFrame, found: DataFrame, fresh: DataFrame, classes: DataFrame, load: int, old: list[int]) -> DataFrame | None:
         """Links to further members of the classes that agree with a file although no member met is near it; null if there is no such class."""
-        filed = classes.select("file", "class", F.lit(None).cast("int").alias("load")).unionByName(self.files(old).select("file", "class", "load"))
+        filed = classes.select("no", "class", F.lit(None).cast("int").alias("load")).unionByName(self.files(old).select("no", "class", "load"))
         near = cand.join(found, ["a", "b"], "left_semi").select("b", "class").distinct()
-        open_ = cand.select("b", "class").distinct().join(near, ["b", "class"], "left_anti").join(filed.where("file <> class").select("class").distinct(), "class", "left_semi")
+        open_ = cand.select("b", "class").distinct().join(near, ["b", "class"], "left_anti").join(filed.where("no <> class").select("class").distinct(), "class", "left_semi")
         if open_.isEmpty():
             return None
-        m = filed.select(F.col("file").alias("a"), "class", F.col("load").alias("load_a")).join(open_, "class").where("load_a is not null or a < b").join(cand.select("a", "b"), ["a", "b"], "left_anti")
-        vecs = fresh.select("file", "vec").unionByName(self.files(old).select("file", "vec"))
-        m = m.join(vecs.select(F.col("file").alias("a"), F.col("vec").alias("va")), "a").join(fresh.select(F.col("file").alias("b"), F.col("vec").alias("vb")), "b")
+        m = filed.select(F.col("no").alias("a"), "class", F.col("load").alias("load_a")).join(open_, "class").where("load_a is not null or a < b").join(cand.select("a", "b"), ["a", "b"], "left_anti")
+        vecs = fresh.select("no", "vec").unionByName(self.files(old).select("no", "vec"))
+        m = m.join(vecs.select(F.col("no").alias("a"), F.col("vec").alias("va")), "a").join(fresh.select(F.col("no").alias("b"), F.col("vec").alias("vb")), "b")
         same = F.aggregate(F.zip_with("va", "vb", lambda x, y: F.when((x == y) & (x < _EMPTY), 1).otherwise(0)), F.lit(0), lambda s, x: s + x)
-        return self._verify(through_table(m.where(same >= AGREE).select("a", "b", "load_a").distinct(), "members"), load)
+        return self._verify(through_table(self._named(m.where(same >= AGREE).select("a", "b", "load_a").distinct(), fresh, old), "members"), load)
 
     def _classes(self, fresh: DataFrame, links: DataFrame, old: list[int]) -> DataFrame:
-        """file, class: the least class of what a new file is linked to (history's classes before the batch's identifiers), else its own."""
-        of_old = self.files(old).select(F.col("file").alias("a"), "class").join(links.select("a").distinct(), "a", "left_semi")
-        to = links.join(of_old, "a", "left").groupBy(F.col("b").alias("file")).agg(F.min(F.struct(F.col("class").isNull().alias("new"), F.coalesce("class", "a").alias("class")))["class"].alias("class"))
-        return fresh.select("file").join(to, "file", "left").select("file", F.coalesce("class", "file").alias("class"))
+        """no, class: the least class of what a new file is linked to (numbers of history are less than the load's), else its own number."""
+        of_old = self.files(old).select(F.col("no").alias("a"), "class").join(links.select("a").distinct(), "a", "left_semi")
+        to = links.join(of_old, "a", "left").groupBy(F.col("b").alias("no")).agg(F.min(F.coalesce("class", "a")).alias("class"))
+        return fresh.select("no").join(to, "no", "left").select("no", F.coalesce("class", "no").alias("class"))
 
     def ingest(self, batches: list[int], signed: DataFrame, keys: DataFrame) -> None:
         """Check a load (a batch, or several that waited) against everything accepted, then append it.
@@ -321,17 +329,18 @@ class Store:
         self.leftover = [n for n in self._loads_in("vectors") if n not in old]
         now = F.lit(load).alias("load")
         signed.select("file", "shingles", _part("file").alias("part")).where(F.size("shingles") > 0).sortWithinPartitions("part").write.mode("overwrite").partitionBy("part").parquet(f"{self.folder}/vectors/load={load}")
-        files = through_table(file_vectors(signed, "file"), "vecs")
+        ordered = file_vectors(signed, "file").repartitionByRange("file").sortWithinPartitions("file")
+        files = through_table(ordered.withColumn("no", F.lit(load).cast("long") * (1 << 50) + F.monotonically_increasing_id()), "vecs")  # written, so the numbers stay
         exact, owners = self._key_links(keys.select("file", "kind", "key").unionByName(files.where("text_key is not null").select("file", F.lit("text").alias("kind"), F.col("text_key").alias("key"))).distinct())
-        fresh = files.select("file", "vec").join(exact.where("kind = 'text'").select(F.col("b").alias("file")), "file", "left_anti")
+        fresh = files.select("no", "file", "vec").join(exact.where("kind = 'text'").select(F.col("b").alias("file")), "file", "left_anti")
         near, classes = self._near(fresh, load, old)
-        fresh.join(classes, "file").select("file", "vec", "class").write.mode("overwrite").parquet(f"{self.folder}/files/load={load}")
+        fresh.join(classes, "no").select("no", "file", "vec", "class").write.mode("overwrite").parquet(f"{self.folder}/files/load={load}")
         filed = self._loaded("files", _FILES, [load])
-        cells = _postings(filed, "class").groupBy("cell", "class").agg(F.min("file").alias("file")).join(self._table("cells").select("cell", "class"), ["cell", "class"], "left_anti")
-        links = exact.select("a", "b", "kind").unionByName(near.select("a", "b", F.lit("near").alias("kind")))
+        cells = _postings(filed, "class").groupBy("cell", "class").agg(F.min("no").alias("no")).join(self._table("cells").select("cell", "class"), ["cell", "class"], "left_anti")
+        links = exact.select("a", "b", "kind").unionByName(self._named(near, fresh, old).select(F.col("file_a").alias("a"), F.col("file_b").alias("b"), F.lit("near").alias("kind")))
         with ThreadPoolExecutor(3) as pool:  # three writes that don't depend on one another
             writes = [
-                pool.submit(self._append, cells.select("cell", "class", "file", now), "cells", "cell"), pool.submit(self._append, owners.select("kind", "key", "file", now), "keys", "key"),
+                pool.submit(self._append, cells.select("cell", "class", "no", now), "cells", "cell"), pool.submit(self._append, owners.select("kind", "key", "file", now), "keys", "key"),
                 pool.submit(links.write.mode("overwrite").parquet, f"{self.folder}/links/load={load}"),
             ]
             for w in writes:
