@@ -36,3 +36,14 @@ def test_no_targets_and_no_documents(spark):
 def test_rates_project():
     r = mixing.rate_of(np.array([[1.0, 0.0], [0.5, 0.5]]), np.array([2.0, 1.0]), np.array([[5.0, 0.0], [-9.0, 0.0]]))
     assert r.tolist() == [0.0, 0.0] and mixing.rate_of(np.eye(2), np.array([0.0, 3.0]), np.zeros((0, 2))).tolist() == [0.0, 1.0]
+
+
+def test_long_texts_are_sampled_whole_and_too_many_sources_refused(spark, monkeypatch):
+    long_a, long_b = "steel beam carries load " * 2_000, "poem about the moon " * 2_000
+    rows = [(i, long_a if i % 2 else long_b, "works-a" if i % 2 else "works-b") for i in range(12)] + [(100, "a beam of steel", None), (101, "the moon, a poem", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    targets = spark.createDataFrame([("works-a", 0.5, 2), ("works-b", 0.5, 2)], "source string, target_share double, max_repeats int")
+    assert {r.doc_id: r.source for r in mixing.mixed(docs, targets).where("doc_id >= 100").collect()} == {100: "works-a", 101: "works-b"}
+    monkeypatch.setattr(mixing, "MAX_SOURCES", 1)
+    with pytest.raises(ValueError, match="more than 1"):
+        mixing.mixed(docs, targets)
