@@ -33,7 +33,6 @@ import hashlib
 import json
 import re
 import zlib
-from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pandas as pd
@@ -114,10 +113,10 @@ _PAGE = "pdf_id string, batch_no int, low array<int>, shingles array<int>, words
 
 def _page_signatures(batches):
     cache: dict[str, int] = {}
-    for b in batches:
+    for b in (whole.iloc[i : i + 1_000] for whole in batches for i in range(0, len(whole), 1_000)):
         got = [page_signature(t, cache) for t in b["text"]]
         marks = np.array([np.frombuffer(hashlib.blake2b(g[1].tobytes(), digest_size=16).digest(), np.int64) if len(g[1]) else (0, 0) for g in got], np.int64).reshape(-1, 2)
-        yield pd.DataFrame({"pdf_id": b["pdf_id"], "batch_no": b["batch_no"], "low": [g[0] for g in got], "shingles": [g[1] for g in got], "words": [g[2] for g in got], "m1": marks[:, 0], "m2": marks[:, 1]})
+        yield pd.DataFrame({"pdf_id": b["pdf_id"].to_numpy(), "batch_no": b["batch_no"].to_numpy(), "low": [g[0] for g in got], "shingles": [g[1] for g in got], "words": [g[2] for g in got], "m1": marks[:, 0], "m2": marks[:, 1]})
 
 
 def page_signatures(files: DataFrame, pages: DataFrame) -> DataFrame:
@@ -145,7 +144,7 @@ def _part(c: str) -> Column:
     return F.pmod(F.xxhash64(c), F.lit(PARTS)).cast("int")
 
 
-#: no: a file's number in the store, in the order of loads and, within a load, of names. Cells hold numbers, which shuffle in a fifth of the bytes of names.
+#: no: a file's number in the store, in the order of loads and, within a load, in any order. Cells hold numbers, which shuffle in a fifth of the bytes of names.
 _FILES = "no long, file string, vec array<int>, class long, load int"
 
 
@@ -218,7 +217,7 @@ class Store:
         return self._loaded("files", _FILES, loads)
 
     def links(self) -> DataFrame:
-        """a (earlier), b, kind (hash, doi, text, near) of all accepted loads; files by the names given to `ingest`."""
+        """a (the lesser name), b, kind (hash, doi, text, near) of all accepted loads; files by the names given to `ingest`."""
         return self._loaded("links", "a string, b string, kind string, load int", self.loads())
 
     def _key_links(self, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -320,7 +319,7 @@ class Store:
     def ingest(self, batches: list[int], signed: DataFrame, keys: DataFrame) -> None:
         """Check a load (a batch, or several that waited) against everything accepted, then append it.
 
-        signed: file and the columns of `page_signatures`; keys: file, kind, key. `file` is the file's name in the store; among the files of one load the lesser name is the earlier."""
+        signed: file and the columns of `page_signatures`; keys: file, kind, key. `file` is the file's name in the store."""
         again = self.accepted() & set(batches)
         if again:
             raise ValueError(f"batches {sorted(again)} are accepted already")
@@ -329,22 +328,18 @@ class Store:
         self.leftover = [n for n in self._loads_in("vectors") if n not in old]
         now = F.lit(load).alias("load")
         signed.select("file", "shingles", _part("file").alias("part")).where(F.size("shingles") > 0).sortWithinPartitions("part").write.mode("overwrite").partitionBy("part").parquet(f"{self.folder}/vectors/load={load}")
-        ordered = file_vectors(signed, "file").repartitionByRange("file").sortWithinPartitions("file")
-        files = through_table(ordered.withColumn("no", F.lit(load).cast("long") * (1 << 50) + F.monotonically_increasing_id()), "vecs")  # written, so the numbers stay
+        files = through_table(file_vectors(signed, "file").withColumn("no", F.lit(load).cast("long") * (1 << 50) + F.monotonically_increasing_id()), "vecs")  # written, so the numbers stay
         exact, owners = self._key_links(keys.select("file", "kind", "key").unionByName(files.where("text_key is not null").select("file", F.lit("text").alias("kind"), F.col("text_key").alias("key"))).distinct())
         fresh = files.select("no", "file", "vec").join(exact.where("kind = 'text'").select(F.col("b").alias("file")), "file", "left_anti")
+        fresh = through_table(fresh, "fresh")  # read many times
         near, classes = self._near(fresh, load, old)
         fresh.join(classes, "no").select("no", "file", "vec", "class").write.mode("overwrite").parquet(f"{self.folder}/files/load={load}")
         filed = self._loaded("files", _FILES, [load])
         cells = _postings(filed, "class").groupBy("cell", "class").agg(F.min("no").alias("no")).join(self._table("cells").select("cell", "class"), ["cell", "class"], "left_anti")
-        links = exact.select("a", "b", "kind").unionByName(self._named(near, fresh, old).select(F.col("file_a").alias("a"), F.col("file_b").alias("b"), F.lit("near").alias("kind")))
-        with ThreadPoolExecutor(3) as pool:  # three writes that don't depend on one another
-            writes = [
-                pool.submit(self._append, cells.select("cell", "class", "no", now), "cells", "cell"), pool.submit(self._append, owners.select("kind", "key", "file", now), "keys", "key"),
-                pool.submit(links.write.mode("overwrite").parquet, f"{self.folder}/links/load={load}"),
-            ]
-            for w in writes:
-                w.result()
+        links = exact.select("a", "b", "kind").unionByName(self._named(near, fresh, old).select(F.least("file_a", "file_b").alias("a"), F.greatest("file_a", "file_b").alias("b"), F.lit("near").alias("kind")))
+        self._append(cells.select("cell", "class", "no", now), "cells", "cell")
+        self._append(owners.select("kind", "key", "file", now), "keys", "key")
+        links.write.mode("overwrite").parquet(f"{self.folder}/links/load={load}")
         self.spark.createDataFrame([(json.dumps(sorted(batches)),)], "value string").coalesce(1).write.mode("overwrite").text(f"{self.folder}/done/load={load}")
 
 
