@@ -329,3 +329,36 @@ def with_model(chunks: DataFrame, call, batch: int = 32) -> DataFrame:
 def json_object(c: Column) -> Column:
     """The JSON object inside a model's answer: from the first brace to the last."""
     return F.nullif(F.regexp_extract(c, r"(?s)\{.*\}", 0), F.lit(""))
+
+
+def validation_prompt(fact: dict) -> str:
+    """What a model is asked about a fact: whether it agrees with its evidence, as JSON with verdict, confidence and issues."""
+    import json as js
+
+    return "Does this fact agree with its evidence in value, unit, property and material? Answer with one JSON object with the keys verdict (valid, needs_check or reject), confidence (0 to 1) and issues (a list of texts).\n" + js.dumps(fact, ensure_ascii=False, sort_keys=True, default=str)
+
+
+def model_verdicts(facts: DataFrame, call=None, columns: tuple[str, ...] = ("material", "property_name", "value", "unit", "evidence_text")) -> DataFrame:
+    """fact_id, verdict, confidence, issues by a model (an injected callable, prompt -> text).
+
+    Without a callable, and where it fails or its answer can't be read, a fact gets needs_check with confidence 0 and the reason; an unknown verdict counts as needs_check, confidence is kept within 0 and 1."""
+
+    def run(batches):
+        for b in batches:
+            out = []
+            for row in b.to_dict("records"):
+                if call is None:
+                    out.append((row["fact_id"], None, "no model is configured"))
+                    continue
+                try:
+                    out.append((row["fact_id"], call(validation_prompt({c: row[c] for c in columns})), None))
+                except Exception as e:  # noqa: BLE001
+                    out.append((row["fact_id"], None, str(e)[:300]))
+            yield pd.DataFrame(out, columns=["fact_id", "answer", "error"])
+
+    got = spread(facts.select("fact_id", *columns)).mapInPandas(run, "fact_id string, answer string, error string")
+    j = got.select("fact_id", "error", F.explode(F.array(F.from_json(json_object(F.col("answer")), "struct<verdict:string,confidence:double,issues:array<string>>"))).alias("r"))
+    read = F.col("r.verdict").isNotNull() | F.col("r.confidence").isNotNull()
+    issues = F.when(F.col("error").isNotNull(), F.array("error")).when(~read, F.array(F.lit("unreadable answer"))).otherwise(F.coalesce("r.issues", F.array().cast("array<string>")))
+    verdict = F.when(F.col("r.verdict").isin("valid", "needs_check", "reject"), F.col("r.verdict")).otherwise("needs_check")
+    return j.select("fact_id", verdict.alias("verdict"), F.when(read, F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce("r.confidence", F.lit(0.5))))).otherwise(0.0).alias("confidence"), F.array_join(issues, ";").alias("issues"))

@@ -153,6 +153,15 @@ def evidence_of(item: Column, text: Column, *needles: Column) -> Column:
     return F.coalesce(*outs, tidy(F.substring(text, 1, 700)))
 
 
+def extraction_prompt(text: str) -> str:
+    """What a model is asked about a chunk: one JSON object in the schema's keys, with the sentence of each item."""
+    keys = {k: KEYS[k][0] for k in ("materials", "samples", "phases", "properties", "devices")}
+    return (
+        f"Extract what the text reports about ferroelectric hafnia. Answer with one JSON object with the lists {', '.join(keys.values())}. Properties have {KEYS['property_name'][0]} (one of {', '.join(V.PROPERTY_NAMES)}), value, unit and "
+        f"{KEYS['evidence'][0]}, the sentence that says it. Leave out what the text doesn't say.\n\n{text}"
+    )
+
+
 def coerce_payload(answers: DataFrame, json: str = "json", text: str = "text") -> DataFrame:
     """The answers with `payload`: a model's JSON object, whatever keys it uses for the same thing, single values for lists or texts for objects, brought into one form.
 

@@ -6,7 +6,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from corpusmill.operators import chunks, facts, files, graph, payloads, retrieval
-from corpusmill.sources import markdown, read_table, write_parquet
+from corpusmill.sources import markdown, read_table, write_csv, write_parquet
 
 
 def build(spark: SparkSession, folder: str, out: str, incremental: bool = False, version: str = "rules-1") -> dict[str, int]:
@@ -51,3 +51,22 @@ def report(spark: SparkSession, folder: str) -> str:
     from . import fact_queries, text_queries
 
     return markdown("Corpus", {"tables": text_queries.table_counts(spark, folder), "years": text_queries.corpus_summary(spark, folder).where("dimension = 'year'").orderBy("value"), "ranges": fact_queries.range_stats(spark, folder), "anomalies": fact_queries.domain_anomalies(spark, folder).groupBy("reason").count()})
+
+
+def export(spark: SparkSession, folder: str, out: str) -> list[str]:
+    """Write the graph, triples, title repairs and validators' tables as CSV folders and the two reports as Markdown files; their names."""
+    from pathlib import Path
+
+    from . import fact_queries, payload_queries
+
+    tables = {
+        "nodes": fact_queries.kg_nodes, "edges": fact_queries.kg_edges, "triples": fact_queries.kg_triples, "title_repair": payload_queries.title_best, "model_details": fact_queries.mv_details,
+        "model_summary": fact_queries.mv_summary, "schema_problems": payload_queries.schema_validate,
+    }
+    for name, query in tables.items():
+        write_csv(query(spark, folder), f"{out}/{name}.csv")
+    texts = {"corpus.md": report(spark, folder), "validation.md": validation_report(spark, folder)}
+    Path(out).mkdir(parents=True, exist_ok=True)
+    for name, text in texts.items():
+        (Path(out) / name).write_text(text, encoding="utf-8")
+    return sorted([f"{n}.csv" for n in tables] + list(texts))

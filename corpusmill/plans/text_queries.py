@@ -189,11 +189,11 @@ def manifest_upsert(s, d):
 
 
 def paper_metadata(s, d):
-    """Papers after parsing: a DOI, year or title found on the pages fills what is missing."""
-    p = t(s, d, "papers", "paper_id", "doi", "title", "year")
+    """Papers after parsing: DOI, year and type found on the pages take the place of older ones where there are any; titles stay."""
+    p = t(s, d, "papers", "paper_id", "doi", "title", "year", "paper_type", "is_review")
     found = doc_metadata(s, d).join(t(s, d, "pdf_files", "pdf_id", "paper_id").where("paper_id is not null"), "pdf_id")
-    new = found.groupBy("paper_id").agg(F.min("doi").alias("doi"), F.min("year").alias("year"))
-    return files.upsert(p, new, ["paper_id"], [], ["doi", "year"])
+    new = found.groupBy("paper_id").agg(*[F.min(c).alias(c) for c in ("doi", "year", "title", "paper_type")]).withColumn("is_review", F.col("paper_type") == "review")
+    return files.upsert(p, new, ["paper_id"], [], ["doi", "year", "paper_type", "is_review"])
 
 
 QUERIES = {f.__name__: f for f in (clean_text, dehyphenate, doi_extract, filename_meta, doc_metadata, paper_type, section_classify, keyword_flags, chunk_counts, page_quality, dedup_exact, manifest_stats, pending_scan, split_text, chunk_documents, chunk_incremental, table_normalize, clean_title, title_score, title_repair, distinct_counts, table_counts, corpus_summary, manifest_upsert, paper_metadata)}
@@ -243,5 +243,5 @@ SQL = {
     "table_counts": " UNION ALL ".join(f"SELECT '{n}' AS table_name, count(*) AS n FROM {n}" for n in TABLES),
     "corpus_summary": "SELECT dimension, value, count(*) AS n FROM (SELECT 'year' AS dimension, coalesce(CAST(nullif(year, 0) AS VARCHAR), 'unknown') AS value FROM papers " + " ".join(f"UNION ALL SELECT '{c}', coalesce({c}, 'unknown') FROM fact_hits" for c in ("review_status", "material_family", "property_name")) + ") GROUP BY 1, 2",
     "manifest_upsert": "WITH b AS (SELECT * FROM pdf_files WHERE batch_no <= 15), u AS (SELECT pdf_id, file_name, lower(sha256) AS sha256, file_size + 1 AS file_size FROM pdf_files WHERE batch_no >= 10) SELECT coalesce(b.pdf_id, u.pdf_id) AS pdf_id, coalesce(u.file_name, b.file_name) AS file_name, CASE WHEN u.pdf_id IS NULL THEN b.sha256 ELSE u.sha256 END AS sha256, CASE WHEN u.pdf_id IS NULL THEN b.file_size ELSE u.file_size END AS file_size, CASE WHEN b.pdf_id IS NULL THEN 'manifested' ELSE b.parse_status END AS parse_status FROM b FULL JOIN u ON b.pdf_id = u.pdf_id",
-    "paper_metadata": f"{_META}, n AS (SELECT f.paper_id, min(m.doi) AS doi, min(m.year) AS year FROM m JOIN pdf_files f USING (pdf_id) WHERE f.paper_id IS NOT NULL GROUP BY 1) SELECT coalesce(p.paper_id, n.paper_id) AS paper_id, coalesce(n.doi, p.doi) AS doi, p.title, coalesce(n.year, p.year) AS year FROM papers p FULL JOIN n ON p.paper_id = n.paper_id",
+    "paper_metadata": f"{_META}, n AS (SELECT f.paper_id, min(m.doi) AS doi, min(m.year) AS year, min(m.title) AS title, min(m.paper_type) AS paper_type FROM m JOIN pdf_files f USING (pdf_id) WHERE f.paper_id IS NOT NULL GROUP BY 1) SELECT coalesce(p.paper_id, n.paper_id) AS paper_id, coalesce(n.doi, p.doi) AS doi, CASE WHEN p.paper_id IS NULL THEN n.title ELSE p.title END AS title, coalesce(n.year, p.year) AS year, coalesce(n.paper_type, p.paper_type) AS paper_type, coalesce(n.paper_type = 'review', p.is_review) AS is_review FROM papers p FULL JOIN n ON p.paper_id = n.paper_id",
 }

@@ -231,3 +231,25 @@ def test_edges_carry_their_ends(spark):
     got = {r.target: r for r in graph.with_attributes(edge, node).collect()}
     assert (got["b"].source_label, got["b"].target_type, got["gone"].target_type) == ("La", "Device", None)
     assert [tuple(r) for r in graph.search(node, edge, "FTJ", ["Device"]).collect()] == [("b", "Device", "FTJ", 1)]
+
+
+def test_a_model_as_validator(spark):
+    f = frame(spark, [("1", "HfO2", "band_gap", 5.0, "eV", "text"), ("2", None, "band_gap", None, None, "fail"), ("3", None, None, None, None, "odd")], "fact_id string, material string, property_name string, value double, unit string, evidence_text string")
+
+    def call(prompt):
+        if '"fail"' in prompt:
+            raise TimeoutError("late")
+        return "no JSON" if '"odd"' in prompt else 'Sure: {"verdict": "valid", "confidence": 7, "issues": ["a", "b"]}'
+
+    assert [tuple(r) for r in facts.model_verdicts(f, call).orderBy("fact_id").collect()] == [("1", "valid", 1.0, "a;b"), ("2", "needs_check", 0.0, "late"), ("3", "needs_check", 0.0, "unreadable answer")]
+    assert {r.issues for r in facts.model_verdicts(f).collect()} == {"no model is configured"}
+    assert "band_gap" in payloads.extraction_prompt("some text") and payloads.extraction_prompt("some text").endswith("some text")
+
+
+def test_exports_and_reports(spark, sf, tmp_path):
+    from corpusmill.plans import pipeline
+
+    names = pipeline.export(spark, sf, str(tmp_path))
+    assert {"nodes.csv", "validation.md", "title_repair.csv"} <= set(names) and all((tmp_path / n).exists() for n in names)
+    head = next((tmp_path / "nodes.csv").glob("part-*")).read_text().splitlines()[0]
+    assert head == "id,type,label,n_facts" and "ensemble" in (tmp_path / "validation.md").read_text()
