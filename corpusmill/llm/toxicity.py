@@ -17,6 +17,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections import Counter
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -45,6 +46,21 @@ _EDGE = ".,;:!?()[]{}<>\"'“”‘’«»…|/\\-–—_#"
 _RUN = re.compile(r"(\w)\1{2,}")
 
 
+@lru_cache(200_000)
+def _normal(raw: str) -> tuple[str, bool]:
+    """The word's normal form ('' if only marks), and whether it's a single letter that may belong to a word set apart."""
+    t = raw.strip(_EDGE)
+    if not t:
+        return "", False
+    if len(t) == 1 and (t.isascii() and t.isalpha() or t in "@$013"):
+        return t.translate(LOOKALIKE) if not t.isalpha() else t, True
+    if any(c in "@$" for c in t) or re.fullmatch(r"[a-z013457'-]*[a-z][013457]+[a-z][a-z013457'-]*", t) or re.fullmatch(r"[013457][a-z]{2}[a-z013457]*[a-z]", t):
+        t = t.translate(LOOKALIKE)
+    else:
+        t = re.sub(r"\d+", "#", t)
+    return _RUN.sub(r"\1", t), False
+
+
 def tokens(text: str) -> list[str]:
     """Normalised words; digits become #, unless they stand for letters inside a word; CJK characters are words."""
     out: list[str] = []
@@ -58,19 +74,13 @@ def tokens(text: str) -> list[str]:
         single.clear()
 
     for raw in _TOKEN.findall(text.lower()):
-        t = raw.strip(_EDGE)
-        if not t:
-            continue
-        if len(t) == 1 and (t.isascii() and t.isalpha() or t in "@$013"):
-            single.append(t.translate(LOOKALIKE) if not t.isalpha() else t)
-            continue
-        if single:
-            flush()
-        if any(c in "@$" for c in t) or re.fullmatch(r"[a-z013457'-]*[a-z][013457]+[a-z][a-z013457'-]*", t) or re.fullmatch(r"[013457][a-z]{2}[a-z013457]*[a-z]", t):
-            t = t.translate(LOOKALIKE)
-        else:
-            t = re.sub(r"\d+", "#", t)
-        out.append(_RUN.sub(r"\1", t))
+        t, apart = _normal(raw)
+        if apart:
+            single.append(t)
+        elif t:
+            if single:
+                flush()
+            out.append(t)
     if single:
         flush()
     return out
@@ -124,6 +134,16 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 * (np.tanh(0.5 * x) + 1)
 
 
+def _sums(at: np.ndarray, rows: np.ndarray, size: int) -> np.ndarray:
+    """(size, columns): the rows summed by their place."""
+    out = np.zeros((size, rows.shape[1]), rows.dtype)
+    if len(at):
+        order = np.argsort(at, kind="stable")
+        places, starts = np.unique(at[order], return_index=True)
+        out[places] = np.add.reduceat(rows[order], starts)
+    return out
+
+
 class Net:
     """Bidirectional GRU with attention pooling; both directions run as one stacked array."""
 
@@ -195,14 +215,14 @@ class Net:
         da = (dp[:, None, :] * hs).sum(2)
         dhs = a[:, :, None] * dp[:, None, :]
         ds = a * (da - (a * da).sum(1, keepdims=True))
-        g["va"] = np.einsum("nt,nta->a", ds, e)
+        g["va"] = ds.reshape(-1) @ e.reshape(-1, ATT)
         de = ds[:, :, None] * p["va"] * (1 - e * e)
-        g["wa"] = np.einsum("nth,nta->ha", hs, de)
+        g["wa"] = hs.reshape(-1, 2 * HIDDEN).T @ de.reshape(-1, ATT)
         dhs = dhs + de @ p["wa"].T
         dst = np.stack([dhs[:, :, :HIDDEN], dhs[:, :, HIDDEN:]])  # 2, n, T, H
         dh = np.zeros_like(tape[0][0])
         g["u"] = np.zeros_like(p["u"])
-        dproj = np.zeros_like(proj)
+        dxs = np.zeros((2, WINDOW, len(win), 3 * HIDDEN), proj.dtype)  # in the order of the text
         for s in range(WINDOW - 1, -1, -1):
             h, z, r, hc, c, mk = tape[s]
             dh = dh + np.stack([dst[0][:, order[0, s]], dst[1][:, order[1, s]]])
@@ -214,15 +234,14 @@ class Net:
             dx = np.concatenate([daz, dar, dac], axis=2)
             g["u"] += h.transpose(0, 2, 1) @ dg
             for k in (0, 1):
-                np.add.at(dproj[k], at[:, order[k, s]], dx[k])
+                dxs[k, order[k, s]] = dx[k]
             dh = dh * (1 - mk) + dn * z + dg @ p["u"].transpose(0, 2, 1)
+        dproj = np.stack([_sums(at.T.reshape(-1), dxs[k].reshape(-1, 3 * HIDDEN), proj.shape[1]) for k in (0, 1)])
         g["b"] = dproj.sum(1, keepdims=True)
         g["wx"] = np.stack([vec.T @ dproj[0], vec.T @ dproj[1]])
         dvec = dproj[0] @ p["wx"][0].T + dproj[1] @ p["wx"][1].T
-        g["ew"] = np.zeros_like(p["ew"])
-        np.add.at(g["ew"], word, dvec[:, :D_WORD])
-        g["ec"] = np.zeros_like(p["ec"])
-        np.add.at(g["ec"], grams, np.repeat(dvec[:, D_WORD:] / ng[:, None], ng, axis=0))
+        g["ew"] = _sums(word, dvec[:, :D_WORD], len(p["ew"]))
+        g["ec"] = _sums(grams, np.repeat(dvec[:, D_WORD:] / ng[:, None], ng, axis=0), len(p["ec"]))
         g["ec"][BUCKETS] = 0
         self.t += 1
         for k, d in g.items():
