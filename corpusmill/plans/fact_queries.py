@@ -333,7 +333,19 @@ r AS (SELECT w.*, common_unit, dim = cd AS fits, canon = cc AND p = 0 AS same, C
 {final}"""
 
 
+def _mentions_sql() -> str:
+    """Each kind's matches with their places (from the lengths of the matches and of the pieces between) and sentences."""
+    kinds = [("material", n, p) for p, n, *_ in V.MATERIALS] + [("phase", n, p) for p, n, _ in V.PHASES] + [("property", n, p.replace("(?i)", "")) for n, p, *_ in V.PROPERTIES] + [("device", d, rf"\b{d}\b") for d in V.DEVICES]
+    total = lambda xs, n: f"coalesce(list_sum(list_transform({xs}[1:{n}], lambda x: length(x))), 0)"
+    one = "SELECT chunk_id, text, {k} AS kind, {n} AS name, unnest(range(1, len(m) + 1)) AS i, m, p FROM (SELECT chunk_id, text, regexp_extract_all(text, {rx}, 0) AS m, regexp_split_to_array(text, {rx}) AS p FROM document_chunks WHERE text <> '')"
+    rows = " UNION ALL ".join(one.format(k=q(k), n=q(n), rx=q("(?i)" + p)) for k, n, p in kinds)
+    sp = "trim(regexp_replace({0}, '\\s+', ' ', 'g'), {1})"
+    return f"""WITH r AS ({rows}), a AS (SELECT chunk_id, text, kind, name, m[i] AS hit, CAST({total('p', 'i')} + {total('m', 'i - 1')} AS BIGINT) AS place FROM r), b AS (SELECT *, substr(text, 1, place) AS before, substr(text, place + length(hit) + 1) AS after FROM a), c AS (SELECT *, regexp_extract(after, '^[^.\\n]*[.\\n]', 0) AS stop FROM b),
+d AS (SELECT *, {sp.format("regexp_extract(before, '[^.\\n]*$', 0) || hit || CASE WHEN stop <> '' THEN stop ELSE substr(after, 1, 220) END", WS)} AS sent, {sp.format("right(before, 160) || hit || substr(after, 1, 220)", WS)} AS wide FROM c) SELECT chunk_id, kind, name, CAST(place AS INT) AS place, substr(CASE WHEN length(sent) < 40 THEN wide ELSE sent END, 1, 700) AS evidence FROM d"""
+
+
 SQL = {
+    "extract_mentions": _mentions_sql(),
     "p5_found": _p5_sql("SELECT DISTINCT fact_id, printf('%.2e', num) AS common_value FROM r WHERE fits AND NOT same AND num IS NOT NULL"),
     "p5_values": _p5_sql("SELECT fact_id, property_name, value, CASE WHEN canon IS NOT NULL THEN CASE WHEN p <> 0 THEN '10^' || p || ' ' ELSE '' END || canon END AS unit_used, unit_from, common_unit, coalesce(printf('%.6e', num), 'null') AS common_number FROM r"),
     "p5_defaulted": _p5_sql("SELECT fact_id, property_name, CASE WHEN p <> 0 THEN '10^' || p || ' ' ELSE '' END || canon AS unit_used, common_unit, coalesce(printf('%.6e', num), 'null') AS common_number FROM r WHERE unit_from = 'default'", True),
