@@ -175,7 +175,7 @@ class Store:
         if {k: v for k, v in meta.items() if k != "buckets"} != {k: v for k, v in mine.items() if k != "buckets"}:
             raise ValueError(f"the store in {folder} was made with other settings: {meta}")
         self = cls(spark, folder, meta["buckets"])
-        for table, columns, key in (("cells", "cell long, class long, no long, load int", "cell"), ("keys", "kind string, key string, file string, load int", "key")):
+        for table, columns, key in (("cells", "cell long, class long, no long, load int", "cell"), ("keys", "key string, file string, load int", "key")):
             spark.sql(f"CREATE TABLE IF NOT EXISTS {self.name}_{table} ({columns}) USING parquet CLUSTERED BY ({key}) INTO {self.buckets} BUCKETS LOCATION '{folder}/{table}'")
         return self
 
@@ -222,11 +222,12 @@ class Store:
 
     def _key_links(self, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
         """(links to the owners, new owners): one owner a key, of history or the least new file that has the key. keys: file, kind, key, load."""
-        first = keys.groupBy("kind", "key").agg(F.min("file").alias("file"))
-        known = self._table("keys").select("kind", "key", F.col("file").alias("owner"))
-        owners = through_table(first.join(known, ["kind", "key"], "left").select("kind", "key", F.coalesce("owner", "file").alias("owner"), F.col("owner").isNull().alias("new")), "owners")
-        links = keys.join(owners, ["kind", "key"]).where("owner <> file").select(F.col("owner").alias("a"), F.col("file").alias("b"), "kind")
-        return links, owners.where("new").select("kind", "key", F.col("owner").alias("file"))
+        keys = keys.select("file", "kind", F.concat_ws(":", "kind", "key").alias("key"))  # one column, by which the table is bucketed
+        first = keys.groupBy("key").agg(F.min("file").alias("file"))
+        known = self._table("keys").select("key", F.col("file").alias("owner"))
+        owners = through_table(first.join(known, "key", "left").select("key", F.coalesce("owner", "file").alias("owner"), F.col("owner").isNull().alias("new")), "owners")
+        links = keys.join(owners, "key").where("owner <> file").select(F.col("owner").alias("a"), F.col("file").alias("b"), "kind")
+        return links, owners.where("new").select("key", F.col("owner").alias("file"))
 
     def _verify(self, pairs: DataFrame, load: int) -> DataFrame:
         """The pairs a, b (numbers, with their names file_a and file_b; b of the load, a of it or of history; a written table) whose five-word sets have the similarity; only the parts that hold a candidate are read."""
@@ -265,7 +266,6 @@ class Store:
         pairs = here.agg(F.sum(F.col("n") * (F.col("n") - 1) / 2)).first()[0] or 0
         counts = here.unionByName(self._table("cells").groupBy("cell").agg(F.count(F.lit(1)).alias("n")).where("n > 1")).groupBy("cell").agg(F.sum("n").alias("n"))
         probes = through_table(self._probes(fresh, counts), "probes")
-        history = self._table("cells").select("cell", "class", F.col("no").alias("a"), F.col("load").alias("load_a"))
         none = F.lit(None).cast("int").alias("load_a")
         links, classes = None, fresh.select("no", F.col("no").alias("class"))
         turns = ("first", "all") if pairs > LONG * max(1, probes.count()) else ("all",)
@@ -276,9 +276,12 @@ class Store:
                 # a cell that one new file has alone can't bring two of the load together, so it isn't listed
                 shared = mine.join(here.select("cell"), "cell")
                 listed = shared.withColumn("class", F.col("no")) if links is None else shared.join(classes, "no")
-                lists = listed.groupBy("cell", "class").agg(F.min("no").alias("a")).select("cell", "class", "a", none).unionByName(history)
+                lists = listed.groupBy("cell", "class").agg(F.min("no").alias("a")).select("cell", "class", "a", none)
             q = probes.withColumn("own", F.col("no")) if links is None else probes.join(classes.withColumnRenamed("class", "own"), "no")
-            met = q.select("cell", F.col("no").alias("b"), "own").join(lists, "cell").where("class <> own and a <> b and (load_a is not null or a < b)")
+            q = q.select("cell", F.col("no").alias("b"), "own")
+            met = q.join(lists, "cell").where("class <> own and a < b")
+            if turn == "all":
+                met = met.unionByName(self._in_history(q))
             # the members of a class that were met, and in how many cells the class was (a cell lists it once): at least as many as any member agrees in
             agreed = met.groupBy("b", "class", "a", "load_a").agg(F.count(F.lit(1)).alias("n")).groupBy("b", "class").agg(F.sum("n").alias("n"), F.collect_list(F.struct("a", "load_a")).alias("as")).where(F.col("n") >= AGREE - SKIP)
             cand = through_table(self._named(agreed.select("b", "class", F.explode("as").alias("x")).select("b", "class", "x.a", "x.load_a"), fresh, old), "met")
@@ -292,6 +295,17 @@ class Store:
                 classes = through_table(classes, "classes")
         return links, classes
 
+    def _in_history(self, q: DataFrame) -> DataFrame:
+        """The probes (cell, b, own) with what history lists in their cells. Only the probes are shuffled: the table is bucketed by cell, and stands in the join alone."""
+        history = self._table("cells").select("cell", "class", F.col("no").alias("a"), F.col("load").alias("load_a"))
+        return q.join(history, "cell").where("class <> own").select("cell", "b", "own", "class", "a", "load_a")
+
+    def _new_cells(self, filed: DataFrame) -> DataFrame:
+        """cell, class, no: the listings that the store doesn't have yet. Cells are the only join key, as for the table's buckets; the class is compared as a range."""
+        mine = _postings(filed, "class").groupBy("cell", "class").agg(F.min("no").alias("no"))
+        held = self._table("cells").select(F.col("cell").alias("__cell"), F.col("class").alias("__class"))
+        return mine.join(held, (F.col("cell") == F.col("__cell")) & (F.col("class") >= F.col("__class")) & (F.col("class") <= F.col("__class")), "left_anti")
+
     def _named(self, pairs: DataFrame, fresh: DataFrame, old: list[int]) -> DataFrame:
         """The pairs a, b with the names of their files."""
         names = fresh.select("no", "file").unionByName(self.files(old).select("no", "file"))
@@ -335,10 +349,10 @@ class Store:
         near, classes = self._near(fresh, load, old)
         fresh.join(classes, "no").select("no", "file", "vec", "class").write.mode("overwrite").parquet(f"{self.folder}/files/load={load}")
         filed = self._loaded("files", _FILES, [load])
-        cells = _postings(filed, "class").groupBy("cell", "class").agg(F.min("no").alias("no")).join(self._table("cells").select("cell", "class"), ["cell", "class"], "left_anti")
+        cells = self._new_cells(filed)
         links = exact.select("a", "b", "kind").unionByName(self._named(near, fresh, old).select(F.least("file_a", "file_b").alias("a"), F.greatest("file_a", "file_b").alias("b"), F.lit("near").alias("kind")))
         self._append(cells.select("cell", "class", "no", now), "cells", "cell")
-        self._append(owners.select("kind", "key", "file", now), "keys", "key")
+        self._append(owners.select("key", "file", now), "keys", "key")
         links.write.mode("overwrite").parquet(f"{self.folder}/links/load={load}")
         self.spark.createDataFrame([(json.dumps(sorted(batches)),)], "value string").coalesce(1).write.mode("overwrite").text(f"{self.folder}/done/load={load}")
 

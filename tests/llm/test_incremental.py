@@ -115,6 +115,31 @@ def test_a_store_is_taken_up_and_gets_one_batch_more(spark, tmp_path):
     store.close()
 
 
+def test_history_is_not_shuffled(spark, tmp_path):
+    """The store's tables stand in their joins without an exchange; small sizes mustn't hide it behind a broadcast."""
+    docs = {f"d{i}": text(i, 120) for i in range(6)}
+    folder = str(tmp_path / "store")
+    incremental.works(*word_docs(spark, docs, {k: 1 for k in docs}), folder)
+    store = incremental.Store.open(spark, folder)
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        probes = spark.createDataFrame([(1, 2, 3)], "cell long, b long, own long")
+        filed = spark.createDataFrame([(9, [1] * 64, 9)], "no long, vec array<int>, class long")
+        for df, shuffled in ((store._in_history(probes), "cell"), (store._new_cells(filed), "cell")):
+            plan = df._jdf.queryExecution().executedPlan().toString()
+            scan = plan.index("FileScan")
+            join = plan.index("SortMergeJoin")
+            side = plan[plan.rindex("Sort [", 0, scan) : scan] if "Sort [" in plan[:scan] else plan[join:scan]
+            assert "Bucketed: true" in plan and "Exchange" not in side and shuffled in plan
+        keys = spark.createDataFrame([("x", "hash", "k")], "file string, kind string, key string")
+        links, _ = store._key_links(keys)
+        assert links.count() == 0
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+        store.close()
+
+
 def test_leftovers_of_a_lost_load_are_passed_over(spark, tmp_path):
     docs = {f"d{i}": text(i, 120) for i in range(6)} | {f"e{i}": text(i, 120) + ["end"] for i in range(6)}
     args = word_docs(spark, docs, {k: 1 + (k[0] == "e") for k in docs})
