@@ -253,3 +253,13 @@ def test_exports_and_reports(spark, sf, tmp_path):
     assert {"nodes.csv", "validation.md", "title_repair.csv"} <= set(names) and all((tmp_path / n).exists() for n in names)
     head = next((tmp_path / "nodes.csv").glob("part-*")).read_text().splitlines()[0]
     assert head == "id,type,label,n_facts" and "ensemble" in (tmp_path / "validation.md").read_text()
+
+
+def test_broadcast_only_within_the_counted_size(spark):
+    from corpusmill.session import broadcast_if_small
+
+    df = frame(spark, [(i, [i] * 100) for i in range(20)], "k int, xs array<int>")
+    hinted = lambda x: "ResolvedHint" in x._jdf.queryExecution().analyzed().toString() or "broadcast" in x._jdf.queryExecution().logical().toString().lower()
+    assert hinted(broadcast_if_small(df, 10, 200)) and not hinted(broadcast_if_small(df, 10, 190))
+    assert hinted(broadcast_if_small(df, F.size("xs"), 2_000)) and not hinted(broadcast_if_small(df, F.size("xs"), 1_999))
+    assert hinted(broadcast_if_small(df.limit(0), F.size("xs"), 0))
