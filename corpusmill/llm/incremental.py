@@ -32,6 +32,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+import uuid
 import zlib
 
 import numpy as np
@@ -40,7 +41,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.session import scratch, spread, through_table
+from corpusmill.session import broadcast_if_small, drop_folders, scratch, shuffles_removed, spread, through_table
 
 from .canonical import alnum_key
 from .components import roots
@@ -108,27 +109,40 @@ def page_signature(text: str, cache: dict[str, int]) -> tuple[np.ndarray, np.nda
     return low.astype(np.int32), np.unique((_shingles(ids, SHINGLE) >> np.uint64(32)).astype(np.uint32)).view(np.int32), len(ids)
 
 
-_PAGE = "pdf_id string, batch_no int, low array<int>, shingles array<int>, words long, m1 long, m2 long"
+_MARKS = ("h1", "l1", "h2", "l2")
+_SIGNED = "low array<int>, shingles array<int>, words long, n long, " + ", ".join(f"{m} long" for m in _MARKS)
 
 
-def _page_signatures(batches):
+def _signatures(batches):
+    """Pages of a file that stand together are one row: the least of their coordinates, the union of their sets, and sums."""
     cache: dict[str, int] = {}
     for b in (whole.iloc[i : i + 1_000] for whole in batches for i in range(0, len(whole), 1_000)):
-        got = [page_signature(t, cache) for t in b["text"]]
-        marks = np.array([np.frombuffer(hashlib.blake2b(g[1].tobytes(), digest_size=16).digest(), np.int64) if len(g[1]) else (0, 0) for g in got], np.int64).reshape(-1, 2)
-        yield pd.DataFrame({"pdf_id": b["pdf_id"].to_numpy(), "batch_no": b["batch_no"].to_numpy(), "low": [g[0] for g in got], "shingles": [g[1] for g in got], "words": [g[2] for g in got], "m1": marks[:, 0], "m2": marks[:, 1]})
-
-
-def page_signatures(files: DataFrame, pages: DataFrame) -> DataFrame:
-    """pdf_id, batch_no, low, shingles, words, m1, m2: one row a page, made where the page is read."""
+        rows: dict[tuple[str, int], list] = {}
+        for f, batch, t in zip(b["pdf_id"], b["batch_no"], b["text"]):
+            low, own, words = page_signature(t, cache)
+            r = rows.setdefault((f, batch), [low, [], 0, 0, np.zeros(4, np.int64)])
+            r[0] = np.minimum(r[0], low)
+            r[2] += words
+            if len(own):
+                m = np.frombuffer(hashlib.blake2b(own.tobytes(), digest_size=16).digest(), np.int64)
+                r[1].append(own)
+                r[3] += 1
+                r[4] += np.array([m[0] >> 32, m[0] & 0xFFFFFFFF, m[1] >> 32, m[1] & 0xFFFFFFFF], np.int64)  # halves, whose sums stay in 64 bits
+        marks = np.array([r[4] for r in rows.values()], np.int64).reshape(-1, 4)
+        sets = [r[1][0] if len(r[1]) == 1 else np.unique(np.concatenate(r[1])) if r[1] else np.zeros(0, np.int32) for r in rows.values()]
+        yield pd.DataFrame({"pdf_id": [k[0] for k in rows], "batch_no": [k[1] for k in rows], "low": [r[0] for r in rows.values()], "shingles": sets, "words": [r[2] for r in rows.values()], "n": [r[3] for r in rows.values()], **{m: marks[:, i] for i, m in enumerate(_MARKS)}})
+
+
+def signatures(files: DataFrame, pages: DataFrame) -> DataFrame:
+    """pdf_id, batch_no and _SIGNED: a row or several for each file, made where its pages are read."""
     p = pages.select("pdf_id", "text").where("text is not null").join(files.select("pdf_id", "batch_no"), "pdf_id")
-    return spread(p, pages).mapInPandas(_page_signatures, _PAGE)
+    return spread(p, pages).mapInPandas(_signatures, "pdf_id string, batch_no int, " + _SIGNED)
 
 
 def file_vectors(signed: DataFrame, key: str = "pdf_id") -> DataFrame:
     """key, vec (PLACES coordinates), text_key (equal for files whose pages have the same shingles): one row for each file of at least MIN_WORDS words."""
-    some = F.size("shingles") > 0
-    g = signed.groupBy(key).agg(F.collect_list(F.when(some, F.col("low"))).alias("lows"), F.sum("words").alias("words"), F.count_if(some).alias("n"), *[F.sum(F.col(m).cast("decimal(38,0)")).alias(m) for m in ("m1", "m2")]).where(F.col("words") >= MIN_WORDS)
+    whole = lambda h, l: F.sum(h).cast("decimal(20,0)") * F.lit(1 << 32).cast("decimal(10,0)") + F.sum(l).cast("decimal(20,0)")  # noqa: E731, E741
+    g = signed.groupBy(key).agg(F.collect_list("low").alias("lows"), F.sum("words").alias("words"), F.sum("n").alias("n"), whole("h1", "l1").alias("m1"), whole("h2", "l2").alias("m2")).where(F.col("words") >= MIN_WORDS)
     vec = F.transform(F.sequence(F.lit(0), F.lit(PLACES - 1)), lambda i: F.coalesce(F.array_min(F.transform("lows", lambda x: F.get(x, i))), F.lit(_EMPTY)))
     return g.select(key, vec.alias("vec"), F.when(F.col("n") > 0, F.concat_ws(":", F.col("m1").cast("string"), F.col("m2").cast("string"), F.col("n").cast("string"))).alias("text_key"))
 
@@ -161,6 +175,7 @@ class Store:
         self.spark, self.folder, self.buckets = spark, folder.rstrip("/"), buckets
         self.name = "ivf_" + hashlib.sha1(self.folder.encode()).hexdigest()[:16]
         self.leftover: list[int] = []
+        self.passing: list[str] = []
 
     @classmethod
     def open(cls, spark: SparkSession, folder: str) -> Store:
@@ -184,6 +199,17 @@ class Store:
         for table in ("cells", "keys"):
             self.spark.sql(f"DROP TABLE IF EXISTS {self.name}_{table}")
 
+    def _passed(self, df: DataFrame, name: str) -> DataFrame:
+        """A table in the shared folder that the load needs for a while; `_dropped` removes it."""
+        self.passing.append(scratch(self.spark, name))
+        return through_table(df, name, self.passing[-1])
+
+    def _dropped(self, *names: str) -> None:
+        """Remove the load's passing tables of these names, all if none is given."""
+        gone = [p for p in self.passing if not names or p.rpartition("/")[2].rpartition("-")[0] in names]
+        self.passing = [p for p in self.passing if p not in gone]
+        drop_folders(self.spark, *gone)
+
     def _loads_in(self, name: str) -> list[int]:
         """Loads whose folder of that name is written to its end."""
         jvm = self.spark.sparkContext._jvm
@@ -225,7 +251,7 @@ class Store:
         keys = keys.select("file", "kind", F.concat_ws(":", "kind", "key").alias("key"))  # one column, by which the table is bucketed
         first = keys.groupBy("key").agg(F.min("file").alias("file"))
         known = self._table("keys").select("key", F.col("file").alias("owner"))
-        owners = through_table(first.join(known, "key", "left").select("key", F.coalesce("owner", "file").alias("owner"), F.col("owner").isNull().alias("new")), "owners")
+        owners = self._passed(first.join(known, "key", "left").select("key", F.coalesce("owner", "file").alias("owner"), F.col("owner").isNull().alias("new")), "owners")
         links = keys.join(owners, "key").where("owner <> file").select(F.col("owner").alias("a"), F.col("file").alias("b"), "kind")
         return links, owners.where("new").select("key", F.col("owner").alias("file"))
 
@@ -236,7 +262,9 @@ class Store:
         if not places:
             return self.spark.createDataFrame([], "a long, b long")
         pages = self.spark.read.schema("file string, shingles array<int>").parquet(*sorted(f"{self.folder}/vectors/load={n}/part={p}" for n, p in places))
-        sets = pages.join(files.select("file").distinct(), "file").groupBy("file").agg(F.array_distinct(F.flatten(F.collect_list("shingles"))).alias("s"))
+        # sets of files that are no candidates are left out before the shuffle, by a hash of the name; a collision falls out in the joins by name
+        few = self._passed(files.select(F.xxhash64("file").alias("h")).distinct(), "asked")
+        sets = pages.join(broadcast_if_small(few, 24), F.xxhash64("file") == F.col("h"), "left_semi").groupBy("file").agg(F.array_distinct(F.flatten(F.collect_list("shingles"))).alias("s"))
         left = sets.select(F.col("file").alias("file_a"), F.col("s").alias("sa")).join(pairs.select("a", "b", "file_a", "file_b").distinct(), "file_a")
         both = left.join(sets.select(F.col("file").alias("file_b"), F.col("s").alias("sb")), "file_b").withColumn("n", F.size(F.array_intersect("sa", "sb")))
         return both.where(F.col("n") >= SIMILARITY * (F.size("sa") + F.size("sb") - F.col("n"))).select("a", "b")
@@ -262,10 +290,10 @@ class Store:
     def _near(self, fresh: DataFrame, load: int, old: list[int]) -> tuple[DataFrame, DataFrame]:
         """(links a, b of near text; no, class of the new files). fresh: a written table of no, file, vec."""
         mine = _postings(fresh)
-        here = through_table(mine.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "cells")
+        here = self._passed(mine.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "cells")
         pairs = here.agg(F.sum(F.col("n") * (F.col("n") - 1) / 2)).first()[0] or 0
         counts = here.unionByName(self._table("cells").groupBy("cell").agg(F.count(F.lit(1)).alias("n")).where("n > 1")).groupBy("cell").agg(F.sum("n").alias("n"))
-        probes = through_table(self._probes(fresh, counts), "probes")
+        probes = self._probes(fresh, counts)  # made from the vectors wherever it is read: as a table it would hold a row for each coordinate
         none = F.lit(None).cast("int").alias("load_a")
         links, classes = None, fresh.select("no", F.col("no").alias("class"))
         turns = ("first", "all") if pairs > LONG * max(1, probes.count()) else ("all",)
@@ -280,19 +308,19 @@ class Store:
             q = probes.withColumn("own", F.col("no")) if links is None else probes.join(classes.withColumnRenamed("class", "own"), "no")
             q = q.select("cell", F.col("no").alias("b"), "own")
             met = q.join(lists, "cell").where("class <> own and a < b")
-            if turn == "all":
+            if turn == "all" and old:  # a first load's probes needn't be shuffled for an empty history
                 met = met.unionByName(self._in_history(q))
             # the members of a class that were met, and in how many cells the class was (a cell lists it once): at least as many as any member agrees in
             agreed = met.groupBy("b", "class", "a", "load_a").agg(F.count(F.lit(1)).alias("n")).groupBy("b", "class").agg(F.sum("n").alias("n"), F.collect_list(F.struct("a", "load_a")).alias("as")).where(F.col("n") >= AGREE - SKIP)
-            cand = through_table(self._named(agreed.select("b", "class", F.explode("as").alias("x")).select("b", "class", "x.a", "x.load_a"), fresh, old), "met")
-            found = through_table(self._verify(cand, load), "near")
+            cand = self._passed(self._named(agreed.select("b", "class", F.explode("as").alias("x")).select("b", "class", "x.a", "x.load_a"), fresh, old), "met")
+            found = self._passed(self._verify(cand, load), "near")
             if turn == "all":
                 further = self._members(cand, found, fresh, classes, load, old)
                 found = found if further is None else found.unionByName(further)
             links = found if links is None else links.unionByName(found).distinct()
             classes = self._classes(fresh, links, old)
             if turn == "first":
-                classes = through_table(classes, "classes")
+                classes = self._passed(classes, "classes")
         return links, classes
 
     def _in_history(self, q: DataFrame) -> DataFrame:
@@ -322,7 +350,7 @@ class Store:
         vecs = fresh.select("no", "vec").unionByName(self.files(old).select("no", "vec"))
         m = m.join(vecs.select(F.col("no").alias("a"), F.col("vec").alias("va")), "a").join(fresh.select(F.col("no").alias("b"), F.col("vec").alias("vb")), "b")
         same = F.aggregate(F.zip_with("va", "vb", lambda x, y: F.when((x == y) & (x < _EMPTY), 1).otherwise(0)), F.lit(0), lambda s, x: s + x)
-        return self._verify(through_table(self._named(m.where(same >= AGREE).select("a", "b", "load_a").distinct(), fresh, old), "members"), load)
+        return self._verify(self._passed(self._named(m.where(same >= AGREE).select("a", "b", "load_a").distinct(), fresh, old), "members"), load)
 
     def _classes(self, fresh: DataFrame, links: DataFrame, old: list[int]) -> DataFrame:
         """no, class: the least class of what a new file is linked to (numbers of history are less than the load's), else its own number."""
@@ -330,10 +358,28 @@ class Store:
         to = links.join(of_old, "a", "left").groupBy(F.col("b").alias("no")).agg(F.min(F.coalesce("class", "a")).alias("class"))
         return fresh.select("no").join(to, "no", "left").select("no", F.coalesce("class", "no").alias("class"))
 
-    def ingest(self, batches: list[int], signed: DataFrame, keys: DataFrame) -> None:
+    def arrive(self, signed: DataFrame) -> str:
+        """Write signatures (file, step, columns of `signatures`) into a folder of the store's, of which `ingest` takes over a step each: the sets are written once."""
+        place = f"{self.folder}/arrived-{uuid.uuid4().hex}"
+        signed.withColumn("part", _part("file")).write.partitionBy("step", "part").parquet(place)
+        return place
+
+    def _take(self, arrived: str, load: int) -> None:
+        """Make the arrived folder the load's vectors, by renaming it. What a lost load of that number left is removed."""
+        jvm = self.spark.sparkContext._jvm
+        path = jvm.org.apache.hadoop.fs.Path
+        src, to = path(arrived), path(f"{self.folder}/vectors/load={load}")
+        fs = to.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        fs.delete(to, True)
+        fs.mkdirs(to.getParent() if fs.exists(src) else to)
+        if fs.exists(src) and not fs.rename(src, to):
+            raise OSError(f"{arrived} can't be renamed to {to}")
+        fs.create(path(to, "_SUCCESS")).close()
+
+    def ingest(self, batches: list[int], arrived: str, keys: DataFrame) -> None:
         """Check a load (a batch, or several that waited) against everything accepted, then append it.
 
-        signed: file and the columns of `page_signatures`; keys: file, kind, key. `file` is the file's name in the store."""
+        arrived: the step's folder below what `arrive` gave, which the store takes over; keys: file, kind, key. `file` is the file's name in the store."""
         again = self.accepted() & set(batches)
         if again:
             raise ValueError(f"batches {sorted(again)} are accepted already")
@@ -341,20 +387,25 @@ class Store:
         load = max(old, default=0) + 1
         self.leftover = [n for n in self._loads_in("vectors") if n not in old]
         now = F.lit(load).alias("load")
-        signed.select("file", "shingles", _part("file").alias("part")).where(F.size("shingles") > 0).sortWithinPartitions("part").write.mode("overwrite").partitionBy("part").parquet(f"{self.folder}/vectors/load={load}")
-        files = through_table(file_vectors(signed, "file").withColumn("no", F.lit(load).cast("long") * (1 << 50) + F.monotonically_increasing_id()), "vecs")  # written, so the numbers stay
-        exact, owners = self._key_links(keys.select("file", "kind", "key").unionByName(files.where("text_key is not null").select("file", F.lit("text").alias("kind"), F.col("text_key").alias("key"))).distinct())
+        self._take(arrived, load)
+        signed = self.spark.read.schema("file string, " + _SIGNED).parquet(f"{self.folder}/vectors/load={load}")
+        files = self._passed(file_vectors(signed, "file").withColumn("no", F.lit(load).cast("long") * (1 << 50) + F.monotonically_increasing_id()), "vecs")  # written, so the numbers stay
+        keys = self._passed(keys.select("file", "kind", "key").unionByName(files.where("text_key is not null").select("file", F.lit("text").alias("kind"), F.col("text_key").alias("key"))).distinct(), "keys")
+        exact, owners = self._key_links(keys)
         fresh = files.select("no", "file", "vec").join(exact.where("kind = 'text'").select(F.col("b").alias("file")), "file", "left_anti")
-        fresh = through_table(fresh, "fresh")  # read many times
+        fresh = self._passed(fresh, "fresh")  # read many times
+        self._dropped("vecs")
         near, classes = self._near(fresh, load, old)
         fresh.join(classes, "no").select("no", "file", "vec", "class").write.mode("overwrite").parquet(f"{self.folder}/files/load={load}")
         filed = self._loaded("files", _FILES, [load])
+        self._dropped("cells")
         cells = self._new_cells(filed)
         links = exact.select("a", "b", "kind").unionByName(self._named(near, fresh, old).select(F.least("file_a", "file_b").alias("a"), F.greatest("file_a", "file_b").alias("b"), F.lit("near").alias("kind")))
         self._append(cells.select("cell", "class", "no", now), "cells", "cell")
         self._append(owners.select("key", "file", now), "keys", "key")
         links.write.mode("overwrite").parquet(f"{self.folder}/links/load={load}")
         self.spark.createDataFrame([(json.dumps(sorted(batches)),)], "value string").coalesce(1).write.mode("overwrite").text(f"{self.folder}/done/load={load}")
+        self._dropped()
 
 
 def works(files: DataFrame, pages: DataFrame, papers: DataFrame, folder: str | None = None) -> DataFrame:
@@ -369,15 +420,17 @@ def works(files: DataFrame, pages: DataFrame, papers: DataFrame, folder: str | N
     waiting = sorted(r[0] for r in files.select("batch_no").distinct().collect() if r[0] not in done)  # one row a batch
     if waiting:
         new = files.where(F.col("batch_no").isin(waiting))
-        arrived, keyed = scratch(spark, "signed"), scratch(spark, "keyed")
-        page_signatures(new, pages).write.partitionBy("batch_no").parquet(arrived)
-        file_keys(new, papers).write.partitionBy("batch_no").parquet(keyed)
-        signed = spark.read.schema(_PAGE).parquet(arrived)
-        keys = spark.read.schema("pdf_id string, kind string, key string, batch_no int").parquet(keyed)
         name = F.concat(F.format_string("%010d", "batch_no"), F.lit("|"), "pdf_id").alias("file")
-        for step in [waiting[:-1], waiting[-1:]] if len(waiting) > 1 else [waiting]:
-            of = lambda df, step=step: df.where(F.col("batch_no").isin(step)).select(name, "*")
-            store.ingest(step, of(signed), of(keys))
+        steps = [waiting[:-1], waiting[-1:]] if len(waiting) > 1 else [waiting]
+        step = F.when(F.col("batch_no") == waiting[-1], len(steps)).otherwise(1).alias("step")
+        with shuffles_removed(spark):
+            keyed = scratch(spark, "keyed")
+            file_keys(new, papers).write.partitionBy("batch_no").parquet(keyed)
+            arrived = store.arrive(signatures(new, pages).select(name, step, *[c.split()[0] for c in _SIGNED.split(", ")]))
+            keys = spark.read.schema("pdf_id string, kind string, key string, batch_no int").parquet(keyed)
+            for k, own in enumerate(steps, 1):
+                store.ingest(own, f"{arrived}/step={k}", keys.where(F.col("batch_no").isin(own)).select(name, "*"))
+            drop_folders(spark, keyed, arrived)
     links = store.links().select(F.col("a").alias("u"), F.col("b").alias("v"))
     store.close()
     r = roots(links)

@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -59,9 +61,27 @@ def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
     return df.checkpoint(eager=eager)
 
 
-def through_table(df: DataFrame, name: str) -> DataFrame:
-    """Write to the shared folder and read again: a stage boundary that keeps columns in Parquet."""
-    path = scratch(df.sparkSession, name)
+def drop_folders(spark: SparkSession, *paths: str) -> None:
+    """Remove folders that this engine wrote and nothing reads any more."""
+    for p in map(spark.sparkContext._jvm.org.apache.hadoop.fs.Path, paths):
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+@contextmanager
+def shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """Within it, shuffle files go when the execution that wrote them ends, instead of when the driver happens to collect its garbage."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    was = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if was is None else spark.conf.set(key, was)
+
+
+def through_table(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
+    """Write to the shared folder (below a fresh path if none is given) and read again: a stage boundary that keeps columns in Parquet."""
+    path = path or scratch(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -1,10 +1,12 @@
 import random
 import shutil
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
 from corpusmill.llm import components, incremental, scans
+from corpusmill.session import shared_dir
 
 VOCAB = ["".join(random.Random(i).choice("abfgkmnopqsuvwxyz") for _ in range(7)) for i in range(400)]
 
@@ -174,6 +176,27 @@ def test_members_behind_the_one_listed_are_reached(spark, tmp_path):
     assert got == want and want
 
 
+def test_a_load_leaves_nothing_but_the_store(spark, tmp_path):
+    """Shingle sets are on disk once, and what a load needs for a while goes with it."""
+    docs = {f"d{i}": text(i, 120) for i in range(6)} | {f"e{i}": text(i, 120) + ["end"] for i in range(6)}
+    shared = Path("/" + shared_dir(spark).removeprefix("file:").lstrip("/"))
+    held = {p.name for p in shared.iterdir()}
+    incremental.works(*word_docs(spark, docs, {k: 1 + (k[0] == "e") for k in docs}), str(tmp_path / "store"))
+    assert not {p.name for p in shared.iterdir() if not p.name.startswith("rdd-")} - held
+    assert {p.name for p in (tmp_path / "store").iterdir()} == {"meta", "cells", "keys", "files", "vectors", "links", "done"}
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+
+
+def test_a_file_is_the_same_however_its_pages_are_dealt_out(spark):
+    """Pages of a file that stand together are signed as one row; vector and text key don't depend on which do."""
+    docs = {f"d{i}": text(i, 400) for i in range(8)}
+    files = spark.createDataFrame([(k, 1) for k in docs], "pdf_id string, batch_no int")
+    pages = spark.createDataFrame([(k, " ".join(w[i : i + 50])) for k, w in docs.items() for i in range(0, 400, 50)], "pdf_id string, text string")
+    one, many = (incremental.signatures(files, p.coalesce(1)) for p in (pages.orderBy("pdf_id"), pages)), incremental.signatures(files, pages.repartition(16))
+    got = [sorted(tuple(map(str, r)) for r in incremental.file_vectors(x).collect()) for x in (*one, many)]
+    assert got[0] == got[1] == got[2] and len(got[0]) == 8 and len({r[2] for r in got[0]}) == 8
+
+
 def test_components_of_chains_and_stars(spark):
     edges = [(f"n{i:03}", f"n{i + 1:03}") for i in range(40)] + [("s0", f"s{i}") for i in range(1, 300)] + [("q", "q"), (None, "q"), ("n000", "n001")]
     r = {x.u: x.root for x in components.roots(spark.createDataFrame(edges, "u string, v string")).collect()}
