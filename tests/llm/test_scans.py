@@ -93,6 +93,23 @@ def test_learned_vectors_leave_out_misreadings_that_recur(spark):
     assert scans.repair("mcmory cells keep the charge", None, None, None, lx)[1] == [("misread", "memory")]
 
 
+def test_words_beyond_the_lexicon_and_the_vectors_are_known_by_page(spark, monkeypatch):
+    """With a lexicon of few words and vectors of fewer, what lies beyond is looked up: counts, right forms, cut words and vectors."""
+    line = "the memory cells keep the charge within the window of the cells and lose it beyond the hydrogen barrier"
+    rows = [(f"p{i}", "f1", None, line.replace("memory", "mcmory") if i % 150 == 0 else line) for i in range(300)] + [("q", "f1", None, "the hydrogeri barrier and the hydro-\ngen wind0w of the ceiis")]
+    pages = spark.createDataFrame(rows, "page_id string, pdf_id string, paper_id string, text string")
+    files = spark.createDataFrame([("f1", True)], "pdf_id string, ocr_needed boolean")
+    papers = spark.createDataFrame([], "paper_id string, title string, authors string, publisher string, journal string")
+    got = lambda: {tuple(r) for r in scans.found(pages, files, papers).collect()}
+    want = got()
+    assert {("q", "misread", "hydrogen"), ("q", "misread", "window"), ("q", "hyphen", "hydrogen"), ("p150", "misread", "memory")} <= want
+    monkeypatch.setattr(scans, "LEXICON", 4)
+    monkeypatch.setattr(skipgram, "VECTORS", 3)
+    lx = scans.learn(pages)
+    assert len(lx.counts) == 4 and len(lx.vocab) == 4 and {r.word for r in spark.read.parquet(lx.rest).where("x is not null").collect()} >= {"memory", "hydrogen"}
+    assert got() == want
+
+
 def test_furniture_outside_the_running_text_at_any_depth(lex):
     notes = [f"Notice {i}: All Rights Reserved, Series {i}" for i in range(7)]
     body = ["the residual stress of films grown by annealing modern memory", "cells within hydrogen remains stable under field cycling and the"]
