@@ -160,6 +160,8 @@ def _part(c: str) -> Column:
 
 #: no: a file's number in the store, in the order of loads and, within a load, in any order. Cells hold numbers, which shuffle in a fifth of the bytes of names.
 _FILES = "no long, file string, vec array<int>, class long, load int"
+#: A link of near text with the names of its files; root: the class of a if it is of history, else a.
+_NEAR = "a long, b long, file_a string, file_b string, root long"
 
 
 def _postings(files: DataFrame, *more: str) -> DataFrame:
@@ -256,18 +258,18 @@ class Store:
         return links, owners.where("new").select("key", F.col("owner").alias("file"))
 
     def _verify(self, pairs: DataFrame, load: int) -> DataFrame:
-        """The pairs a, b (numbers, with their names file_a and file_b; b of the load, a of it or of history; a written table) whose five-word sets have the similarity; only the parts that hold a candidate are read."""
+        """_NEAR: the pairs (a, b, load_a, class of a, file_a, file_b; b of the load, a of it or of history; a written table) whose five-word sets have the similarity; only the parts that hold a candidate are read."""
         files = pairs.select(F.col("file_a").alias("file"), F.coalesce("load_a", F.lit(load)).alias("load")).union(pairs.select("file_b", F.lit(load))).distinct().withColumn("part", _part("file"))
-        places = files.select("load", "part").distinct().collect()  # at most loads times PARTS
+        places = files.groupBy("load", "part").agg(F.count(F.lit(1)).alias("files")).collect()  # at most loads times PARTS
         if not places:
-            return self.spark.createDataFrame([], "a long, b long")
-        pages = self.spark.read.schema("file string, shingles array<int>").parquet(*sorted(f"{self.folder}/vectors/load={n}/part={p}" for n, p in places))
+            return self.spark.createDataFrame([], _NEAR)
+        pages = self.spark.read.schema("file string, shingles array<int>").parquet(*sorted(f"{self.folder}/vectors/load={n}/part={p}" for n, p, _ in places))
         # sets of files that are no candidates are left out before the shuffle, by a hash of the name; a collision falls out in the joins by name
-        few = self._passed(files.select(F.xxhash64("file").alias("h")).distinct(), "asked")
-        sets = pages.join(broadcast_if_small(few, 24), F.xxhash64("file") == F.col("h"), "left_semi").groupBy("file").agg(F.array_distinct(F.flatten(F.collect_list("shingles"))).alias("s"))
-        left = sets.select(F.col("file").alias("file_a"), F.col("s").alias("sa")).join(pairs.select("a", "b", "file_a", "file_b").distinct(), "file_a")
+        few = broadcast_if_small(files.select(F.xxhash64("file").alias("h")), 24, rows=sum(r[2] for r in places))
+        sets = pages.join(few, F.xxhash64("file") == F.col("h"), "left_semi").groupBy("file").agg(F.array_distinct(F.flatten(F.collect_list("shingles"))).alias("s"))
+        left = sets.select(F.col("file").alias("file_a"), F.col("s").alias("sa")).join(pairs.select("a", "b", "file_a", "file_b", F.when(F.col("load_a").isNull(), F.col("a")).otherwise(F.col("class")).alias("root")).distinct(), "file_a")
         both = left.join(sets.select(F.col("file").alias("file_b"), F.col("s").alias("sb")), "file_b").withColumn("n", F.size(F.array_intersect("sa", "sb")))
-        return both.where(F.col("n") >= SIMILARITY * (F.size("sa") + F.size("sb") - F.col("n"))).select("a", "b")
+        return both.where(F.col("n") >= SIMILARITY * (F.size("sa") + F.size("sb") - F.col("n"))).select("a", "b", "file_a", "file_b", "root")
 
     def _probes(self, fresh: DataFrame, counts: DataFrame) -> DataFrame:
         """cell, no: the cells that each new file probes: all of its own but the SKIP longest of the hot ones."""
@@ -288,7 +290,7 @@ class Store:
         return fresh.select("no", F.explode(probed("vec")).alias("cell")).select("cell", "no")
 
     def _near(self, fresh: DataFrame, load: int, old: list[int]) -> tuple[DataFrame, DataFrame]:
-        """(links a, b of near text; no, class of the new files). fresh: a written table of no, file, vec."""
+        """(_NEAR: links of near text; the new files with their class). fresh: a written table of no, file, vec."""
         mine = _postings(fresh)
         here = self._passed(mine.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "cells")
         pairs = here.agg(F.sum(F.col("n") * (F.col("n") - 1) / 2)).first()[0] or 0
@@ -296,7 +298,7 @@ class Store:
         probes = self._probes(fresh, counts)  # made from the vectors wherever it is read: as a table it would hold a row for each coordinate
         none = F.lit(None).cast("int").alias("load_a")
         links, classes = None, fresh.select("no", F.col("no").alias("class"))
-        turns = ("first", "all") if pairs > LONG * max(1, probes.count()) else ("all",)
+        turns = ("first", "all") if pairs > LONG and pairs > LONG * probes.count() else ("all",)
         for turn in turns:
             if turn == "first":  # one file a cell, so that a group of near copies is one class before all classes are compared
                 lists = mine.groupBy("cell").agg(F.min("no").alias("a")).select("cell", F.col("a").alias("class"), "a", none)
@@ -316,11 +318,11 @@ class Store:
             found = self._passed(self._verify(cand, load), "near")
             if turn == "all":
                 further = self._members(cand, found, fresh, classes, load, old)
-                found = found if further is None else found.unionByName(further)
+                found = found if further is None else found.unionByName(self._passed(further, "further"))  # read for the classes and for the links
             links = found if links is None else links.unionByName(found).distinct()
-            classes = self._classes(fresh, links, old)
+            classes = self._classes(fresh, links)
             if turn == "first":
-                classes = self._passed(classes, "classes")
+                classes = self._passed(classes.select("no", "class"), "classes")
         return links, classes
 
     def _in_history(self, q: DataFrame) -> DataFrame:
@@ -350,13 +352,12 @@ class Store:
         vecs = fresh.select("no", "vec").unionByName(self.files(old).select("no", "vec"))
         m = m.join(vecs.select(F.col("no").alias("a"), F.col("vec").alias("va")), "a").join(fresh.select(F.col("no").alias("b"), F.col("vec").alias("vb")), "b")
         same = F.aggregate(F.zip_with("va", "vb", lambda x, y: F.when((x == y) & (x < _EMPTY), 1).otherwise(0)), F.lit(0), lambda s, x: s + x)
-        return self._verify(self._passed(self._named(m.where(same >= AGREE).select("a", "b", "load_a").distinct(), fresh, old), "members"), load)
+        return self._verify(self._passed(self._named(m.where(same >= AGREE).select("a", "b", "class", "load_a").distinct(), fresh, old), "members"), load)
 
-    def _classes(self, fresh: DataFrame, links: DataFrame, old: list[int]) -> DataFrame:
-        """no, class: the least class of what a new file is linked to (numbers of history are less than the load's), else its own number."""
-        of_old = self.files(old).select(F.col("no").alias("a"), "class").join(links.select("a").distinct(), "a", "left_semi")
-        to = links.join(of_old, "a", "left").groupBy(F.col("b").alias("no")).agg(F.min(F.coalesce("class", "a")).alias("class"))
-        return fresh.select("no").join(to, "no", "left").select("no", F.coalesce("class", "no").alias("class"))
+    def _classes(self, fresh: DataFrame, links: DataFrame) -> DataFrame:
+        """The new files with their class: the least class of what one is linked to (numbers of history are less than the load's), else its own number."""
+        to = links.groupBy(F.col("b").alias("no")).agg(F.min("root").alias("class"))
+        return fresh.join(to, "no", "left").withColumn("class", F.coalesce("class", "no"))
 
     def arrive(self, signed: DataFrame) -> str:
         """Write signatures (file, step, columns of `signatures`) into a folder of the store's, of which `ingest` takes over a step each: the sets are written once."""
@@ -396,11 +397,11 @@ class Store:
         fresh = self._passed(fresh, "fresh")  # read many times
         self._dropped("vecs")
         near, classes = self._near(fresh, load, old)
-        fresh.join(classes, "no").select("no", "file", "vec", "class").write.mode("overwrite").parquet(f"{self.folder}/files/load={load}")
+        classes.select("no", "file", "vec", "class").write.mode("overwrite").parquet(f"{self.folder}/files/load={load}")
         filed = self._loaded("files", _FILES, [load])
         self._dropped("cells")
         cells = self._new_cells(filed)
-        links = exact.select("a", "b", "kind").unionByName(self._named(near, fresh, old).select(F.least("file_a", "file_b").alias("a"), F.greatest("file_a", "file_b").alias("b"), F.lit("near").alias("kind")))
+        links = exact.select("a", "b", "kind").unionByName(near.select(F.least("file_a", "file_b").alias("a"), F.greatest("file_a", "file_b").alias("b"), F.lit("near").alias("kind")))
         self._append(cells.select("cell", "class", "no", now), "cells", "cell")
         self._append(owners.select("key", "file", now), "keys", "key")
         links.write.mode("overwrite").parquet(f"{self.folder}/links/load={load}")

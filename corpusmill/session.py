@@ -86,15 +86,17 @@ def through_table(df: DataFrame, name: str, path: str | None = None) -> DataFram
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def broadcast_if_small(df: DataFrame, row_bytes: int | Column, limit: int = BROADCAST_BYTES) -> DataFrame:
+def broadcast_if_small(df: DataFrame, row_bytes: int | Column, limit: int = BROADCAST_BYTES, rows: int | None = None) -> DataFrame:
     """Broadcast hint only if the frame stays under the limit: counted rows times a row's upper size, or, for rows that hold arrays, the sum of a column of sizes.
 
-    The frame should be a table already written or a small aggregate, as it's counted once. Beyond the limit
+    The frame should be a table already written or a small aggregate, as it's counted once, unless its rows are known. Beyond the limit
     the frame comes back without a hint, so that the join shuffles and adaptive execution splits skewed keys.
     """
     if isinstance(row_bytes, Column):
         return F.broadcast(df) if (df.agg(F.sum(row_bytes)).first()[0] or 0) <= limit else df
     most = limit // max(1, row_bytes)
+    if rows is not None:
+        return F.broadcast(df) if rows <= most else df
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 

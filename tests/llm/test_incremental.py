@@ -187,6 +187,29 @@ def test_a_load_leaves_nothing_but_the_store(spark, tmp_path):
     assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
 
 
+def test_a_run_asks_few_jobs_of_the_driver(spark):
+    """A job's plan, closures and broadcasts are the driver's memory: history is joined once for names and classes, and stars end the search for components."""
+    docs = {f"d{i}": text(i, 120) for i in range(12)} | {f"e{i}": noisy(text(i, 120), i, 0.01) for i in range(12)} | {f"f{i}": noisy(text(i, 120), 50 + i, 0.01) for i in range(12)}
+    args = word_docs(spark, docs, {k: 1 + "def".index(k[0]) for k in docs})
+    made = spark.sparkContext._jsc.sc().dagScheduler().nextJobId
+    before = made()
+    got = {tuple(r) for r in incremental.pairs(*args).collect()}
+    assert got == closed(brute(docs)) and len(got) == 24
+    assert made() - before <= 140
+
+
+def test_a_new_file_has_the_class_of_the_history_it_is_linked_to(spark, tmp_path):
+    docs = {f"d{i}": text(i, 120) for i in range(6)} | {f"e{i}": noisy(text(i, 120), i, 0.01) for i in range(6)} | {f"f{i}": noisy(text(i, 120), 50 + i, 0.01) for i in range(4)} | {"f9": text(99, 120)}
+    files, pages, papers = word_docs(spark, docs, {k: 1 + "def".index(k[0]) for k in docs})
+    folder = str(tmp_path / "store")
+    for b in (1, 2, 3):
+        incremental.works(files.where(f"batch_no <= {b}"), pages, papers, folder)
+    store = incremental.Store.open(spark, folder)
+    rows = {r.file.rpartition("|")[2]: r for r in store.files(store.loads()).collect()}
+    store.close()
+    assert {k: r["class"] for k, r in rows.items()} == {k: rows["f9" if k == "f9" else "d" + k[1:]].no for k in rows} and len(rows) >= 12
+
+
 def test_a_file_is_the_same_however_its_pages_are_dealt_out(spark):
     """Pages of a file that stand together are signed as one row; vector and text key don't depend on which do."""
     docs = {f"d{i}": text(i, 400) for i in range(8)}
